@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from hearthline.llm import decontaminate, langid, simhash
+from hearthline.llm import decontaminate, langid, simhash, substring_dedup, suffix_dedup
 from hearthline.llm.common import table
 from hearthline.llm.packing import pack_documents
 from hearthline.llm.tokens import count_tokens
@@ -16,6 +15,10 @@ from hearthline.llm.tokens import count_tokens
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = langid.dictionaries(docs.filter(~langid.in_fold("doc_id")))
@@ -34,15 +37,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
