@@ -132,8 +132,16 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """The documents without any hit, with all their columns; the index is scanned on (row id, text) only."""
-    clean = scan(docs, benchmark, n).filter(F.size("spans") == 0).select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th")).distinct()
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(clean, docs["doc_id"].cast("long").eqNullSafe(clean["_id"]) & (th == clean["_th"]), "left_semi")
+def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 1 << 24) -> DataFrame:
+    """The documents without any hit, with all their columns; no shuffle, one pass per block of items."""
+    sc = docs.sparkSession.sparkContext
+    for block in blocks(benchmark, block_chars):
+        shared = sc.broadcast(block)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = GramIndex(shared.value, n)
+            for batch in batches:
+                yield batch.filter(pa.array([not index.scan(words_of(text.as_py()))[0] for text in batch.column("text")], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 MOST_LANGUAGES = 500
+#: Longer texts that tie are rejected as they are.
+TIE_BYTES = 1 << 12
 
 
 def sample_texts(labelled: DataFrame, per_language: int, extract: int, buckets: int = 32) -> dict[str, list[str]]:
@@ -55,29 +57,40 @@ def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+class Classifier:
+    """Compressors of all learned languages. Texts that tie are compressed again at a level that finds
+    shorter matches: with few bytes of output, one match more or less decides."""
+
+    def __init__(self, learned: dict[str, bytes], level: int, min_margin: float, tie_level: int = 19):
+        self.langs = sorted(learned)
+        self.packers, self.finer = ([compressor(learned[x], k) for x in self.langs] for k in (level, tie_level))
+        self.min_margin = min_margin
+
+    def __call__(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, relative margin of the second-best size, whether it is rejected)."""
+        if not self.langs or not text or not any(map(str.isalpha, text)):
+            return UNDETERMINED, 0.0, True
+        data = text.lower().encode()
+        lang, margin = self.best(data, self.packers)
+        if margin <= self.min_margin and len(data) <= TIE_BYTES:
+            lang, margin = self.best(data, self.finer)
+        return lang, margin, margin <= self.min_margin
+
+    def best(self, data: bytes, packers: list[zstandard.ZstdCompressor]) -> tuple[str, float]:
+        sizes = [len(p.compress(data)) for p in packers]
+        k = min(range(len(sizes)), key=sizes.__getitem__)
+        second = min((s for i, s in enumerate(sizes) if i != k), default=len(data) + sizes[k])
+        return self.langs[k], min(1.0, max(0.0, (second - sizes[k]) / second))
+
+
 def identify(docs: DataFrame, learned: dict[str, bytes], level: int = 6, min_margin: float = 0.001) -> DataFrame:
-    """doc_id, lang_pred, score (relative margin of the second-best size), rejected for every row."""
+    """doc_id, lang_pred, score (the margin), rejected for every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs = sorted(learned)
-        packers = [compressor(learned[x], level) for x in langs]
+        judge = Classifier(learned, level, min_margin)
         for batch in batches:
-            preds, scores, rejected = [], [], []
-            for value in batch.column("text"):
-                text = value.as_py()
-                if not langs or not text or not any(map(str.isalpha, text)):
-                    preds.append(UNDETERMINED)
-                    scores.append(0.0)
-                    rejected.append(True)
-                    continue
-                data = text.lower().encode()
-                sizes = [len(p.compress(data)) for p in packers]
-                best = min(range(len(sizes)), key=sizes.__getitem__)
-                second = min((s for k, s in enumerate(sizes) if k != best), default=len(data) + sizes[best])
-                margin = (second - sizes[best]) / second
-                preds.append(langs[best])
-                scores.append(min(1.0, max(0.0, margin)))
-                rejected.append(margin <= min_margin)
+            told = [judge(value.as_py()) for value in batch.column("text")]
+            preds, scores, rejected = zip(*told, strict=True) if told else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"],
@@ -87,6 +100,17 @@ def identify(docs: DataFrame, learned: dict[str, bytes], level: int = 6, min_mar
     return slim.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, learned: dict[str, bytes], level: int = 6, min_margin: float = 0.001) -> DataFrame:
+    """The rows whose language is told with a margin, with all their columns; no shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Classifier(learned, level, min_margin)
+        for batch in batches:
+            yield batch.filter(pa.array([not judge(value.as_py())[2] for value in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def in_fold(doc_id: str, fold: int = 1, folds: int = 3) -> Column:
     """Whether crc32 of the id's text falls in the fold that is held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds)) == fold, F.lit(False))

@@ -143,5 +143,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> Da
     return prints.join(label.join(least, "root").select("fp", "component_id"), "fp")
 
 
+def keep_one(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """One document of each group of linked fingerprints, with all its columns: the least doc_id, and of
+    repeated rows of it one. Rows without an id stay if no row of their group has one."""
+    firsts = near_duplicates(docs, shingle, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    firsts = firsts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.withColumn("_own", th).join(firsts, (F.col("_own") == F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["_own", "doc_id"]).drop("_own")
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

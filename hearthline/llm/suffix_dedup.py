@@ -294,5 +294,29 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     return with_spans(rows, spans).mapInArrow(cut, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def strip_documents(docs: DataFrame, length: int = 400) -> DataFrame:
+    """docs without the bytes that repeated strings cover, in the same columns: text (a character that
+    is cut through goes) and, if it is there, n_chars are changed. Texts that nothing is left of go."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows, names = docs.withColumn("th", F.xxhash64(text)), docs.columns
+    spans = materialise(repeated_spans(keyed(docs), length))
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = [], []
+            for text, starts, ends in zip(batch.column("text"), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
+                value = text.as_py()
+                if starts:
+                    data = value.encode()
+                    flags, _ = covered(len(data), starts, ends)
+                    value = np.frombuffer(data, np.uint8)[~flags].tobytes().decode(errors="ignore")
+                texts.append(value)
+                keep.append(not starts or bool(value.strip()))
+            own = [pa.array(texts, pa.string()) if name == "text" else pa.array([t if t is None else len(t) for t in texts], pa.int64()) if name == "n_chars" else batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays(own, names).filter(pa.array(keep, pa.bool_()))
+
+    return with_spans(rows, spans).mapInArrow(cut, docs.schema)
+
+
 def digest(cut: DataFrame) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
