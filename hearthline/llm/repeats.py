@@ -139,6 +139,32 @@ def count_anchors(docs: DataFrame, windows: Windows, symbols: Symbols) -> Sketch
     return Sketch([(r["row"], r["slice"], bytes(r["bits"])) for r in merged.toLocalIterator()])
 
 
+#: Members of an anchor's group up to which they are compared pair by pair; windows of larger groups are
+#: grouped by hash, whatever the group's size.
+PAIRWISE = 64
+
+
+def shared_offsets(length: int, i: int, ahead: list[int], before: list[int], prefix: Callable[[int, int], int], behind: Callable[[int, int], int]) -> list[list[int]]:
+    """Merged ranges of offsets o (window starts before the anchor) at which member i's window equals a
+    window of another member: they share o symbols before the anchor and length - o from it on.
+
+    ahead and before are the members' numbers of symbols from the anchor on and before it."""
+    found = []
+    for j in range(len(ahead)):
+        if j == i:
+            continue
+        first = max(length - ahead[i], length - min(prefix(i, j), ahead[i], ahead[j]))
+        if first <= before[i] and first <= (last := min(before[i], behind(i, j))):
+            found.append([first, last])
+    out: list[list[int]] = []
+    for first, last in sorted(found):
+        if out and first <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return out
+
+
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """(doc_id, th, start) of the windows whose content counts two or more over all rows. rows: doc_id, th,
     start, n (how many windows a row stands for; one with n > 1 is known to repeat) and the hashes w1, w2."""
