@@ -3,8 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with DuckDB SQL for the same rows where SQL can say it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+
+
+def cents(name: str) -> Column:
+    return F.round(F.col(name) * 100).cast("long")
+
+
+def longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+for _part in ("relational", "rules", "decisions", "read_models", "streams"):
+    import_module(f"hearthline.plans.{_part}")
