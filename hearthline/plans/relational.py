@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions.numbers import elapsed_days
 from hearthline.operators import changes, features, rows, workflow
 from hearthline.plans.registry import cents, load, longs, query
 
-AS_OF = F.lit("2024-01-15 12:00:00").cast("timestamp")
+
+
+def as_of() -> Column:
+    return F.lit("2024-01-15 12:00:00").cast("timestamp")
+
+
 PC = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 UNIT = f"(2 * {PC} + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT))"
 
@@ -109,14 +114,14 @@ def geo_radius_join(spark: SparkSession, d: str) -> DataFrame:
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def asof_latest(spark: SparkSession, d: str) -> DataFrame:
     (ev,) = load(spark, d, "events")
-    return rows.asof_latest(ev.select("user_id", "event_id", "ts", "event_type"), ["user_id"], "ts", AS_OF, ["event_id"])
+    return rows.asof_latest(ev.select("user_id", "event_id", "ts", "event_type"), ["user_id"], "ts", as_of(), ["event_id"])
 
 
 @query("""SELECT user_id, event_id, ts, event_type FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00'
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""")
 def asof_forward(spark: SparkSession, d: str) -> DataFrame:
     (ev,) = load(spark, d, "events")
-    return rows.asof_first_after(ev.select("user_id", "event_id", "ts", "event_type"), ["user_id"], "ts", AS_OF, ["event_id"])
+    return rows.asof_first_after(ev.select("user_id", "event_id", "ts", "event_type"), ["user_id"], "ts", as_of(), ["event_id"])
 
 
 @query("""SELECT user_id, event_id, value FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND event_type = 'purchase'
@@ -124,7 +129,7 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
 def asof_status_predicate(spark: SparkSession, d: str) -> DataFrame:
     (ev,) = load(spark, d, "events")
     slim = ev.select("user_id", "event_id", "ts", "event_type", "value")
-    return rows.asof_latest(slim, ["user_id"], "ts", AS_OF, ["event_id"], F.col("event_type") == "purchase").select("user_id", "event_id", "value")
+    return rows.asof_latest(slim, ["user_id"], "ts", as_of(), ["event_id"], F.col("event_type") == "purchase").select("user_id", "event_id", "value")
 
 
 @query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM orders
@@ -188,7 +193,7 @@ CAST(max({BP.format(o="old_price", n="new_price")}) AS BIGINT) AS largest_pct, m
 def price_cuts(spark: SparkSession, d: str) -> DataFrame:
     (ev,) = load(spark, d, "events")
     in_units = lambda o, n: F.when((o > 0) & (n < o), F.floor(((o - n) * 2000000 + o) / (2 * o))).otherwise(F.lit(0)).cast("long")
-    return longs(features.price_cuts(price_steps(ev), "user_id", AS_OF, in_units), "total_pct", "pct_7d", "pct_30d", "largest_pct")
+    return longs(features.price_cuts(price_steps(ev), "user_id", as_of(), in_units), "total_pct", "pct_7d", "pct_30d", "largest_pct")
 
 
 @query(f"""WITH u AS (SELECT l_partkey, CAST(l_quantity AS BIGINT) AS w, {UNIT} AS unit FROM lineitem WHERE l_quantity > 0),
@@ -252,8 +257,8 @@ count(*) FILTER (ts >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 14 DAYS) AS d1
 FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1""")
 def elapsed_days_windows(spark: SparkSession, d: str) -> DataFrame:
     (ev,) = load(spark, d, "events")
-    counts = [F.count_if(F.col("ts") >= AS_OF - F.expr(f"INTERVAL {n} DAYS")).alias(f"d{n}") for n in (3, 7, 14)]
-    return ev.filter(F.col("ts") <= AS_OF).groupBy("user_id").agg(*counts, elapsed_days(AS_OF, F.max("ts")).cast("long").alias("idle_days"))
+    counts = [F.count_if(F.col("ts") >= as_of() - F.expr(f"INTERVAL {n} DAYS")).alias(f"d{n}") for n in (3, 7, 14)]
+    return ev.filter(F.col("ts") <= as_of()).groupBy("user_id").agg(*counts, elapsed_days(as_of(), F.max("ts")).cast("long").alias("idle_days"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type FROM events), n AS (SELECT a.n_nationkey, a.n_name, min(b.n_name) AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY ALL)
