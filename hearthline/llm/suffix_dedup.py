@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import keyed, materialise, shuffle_partitions
-from hearthline.llm.repeats import Sketch, Windows, count_anchors, covered, mixed, repeated_windows, with_spans
+from hearthline.llm.common import discard, keyed, materialise, shuffle_partitions, stored
+from hearthline.llm.repeats import PAIRWISE, Sketch, Windows, count_anchors, covered, mixed, repeated_windows, shared_offsets, with_spans
 
 GRAM = 100
 SAMPLE_DOCS = 8_000
@@ -210,41 +210,77 @@ def merge_range(pdf: pd.DataFrame, windows: Windows) -> pd.DataFrame:
         # Two tasks may hold the same run: their rows alternate, and equal neighbours share all.
         runs += [part for part in split_equal_runs(own)]
     tree = LoserTree([read_run(r["lcp"].tolist(), r["rest"].tolist(), list(zip(r["before"], r["docs"], r["ths"], r["starts"], r["ends"], strict=True))) for r in runs])
-    spans, rows, group, edge = [], [], [], True
-
-    def windows_of(suffix: bytes, before: int, place: tuple[int, int, int], n: int) -> None:
-        data = suffix[len(suffix) - before :] + suffix[: len(suffix) - before]
+    spans: list[tuple] = []
+    rows: list[tuple[np.ndarray, ...]] = []
+    group: list[tuple] = []
+    lcps: list[int] = []
+    edge = True
+
+    def hashed(suffix: bytes, before: int, place: tuple, n: int, first: int, last: int) -> None:
+        """The hashes of a suffix's windows at offsets first to last."""
+        ahead = len(suffix) - before
+        data = suffix[ahead + before - last : ahead + before] + suffix[: windows.window - first]
         w1, w2 = windows.hashes(SYMBOLS[np.frombuffer(data, np.uint8)])
-        size = len(w1)
-        doc, th, p = place
-        rows.append(pd.DataFrame({"doc_id": pd.array([doc] * size, "Int64"), "th": np.full(size, th), "start": np.arange(p, p + size), "end": np.arange(p, p + size) + windows.window, "n": pd.array([n] * size, "Int64"), "w1": pd.array(w1, "Int64"), "w2": pd.array(w2, "Int64")}))
+        doc, th, p = place[:3]
+        start = p + before - last + np.arange(len(w1))
+        rows.append((np.full(len(w1), np.nan if doc is None else 0.0), np.full(len(w1), doc or 0), np.full(len(w1), th), start, np.full(len(w1), n), w1, w2))
 
     def close(at_edge: bool) -> None:
-        """group: the different suffixes with one anchor gram. At a range's ends it may go on elsewhere."""
-        for suffix, before, places in group:
-            if len(places) > 1:
-                spans.extend(places)
-            if len(group) > 1 or at_edge:
-                windows_of(suffix, before, places[0][:3], min(2, len(places)))
+        """group: the different suffixes with one anchor gram, in order, and lcps: what each shares with
+        the one before. At a range's ends the group may go on elsewhere."""
+        spans.extend(place for _, _, places in group if len(places) > 1 for place in places)
+        if len(group) == 1 and not at_edge:
+            return
+        ahead, before, length = [len(s) - b for s, b, _ in group], [b for _, b, _ in group], windows.window
+        if not at_edge and len(group) <= PAIRWISE:
+            turned = [s[: len(s) - b - 1 : -1] if b else b"" for s, b, _ in group]
+            prefix = lambda i, j: min(lcps[min(i, j) + 1 : max(i, j) + 1])
+            behind = lambda i, j: common_prefix(turned[i], turned[j], 0)
+            for i, (_, b, places) in enumerate(group):
+                if len(places) == 1:
+                    doc, th, p, _ = places[0]
+                    spans.extend((doc, th, p + b - last, p + b - first + length) for first, last in shared_offsets(length, i, ahead, before, prefix, behind))
+            return
+        far = [length] * len(group)
+        back = before
+        if not at_edge:  # neighbours in order share most, ahead and behind
+            far = [max(lcps[i] if i else 0, lcps[i + 1] if i + 1 < len(group) else 0) for i in range(len(group))]
+            turned = sorted((s[: len(s) - b - 1 : -1] if b else b"", i) for i, (s, b, _) in enumerate(group))
+            near = [0, *(common_prefix(x[0], y[0], 0) for x, y in zip(turned, turned[1:])), 0]
+            back = [0] * len(group)
+            for k, (_, i) in enumerate(turned):
+                back[i] = min(before[i], max(near[k], near[k + 1]))
+        for i, (suffix, b, places) in enumerate(group):
+            first = length - min(far[i], ahead[i], length)
+            first = max(first, length - ahead[i])
+            if first <= back[i]:
+                hashed(suffix, b, places[0], min(2, len(places)), first, back[i])
 
     for lcp, suffix, (before, *places) in tree:
         if lcp < windows.gram and group:
             close(edge)
-            group, edge = [], False
+            group, lcps, edge = [], [], False
         mine = list(zip(*places, strict=True))
         for k in range(len(group) - 1, -1, -1):
             if group[k][0] != suffix:
-                group.append((suffix, before, mine))
+                k = -1
                 break
             if group[k][1] == before:
                 group[k][2].extend(mine)
                 break
         else:
+            k = -1
+        if k < 0:
             group.append((suffix, before, mine))
+            lcps.append(lcp)
     close(True)
     out = pd.DataFrame(spans, columns=["doc_id", "th", "start", "end"]).astype({"doc_id": "Int64", "th": "int64", "start": "int64", "end": "int64"})
     out = out.assign(n=pd.array([None] * len(out), "Int64"), w1=pd.array([None] * len(out), "Int64"), w2=pd.array([None] * len(out), "Int64"))
-    return pd.concat([out, *rows], ignore_index=True)
+    if not rows:
+        return out
+    missing, docs, th, start, n, w1, w2 = (np.concatenate(x) for x in zip(*rows, strict=True))
+    more = pd.DataFrame({"doc_id": pd.arrays.IntegerArray(docs.astype(np.int64), np.isnan(missing)), "th": th, "start": start, "end": start + windows.window})
+    return pd.concat([out, more.assign(n=pd.array(n, "Int64"), w1=pd.array(w1, "Int64"), w2=pd.array(w2, "Int64"))], ignore_index=True)
 
 
 def split_equal_runs(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -255,7 +291,7 @@ def split_equal_runs(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
-    """(doc_id, th, start, end) byte spans that repeated strings cover; docs: keyed()."""
+    """(doc_id, th, start, end) byte spans that repeated strings cover, materialised; docs: keyed()."""
     windows = Windows(length, gram)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(count_anchors(docs, windows, byte_symbols))
@@ -265,10 +301,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return merge_range(pdf, Windows(length, gram))
 
-    merged = materialise(runs.groupBy("part").applyInPandas(merge, MERGED))
+    merged, merged_at = stored(runs.groupBy("part").applyInPandas(merge, MERGED))
     whole = merged.filter("n is null").select("doc_id", "th", "start", "end")
     parts = repeated_windows(merged.filter("n is not null").select("doc_id", "th", "start", "n", "w1", "w2"))
-    return whole.union(parts.withColumn("end", F.col("start") + length))
+    spans = materialise(whole.union(parts.withColumn("end", F.col("start") + length)))
+    discard(spark, merged_at)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -290,8 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    spans = materialise(repeated_spans(rows, length))
-    return with_spans(rows, spans).mapInArrow(cut, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_spans(rows, repeated_spans(rows, length)).mapInArrow(cut, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def strip_documents(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -299,7 +336,7 @@ def strip_documents(docs: DataFrame, length: int = 400) -> DataFrame:
     is cut through goes) and, if it is there, n_chars are changed. Texts that nothing is left of go."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows, names = docs.withColumn("th", F.xxhash64(text)), docs.columns
-    spans = materialise(repeated_spans(keyed(docs), length))
+    spans = repeated_spans(keyed(docs), length)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
