@@ -58,8 +58,9 @@ def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 class Classifier:
-    """Compressors of all learned languages. Texts that tie are compressed again at a level that finds
-    shorter matches: with few bytes of output, one match more or less decides."""
+    """Compressors of all learned languages. Short texts that tie are compressed again, at a level that
+    finds shorter matches and four times over: a text of few bytes is else stored as it is, whatever the
+    dictionary holds."""
 
     def __init__(self, learned: dict[str, bytes], level: int, min_margin: float, tie_level: int = 19):
         self.langs = sorted(learned)
@@ -73,7 +74,7 @@ class Classifier:
         data = text.lower().encode()
         lang, margin = self.best(data, self.packers)
         if margin <= self.min_margin and len(data) <= TIE_BYTES:
-            lang, margin = self.best(data, self.finer)
+            lang, margin = self.best((data + b"\n") * 4, self.finer)
         return lang, margin, margin <= self.min_margin
 
     def best(self, data: bytes, packers: list[zstandard.ZstdCompressor]) -> tuple[str, float]:

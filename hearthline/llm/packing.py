@@ -19,7 +19,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import keyed
 from hearthline.llm.tokens import PRETOKEN, SPECIAL, Memo, byte_symbols, split_spaces
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 class Encoder:
@@ -155,27 +154,25 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = 1024, e
                 ["doc_id", "grp", "doc_tokens", "crcs", "tail"],
             )
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, base = [], int(pdf["grp"].iloc[0]) << 32
-        order = pdf.assign(size=pdf["tail"].str.len()).sort_values(["doc_tokens", "doc_id", "tail"], kind="stable")
-        ids, totals, tails, crcs = order["doc_id"].tolist(), order["doc_tokens"].tolist(), order["tail"].tolist(), order["crcs"].tolist()
-        at = 0
-        for doc, total, full in zip(ids, totals, crcs, strict=True):
+    def pack(group: pa.Table) -> pa.Table:
+        base = group.column("grp")[0].as_py() << 32
+        order = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_tokens", "doc_id", "tail", "crcs")), strict=True), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+        rows, at = [], 0
+        for total, doc, _, full in order:
             for k, c in enumerate(full):
                 rows.append((doc, k * sequence, sequence, c, total, base + at, 0))
                 at += 1
-        items = [k for k, t in enumerate(tails) if t]
-        for bin_ in pack_lengths([len(tails[k]) // 2 for k in items], sequence):
+        items = [r for r in order if r[2]]
+        for bin_ in pack_lengths([len(r[2]) // 2 for r in items], sequence):
             offset = 0
             for item, start, length in bin_:
-                k = items[item]
-                piece = np.frombuffer(tails[k], "<u2")[start : start + length]
-                rows.append((ids[k], totals[k] // sequence * sequence + start, length, crc(piece), totals[k], base + at, offset))
+                total, doc, tail, _ = items[item]
+                piece = np.frombuffer(tail, "<u2")[start : start + length]
+                rows.append((doc, total // sequence * sequence + start, length, crc(piece), total, base + at, offset))
                 offset += length
             at += 1
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return out.astype({"doc_id": "Int64"})
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=PIECES)
 
     grouped = keyed(docs).withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("th")), F.lit(groups)))
     encoded = grouped.select("doc_id", "grp", "text").mapInArrow(encode, "doc_id long, grp long, doc_tokens long, crcs array<long>, tail binary")
-    return encoded.groupBy("grp").applyInPandas(pack, PIECES)
+    return encoded.groupBy("grp").applyInArrow(pack, ", ".join(f"{c} long" for c in PIECES))
