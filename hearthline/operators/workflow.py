@@ -69,7 +69,22 @@ def outcome_status(outcome: Column) -> Column:
 
 
 def valid_estimate(low: Column, base: Column, high: Column) -> Column:
-    return F.coalesce((low >= 0) & (low <= base) & (base <= high), F.lit(False))
+    """Known estimates are not negative and in order; unknown ones pass."""
+    return ~F.coalesce((F.least(low, base, high) < 0), F.lit(False)) & ~F.coalesce(low > base, F.lit(False)) & ~F.coalesce(base > high, F.lit(False))
+
+
+def valid_offer(amount: Column, counter: Column) -> Column:
+    return F.coalesce(amount > 0, F.lit(False)) & F.coalesce(counter >= 0, F.lit(True))
+
+
+def accepted(commands: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
+    """Commands that are valid and those that are not; nothing is dropped silently."""
+    return commands.filter(F.coalesce(ok, F.lit(False))), commands.filter(~F.coalesce(ok, F.lit(False)))
+
+
+def call_matters(feedback: list[Column]) -> Column:
+    """Whether a call or visit said anything that an analysis reads."""
+    return F.coalesce(*(F.when(c.isNotNull(), F.lit(True)) for c in feedback), F.lit(False))
 
 
 def classified(positive: Column, called: Column) -> Column:
