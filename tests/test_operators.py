@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -133,3 +134,21 @@ def test_state_at(spark):
     ev = spark.createDataFrame([(1, 5, 1, "a", "b"), (1, 15, 2, "b", "c"), (2, 5, 3, "x", "y")], "k int, at int, event_id int, old_value string, new_value string")
     cur = spark.createDataFrame([(1, "c"), (2, "y"), (3, "z")], "k int, value string")
     assert {r.k: r.value for r in workflow.state_at(ev, cur, "k", F.lit(10)).collect()} == {1: "b", 2: "y", 3: "z"}
+
+
+def test_first_come_is_the_sequential_pass(spark):
+    rnd = random.Random(3)
+    edges = {(v, u): rnd.random() for v in range(30) for u in range(v) if rnd.random() < 0.12}
+    owner = {}
+    for v in range(30):
+        near = [(s, -u) for (w, u), s in edges.items() if w == v and owner[u] == u]
+        owner[v] = -max(near)[1] if near else v
+    nodes = spark.createDataFrame([(v,) for v in range(30)], "node long")
+    frame = spark.createDataFrame([(v, u, s) for (v, u), s in edges.items()], "node long, earlier long, similarity double")
+    assert {r.node: r.owner for r in matching.first_come(nodes, frame).collect()} == owner
+
+
+def test_resolve_new(spark):
+    same = (["bulevar", "10"], ["bulevar"], 72.0, 3.0, 2)
+    ls = spark.createDataFrame([(1, *same), (2, *same), (3, ["bulevar", "10"], ["x"], 95.0, 4.0, 8)], "listing_id long, tokens array<string>, words array<string>, size double, rooms double, floor int")
+    assert {r.node: r.owner for r in matching.resolve_new(ls).collect()} == {1: 1, 2: 1, 3: 3}
