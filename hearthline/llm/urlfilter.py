@@ -78,7 +78,7 @@ def match(urls: DataFrame, rules: DataFrame, frequency: DataFrame) -> DataFrame:
     return best.select("page_id", F.col("best.label").alias("mined"), F.col("best.confidence").alias("confidence"), F.col("best.rule_id").alias("mined_rule"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], min_support: float = 0.01, min_confidence: float = 0.7) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence, mined_rule: hand-written rules first, then rules
     mined from the URLs that those decide."""
     host, path = parts(F.col("url"))
