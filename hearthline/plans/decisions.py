@@ -12,7 +12,7 @@ from hearthline.plans.relational import STEPS, price_steps
 PRICE = "CAST(round(o_totalprice * 100) AS BIGINT)"
 
 
-@query(f"""WITH d AS (SELECT o_orderkey, {PRICE} AS p, {PRICE} // 20 AS reno, o_orderkey % 400 AS days FROM orders WHERE o_orderkey % 4 = 0),
+@query(f"""WITH d AS (SELECT o_orderkey, {PRICE} AS p, {PRICE} // 20 AS reno, o_orderkey % 400 AS days FROM orders),
 s AS (SELECT *, 'DOWNSIDE' AS scenario, 120 AS rp, 125 AS dp, p + p // 10 AS x FROM d UNION ALL SELECT *, 'BASE', 100, 100, p + p // 4 FROM d UNION ALL SELECT *, 'UPSIDE', 90, 75, p + p // 2 FROM d),
 c AS (SELECT *, (reno * rp + 50) // 100 AS r, (days * dp + 50) // 100 AS dd, (2 * p * 250 + 10000) // 20000 AS taxes, (2 * x * 300 + 10000) // 20000 AS sale FROM s)
 SELECT o_orderkey, scenario, CAST(p + r + 500000 + taxes + 1000 * dd + 100000 AS BIGINT) AS basis_cents, CAST(x - sale AS BIGINT) AS net_cents,
@@ -20,7 +20,7 @@ CAST(x - sale - (p + r + 500000 + taxes + 1000 * dd + 100000) AS BIGINT) AS prof
 def deal_scenarios(spark: SparkSession, d: str) -> DataFrame:
     (o,) = load(spark, d, "orders")
     price = cents("o_totalprice")
-    base = o.filter("o_orderkey % 4 = 0").select("o_orderkey", price.alias("pc"), (F.col("o_orderkey") % 400).alias("days"))
+    base = o.select("o_orderkey", price.alias("pc"), (F.col("o_orderkey") % 400).alias("days"))
     money = lambda sql: (F.expr(sql).cast("decimal(18,0)") / 100).cast(deals.MONEY)
     base = base.select("o_orderkey", "days", money("pc").alias("price"), money("pc div 20").alias("renovation"), money("pc + pc div 10").alias("exit_low"), money("pc + pc div 4").alias("exit_base"), money("pc + pc div 2").alias("exit_high"))
     rules = {"notary": {"fixed": 5000}, "taxes": {"price_pct": "2.5"}, "sale": {"exit_pct": 3}, "holding": {"per_day": 10}}
@@ -107,14 +107,14 @@ def invalidation_map(spark: SparkSession, d: str) -> DataFrame:
     return stale.groupBy("user_id", "module").agg(F.max("ts").alias("stale_since"), F.count("*").alias("events"))
 
 
-@query("""WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'REVIEWED' WHEN 'click' THEN 'CALLED' WHEN 'signup' THEN 'VISITED' WHEN 'purchase' THEN 'WON' ELSE 'SKIPPED' END AS status FROM events WHERE event_id % 40 < 3),
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'REVIEWED' WHEN 'click' THEN 'CALLED' WHEN 'signup' THEN 'VISITED' WHEN 'purchase' THEN 'WON' ELSE 'SKIPPED' END AS status FROM events),
 r AS (SELECT *, CASE status WHEN 'REVIEWED' THEN 10 WHEN 'CALLED' THEN 20 WHEN 'VISITED' THEN 40 ELSE 80 END AS rank FROM e)
 SELECT user_id, status, rank, count(*) OVER (PARTITION BY user_id) AS steps FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rank DESC, ts, event_id) = 1""")
 def pipeline_fold(spark: SparkSession, d: str) -> DataFrame:
     (ev,) = load(spark, d, "events")
     kind = F.col("event_type")
     status = F.when(kind == "view", "REVIEWED").when(kind == "click", "CALLED").when(kind == "signup", "VISITED").when(kind == "purchase", "WON").otherwise("SKIPPED")
-    steps = ev.filter("event_id % 40 < 3").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", status.alias("status"))
+    steps = ev.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", status.alias("status"))
     return workflow.pipeline_state(steps, "user_id", ["t", "event_id"])
 
 

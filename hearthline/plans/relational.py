@@ -227,12 +227,12 @@ def argmax_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("source", "lang").agg(best.alias("b")).select("source", "lang", (-F.col("b.k")).alias("doc_id"), "b.n")
 
 
-@query("""SELECT 'order' AS kind, o_custkey AS key, o_orderkey AS ident, o_orderdate AS at FROM orders WHERE o_custkey <= 100
-UNION ALL SELECT 'event', user_id, event_id, ts FROM events WHERE user_id <= 100""")
+@query("""SELECT 'order' AS kind, o_custkey AS key, o_orderkey AS ident, o_orderdate AS at FROM orders
+UNION ALL SELECT 'event', user_id, event_id, ts FROM events""")
 def timeline_union(spark: SparkSession, d: str) -> DataFrame:
     o, ev = load(spark, d, "orders", "events")
-    a = o.filter("o_custkey <= 100").select(F.lit("order").alias("kind"), F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ident"), F.col("o_orderdate").alias("at"))
-    b = ev.filter("user_id <= 100").select(F.lit("event").alias("kind"), F.col("user_id").alias("key"), F.col("event_id").alias("ident"), F.col("ts").alias("at"))
+    a = o.select(F.lit("order").alias("kind"), F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ident"), F.col("o_orderdate").alias("at"))
+    b = ev.select(F.lit("event").alias("kind"), F.col("user_id").alias("key"), F.col("event_id").alias("ident"), F.col("ts").alias("at"))
     return workflow.timeline([a, b])
 
 
@@ -279,10 +279,10 @@ def coalesce_fill(spark: SparkSession, d: str) -> DataFrame:
     return features.fill_unknown(target, best, "p_partkey", ["size"])
 
 
-@query("""WITH e AS (SELECT source, regexp_extract_all(lower(text), '[a-z]+')[1:20] AS words FROM documents), w AS (SELECT source, unnest(words) AS word FROM e),
+@query("""WITH e AS (SELECT source, regexp_extract_all(lower(text), '[a-z]+') AS words FROM documents), w AS (SELECT source, unnest(words) AS word FROM e),
 c AS (SELECT source, word, count(*) AS n FROM w GROUP BY ALL) SELECT source, word, n FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, word) <= 5""")
 def explode_slice(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = load(spark, d, "documents")
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 20)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     counts = docs.select("source", F.explode(words).alias("word")).groupBy("source", "word").agg(F.count("*").alias("n"))
     return rows.top_k(counts, ["source"], [F.desc("n"), F.asc("word")], 5).drop("rank")

@@ -39,7 +39,10 @@ def table(df):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
-    got = registry.QUERIES[name](spark, str(DATA)).toPandas()
+    frame = registry.QUERIES[name](spark, str(DATA))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = frame.toPandas()
     if name in registry.ORACLE_SQL:
         want = duck.sql(registry.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
