@@ -52,16 +52,13 @@ def scenario_rows(deals: DataFrame) -> DataFrame:
 
 def max_buy_cents(exit_cents: Column, fits) -> Column:
     """The largest whole-cent price up to the exit for which fits(cents) holds; 0 if one cent fails.
-    fits must fail for all prices above the first that fails. A binary search of fixed length in whole
-    cents, inside one expression: no rows, no Python."""
-    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
-        F.struct(
-            F.when(fits(F.expr("0L") + F.floor((s["lo"] + s["hi"] + 1) / 2)), F.floor((s["lo"] + s["hi"] + 1) / 2)).otherwise(s["lo"]).alias("lo"),
-            F.when(fits(F.expr("0L") + F.floor((s["lo"] + s["hi"] + 1) / 2)), s["hi"]).otherwise(F.floor((s["lo"] + s["hi"] + 1) / 2) - 1).alias("hi"),
-        )
-    )
+    fits must fail for all prices above the first that fails. A binary search in whole
+    cents, a step for each bit of the exit, inside one expression: no rows, no Python."""
+    mid = lambda s: F.floor((s["lo"] + s["hi"] + 1) / 2)
+    halves = lambda s, m: F.when(fits(m), F.struct(m.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (m - 1).alias("hi")))
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(halves(s, mid(s)))
     start = F.struct(F.lit(0).cast("long").alias("lo"), exit_cents.cast("long").alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(45)), start, step, lambda s: s["lo"])
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(exit_cents.cast("long"))) + 1), start, step, lambda s: s["lo"])
 
 
 def meets(min_profit: Column, min_roi: Column):

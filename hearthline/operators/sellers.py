@@ -75,10 +75,10 @@ def flag(code: str, severity: str, effect: str, conf: int) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(effect).alias("effect"), F.lit(conf).alias("confidence"))
 
 
-def legal_flags(text: Column) -> Column:
-    """Flags by wording; a blank text leaves the documents unknown."""
+def legal_flags(text: Column, lowered: bool = False) -> Column:
+    """Flags by wording; a blank text leaves the documents unknown. lowered: see contains_any."""
     blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    found = [F.when(~blank & contains_any(text, words), flag(code, "BLOCKING" if effect == "BLOCK" else "HIGH", effect, conf)) for code, words, effect, conf in LEGAL_FLAGS]
+    found = [F.when(~blank & contains_any(text, words, lowered), flag(code, "BLOCKING" if effect == "BLOCK" else "HIGH", effect, conf)) for code, words, effect, conf in LEGAL_FLAGS]
     return F.array_compact(F.array(F.when(blank, flag(UNDOCUMENTED, "MEDIUM", "VERIFY", 35)), *found))
 
 

@@ -193,7 +193,7 @@ CASE WHEN blank THEN NULL WHEN PARTIAL_OWNERSHIP OR ACTIVE_DISPUTE THEN 95 WHEN
 CASE WHEN blank THEN 35 WHEN PARTIAL_OWNERSHIP OR ACTIVE_DISPUTE THEN 80 WHEN UNREGISTERED OR LEGALIZATION THEN 70 ELSE 45 END AS confidence FROM f""")
 def risk_flags_gate(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = load(spark, d, "documents")
-    flagged = docs.select("doc_id", sellers.legal_flags(F.col("text")).alias("flags"))
+    flagged = docs.select("doc_id", F.lower("text").alias("low")).select("doc_id", sellers.legal_flags(F.col("low"), lowered=True).alias("flags"))
     gate, score, conf = sellers.gate(F.col("flags"))
     return flagged.select("doc_id", gate.alias("gate"), score.alias("risk_score"), conf.alias("confidence"))
 
