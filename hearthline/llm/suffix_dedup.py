@@ -6,8 +6,9 @@ hold from the anchor on, followed by what they hold before it. Each task sorts i
 equal ones, and sends front-coded runs (shared prefix length and the rest) to ranges between sampled
 splitters. Each range merges its runs with a loser tree: players keep the prefix they share with the
 last winner, and characters within a known common prefix are never compared again. The merge's own
-prefix lengths tell equal suffixes (all their windows repeat) and groups that share an anchor gram
-(their windows are then grouped one by one). Spans never cross documents.
+prefix lengths tell equal suffixes (all their windows repeat) and groups that share an anchor gram,
+whose members are then compared with each other; only groups too large for one range have their windows
+grouped by hash over all ranges. Spans never cross documents.
 
 Null and empty texts have no bytes. Repeated rows repeat each other's strings. Extra columns are ignored.
 """
@@ -16,10 +17,10 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +29,16 @@ from hearthline.llm.common import discard, keyed, materialise, shuffle_partition
 from hearthline.llm.repeats import PAIRWISE, Sketch, Windows, count_anchors, covered, mixed, repeated_windows, shared_offsets, with_spans
 
 GRAM = 100
+#: Splitters come from every second suffix of about so many documents, at most SAMPLE_UNITS from each.
 SAMPLE_DOCS = 8_000
-SAMPLE_UNITS = 4
+SAMPLE_UNITS = 64
 #: A task's run is sorted and sent when its suffixes reach this size.
-RUN_BYTES = 1 << 26
+RUN_BYTES = 1 << 25
 
 #: A 64-bit symbol for each byte.
 SYMBOLS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-MERGED = "doc_id long, th long, start long, end long, n long, w1 long, w2 long"
+MERGED = ["doc_id", "th", "start", "end", "n", "w1", "w2"]
 
 
 def byte_symbols(text: str) -> np.ndarray:
@@ -122,7 +124,9 @@ def suffixes(data: bytes, windows: Windows, sketch: Sketch | None) -> Iterator[t
 
 
 def splitters(docs: DataFrame, windows: Windows, shared, n: int) -> list[bytes]:
-    """n - 1 strings that part sampled suffixes evenly; they balance tasks and don't bear on results."""
+    """At most n - 1 strings that part sampled suffixes evenly; they balance tasks and don't bear on
+    results. A cut is an anchor gram, so that ranges hold whole groups, but for groups that are large
+    enough to hold several cuts: these are split by their whole suffixes."""
     step = max(1, docs.count() // SAMPLE_DOCS)
     window, gram = windows.window, windows.gram
 
@@ -132,18 +136,19 @@ def splitters(docs: DataFrame, windows: Windows, shared, n: int) -> list[bytes]:
             found = []
             for text in batch.column("text"):
                 own = [s for s, *_ in suffixes(text.as_py().encode(), make, shared.value)]
-                found += own[:: max(1, -(-len(own) // SAMPLE_UNITS))]
+                found += own[:: max(2, -(-len(own) // SAMPLE_UNITS))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["suffix"])
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "th", F.lit(3)), F.lit(step)) == 0)
     got = sorted(bytes(r["suffix"]) for r in some.select("text").mapInArrow(sample, "suffix binary").collect())
-    return sorted({got[k * len(got) // n] for k in range(1, n)}) if got else []
+    picked = sorted({got[k * len(got) // n] for k in range(1, n)}) if got else []
+    shared_gram = Counter(s[:gram] for s in picked)
+    return sorted({s if shared_gram[s[:gram]] > 1 else s[:gram] for s in picked} | {g for g, k in shared_gram.items() if k > 1})
 
 
-def sorted_runs(docs: DataFrame, windows: Windows, shared, cuts: list[bytes]) -> DataFrame:
+def sorted_runs(docs: DataFrame, windows: Windows, shared, bounds) -> DataFrame:
     """Each task's suffixes in order, front-coded within a range: part, run, seq, lcp, rest, before, places."""
     window, gram = windows.window, windows.gram
-    bounds = docs.sparkSession.sparkContext.broadcast(cuts)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, found, size = Windows(window, gram), {}, 0
@@ -194,72 +199,105 @@ def runs_batch(out: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
 
-def read_run(lcps: list[int], rests: list[bytes], values: list[object]) -> Iterator[tuple[int, bytes, object]]:
+def read_run(entries: list[tuple]) -> Iterator[tuple[int, bytes, tuple]]:
     last = b""
-    for lcp, rest, value in zip(lcps, rests, values, strict=True):
+    for lcp, rest, *value in entries:
         last = last[:lcp] + rest
-        yield lcp, last, value
-
-
-def merge_range(pdf: pd.DataFrame, windows: Windows) -> pd.DataFrame:
-    """Spans of suffixes that occur more than once (n null), and the hashed windows of those that share
-    an anchor gram with other suffixes (n: 1, or 2 for a suffix known to repeat)."""
-    pdf = pdf.sort_values(["run", "seq"])
-    runs = []
-    for _, own in pdf.groupby("run", sort=True):
-        # Two tasks may hold the same run: their rows alternate, and equal neighbours share all.
-        runs += [part for part in split_equal_runs(own)]
-    tree = LoserTree([read_run(r["lcp"].tolist(), r["rest"].tolist(), list(zip(r["before"], r["docs"], r["ths"], r["starts"], r["ends"], strict=True))) for r in runs])
+        yield lcp, last, tuple(value)
+
+
+def turned(suffix: bytes, before: int) -> bytes:
+    """What stands before the anchor, from the anchor back."""
+    return suffix[: len(suffix) - before - 1 : -1] if before else b""
+
+
+def group_spans(group: list[tuple], lcps: list[int], length: int) -> Iterator[tuple]:
+    """(doc_id, th, start, end) of what members that occur once share with others, pair by pair."""
+    ahead, before = [len(s) - b for s, b, _ in group], [b for _, b, _ in group]
+    back = [turned(s, b) for s, b, _ in group]
+    prefix = lambda i, j: min(lcps[min(i, j) + 1 : max(i, j) + 1])
+    behind = lambda i, j: common_prefix(back[i], back[j], 0)
+    for i, (_, b, places) in enumerate(group):
+        if len(places) == 1:
+            doc, th, p, _ = places[0]
+            for near, far in shared_offsets(length, i, ahead, before, prefix, behind):
+                yield doc, th, p + b - far, p + b - near + length
+
+
+def large_group_spans(group: list[tuple], lcps: list[int], length: int, hashed) -> Iterator[tuple]:
+    """The same by counting the hashes of the members' windows. Neighbours in either order share most, so
+    that only offsets which both orders allow are hashed."""
+    shares = [max(lcps[i] if i else 0, lcps[i + 1] if i + 1 < len(group) else 0) for i in range(len(group))]
+    order = sorted((turned(s, b), i) for i, (s, b, _) in enumerate(group))
+    near = [0, *(common_prefix(x[0], y[0], 0) for x, y in zip(order, order[1:])), 0]
+    back = {i: max(near[k], near[k + 1]) for k, (_, i) in enumerate(order)}
+    found = []
+    for i, (suffix, b, places) in enumerate(group):
+        first, last = length - min(shares[i], len(suffix) - b, length), min(b, back[i])
+        if first <= last:
+            found.append((i, *hashed(suffix, b, places[0][2], first, last)))
+    if not found:
+        return
+    pairs = np.concatenate([np.stack([w1, w2], axis=1) for _, _, w1, w2 in found])
+    weight = np.concatenate([np.full(len(start), min(2, len(group[i][2]))) for i, start, _, _ in found])
+    _, kind = np.unique(pairs, axis=0, return_inverse=True)
+    repeated = (np.bincount(kind.ravel(), weights=weight) >= 2)[kind.ravel()]
+    at = 0
+    for i, start, _, _ in found:
+        mine = start[repeated[at : at + len(start)]]
+        at += len(start)
+        if len(mine) and len(group[i][2]) == 1:
+            doc, th, *_ = group[i][2][0]
+            breaks = np.flatnonzero(np.diff(mine) > 1)
+            for s, e in zip(mine[np.append(0, breaks + 1)].tolist(), mine[np.append(breaks, len(mine) - 1)].tolist()):
+                yield doc, th, s, e + length
+
+
+def merge_range(part: pa.Table, windows: Windows, cuts: list[bytes]) -> pa.Table:
+    """Spans of repeated windows (n null), and, of groups that a cut splits, the hashed windows (n: 1, or 2
+    for a suffix known to repeat), which are grouped over all ranges."""
+    number = part.column("part")[0].as_py()
+    split_low = number > 0 and len(cuts[number - 1]) > windows.gram
+    split_high = number < len(cuts) and len(cuts[number]) > windows.gram
+    part = part.sort_by([("run", "ascending"), ("seq", "ascending")])
+    coded: dict[tuple[int, int], list[tuple]] = {}
+    copies: dict[tuple[int, int], int] = {}
+    for run, seq, *entry in zip(*(part.column(c).to_pylist() for c in ("run", "seq", "lcp", "rest", "before", "docs", "ths", "starts", "ends")), strict=True):
+        # Two tasks may send runs of the same name (and so the same suffixes): each copy is a run.
+        copy = copies[run, seq] = copies.get((run, seq), -1) + 1
+        coded.setdefault((run, copy), []).append(tuple(entry))
+    tree = LoserTree([read_run(entries) for entries in coded.values()])
     spans: list[tuple] = []
-    rows: list[tuple[np.ndarray, ...]] = []
+    rows: list[pa.Table] = []
     group: list[tuple] = []
     lcps: list[int] = []
-    edge = True
+    first = True
 
-    def hashed(suffix: bytes, before: int, place: tuple, n: int, first: int, last: int) -> None:
-        """The hashes of a suffix's windows at offsets first to last."""
+    def hashed(suffix: bytes, before: int, p: int, first: int, last: int) -> tuple[np.ndarray, ...]:
+        """Starts and hashes of a suffix's windows at offsets last down to first."""
         ahead = len(suffix) - before
-        data = suffix[ahead + before - last : ahead + before] + suffix[: windows.window - first]
+        data = suffix[ahead + before - last :] + suffix[: windows.window - first]
         w1, w2 = windows.hashes(SYMBOLS[np.frombuffer(data, np.uint8)])
-        doc, th, p = place[:3]
-        start = p + before - last + np.arange(len(w1))
-        rows.append((np.full(len(w1), np.nan if doc is None else 0.0), np.full(len(w1), doc or 0), np.full(len(w1), th), start, np.full(len(w1), n), w1, w2))
+        return p + before - last + np.arange(len(w1)), w1, w2
 
-    def close(at_edge: bool) -> None:
+    def close(split: bool) -> None:
         """group: the different suffixes with one anchor gram, in order, and lcps: what each shares with
-        the one before. At a range's ends the group may go on elsewhere."""
+        the one before. split: the group goes on in another range."""
         spans.extend(place for _, _, places in group if len(places) > 1 for place in places)
-        if len(group) == 1 and not at_edge:
-            return
-        ahead, before, length = [len(s) - b for s, b, _ in group], [b for _, b, _ in group], windows.window
-        if not at_edge and len(group) <= PAIRWISE:
-            turned = [s[: len(s) - b - 1 : -1] if b else b"" for s, b, _ in group]
-            prefix = lambda i, j: min(lcps[min(i, j) + 1 : max(i, j) + 1])
-            behind = lambda i, j: common_prefix(turned[i], turned[j], 0)
-            for i, (_, b, places) in enumerate(group):
-                if len(places) == 1:
-                    doc, th, p, _ = places[0]
-                    spans.extend((doc, th, p + b - last, p + b - first + length) for first, last in shared_offsets(length, i, ahead, before, prefix, behind))
-            return
-        far = [length] * len(group)
-        back = before
-        if not at_edge:  # neighbours in order share most, ahead and behind
-            far = [max(lcps[i] if i else 0, lcps[i + 1] if i + 1 < len(group) else 0) for i in range(len(group))]
-            turned = sorted((s[: len(s) - b - 1 : -1] if b else b"", i) for i, (s, b, _) in enumerate(group))
-            near = [0, *(common_prefix(x[0], y[0], 0) for x, y in zip(turned, turned[1:])), 0]
-            back = [0] * len(group)
-            for k, (_, i) in enumerate(turned):
-                back[i] = min(before[i], max(near[k], near[k + 1]))
-        for i, (suffix, b, places) in enumerate(group):
-            first = length - min(far[i], ahead[i], length)
-            first = max(first, length - ahead[i])
-            if first <= back[i]:
-                hashed(suffix, b, places[0], min(2, len(places)), first, back[i])
+        length = windows.window
+        if split:
+            for suffix, b, places in group:
+                doc, th, p, _ = places[0]
+                start, w1, w2 = hashed(suffix, b, p, length - len(suffix) + b, b)
+                same = [pa.array([x] * len(w1), pa.int64()) for x in (doc, th, min(2, len(places)))]
+                rows.append(pa.Table.from_arrays([*same[:2], pa.array(start), pa.array(start + length), same[2], pa.array(w1), pa.array(w2)], names=MERGED))
+        elif len(group) > 1:
+            spans.extend(group_spans(group, lcps, length) if len(group) <= PAIRWISE else large_group_spans(group, lcps, length, hashed))
 
     for lcp, suffix, (before, *places) in tree:
         if lcp < windows.gram and group:
-            close(edge)
-            group, lcps, edge = [], [], False
+            close(split_low and first)
+            group, lcps, first = [], [], False
         mine = list(zip(*places, strict=True))
         for k in range(len(group) - 1, -1, -1):
             if group[k][0] != suffix:
@@ -273,21 +311,11 @@ def merge_range(pdf: pd.DataFrame, windows: Windows) -> pd.DataFrame:
         if k < 0:
             group.append((suffix, before, mine))
             lcps.append(lcp)
-    close(True)
-    out = pd.DataFrame(spans, columns=["doc_id", "th", "start", "end"]).astype({"doc_id": "Int64", "th": "int64", "start": "int64", "end": "int64"})
-    out = out.assign(n=pd.array([None] * len(out), "Int64"), w1=pd.array([None] * len(out), "Int64"), w2=pd.array([None] * len(out), "Int64"))
-    if not rows:
-        return out
-    missing, docs, th, start, n, w1, w2 = (np.concatenate(x) for x in zip(*rows, strict=True))
-    more = pd.DataFrame({"doc_id": pd.arrays.IntegerArray(docs.astype(np.int64), np.isnan(missing)), "th": th, "start": start, "end": start + windows.window})
-    return pd.concat([out, more.assign(n=pd.array(n, "Int64"), w1=pd.array(w1, "Int64"), w2=pd.array(w2, "Int64"))], ignore_index=True)
-
-
-def split_equal_runs(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """A run's rows as runs with each place once: copies of a run go to runs of their own."""
-    turn = own.groupby("seq").cumcount()
-    for _, part in own.groupby(turn, sort=True):
-        yield part
+    if group:
+        close(split_high or split_low and first)
+    known = [pa.array(c, pa.int64()) for c in (zip(*spans, strict=True) if spans else [[]] * 4)]
+    out = [pa.Table.from_arrays([*known, *[pa.nulls(len(spans), pa.int64())] * 3], names=MERGED)]
+    return pa.concat_tables([*out, *rows])
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
@@ -295,13 +323,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
     windows = Windows(length, gram)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(count_anchors(docs, windows, byte_symbols))
-    cuts = splitters(docs, windows, shared, max(2, 2 * shuffle_partitions(spark)))
-    runs = sorted_runs(docs, windows, shared, cuts)
+    cuts = splitters(docs, windows, shared, max(2, shuffle_partitions(spark)))
+    bounds = spark.sparkContext.broadcast(cuts)
+    runs = sorted_runs(docs, windows, shared, bounds)
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return merge_range(pdf, Windows(length, gram))
+    def merge(part: pa.Table) -> pa.Table:
+        return merge_range(part, Windows(length, gram), bounds.value)
 
-    merged, merged_at = stored(runs.groupBy("part").applyInPandas(merge, MERGED))
+    merged, merged_at = stored(runs.groupBy("part").applyInArrow(merge, ", ".join(f"{c} long" for c in MERGED)))
     whole = merged.filter("n is null").select("doc_id", "th", "start", "end")
     parts = repeated_windows(merged.filter("n is not null").select("doc_id", "th", "start", "n", "w1", "w2"))
     spans = materialise(whole.union(parts.withColumn("end", F.col("start") + length)))
