@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.operators import deals, opportunity, rows, sellers, workflow
-from hearthline.plans.registry import cents, load, longs, query
+from hearthline.operators import deals, opportunity, sellers, workflow
+from hearthline.plans.registry import cents, load, query
 from hearthline.plans.relational import STEPS, price_steps
 
 PRICE = "CAST(round(o_totalprice * 100) AS BIGINT)"
