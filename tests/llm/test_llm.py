@@ -12,7 +12,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hearthline.llm import decontaminate, langid, licenses, packing, repeats, simhash, spotsigs, substring_dedup, suffix_dedup, tokens, urlfilter
