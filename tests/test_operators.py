@@ -103,6 +103,17 @@ def test_resolve(spark):
     assert got == {1: ("AUTO_MATCH", "P"), 2: ("NEW_PROPERTY", None), 3: ("NEW_PROPERTY", None)}
 
 
+def test_candidates_let_unknown_sizes_and_rooms_pass(spark):
+    """As the reference filters: unknown passes, and a listing without size and rooms has no candidates."""
+    ls = [(k, ["bulevar", "10"] if k % 2 else ["x"], ["bulevar"], size, rooms, None) for k, (size, rooms) in enumerate([(s, r) for s in (72.0, None) for r in (3.0, None) for _ in range(2)])]
+    ps = [(f"P{k}", ["bulevar", "10", "a"], size, rooms, None) for k, (size, rooms) in enumerate([(s, r) for s in (72.0, 150.0, None) for r in (3.0, 9.0, None)])]
+    lf = spark.createDataFrame(ls, "listing_id int, tokens array<string>, words array<string>, size double, rooms double, floor int")
+    pf = spark.createDataFrame(ps, "property_id string, p_tokens array<string>, p_size double, p_rooms double, p_floor int")
+    fits = lambda a, b, w: a is None or b is None or abs(a - b) <= w
+    want = sorted((l[0], p[0]) for l in ls for p in ps if (l[3], l[4]) != (None, None) and fits(l[3], p[2], 25) and fits(l[4], p[3], 2) and (l[0] % 2 or l[3] == p[2] == 72))  # noqa: E741
+    assert sorted((r.listing_id, r.property_id) for r in matching.candidates(lf, pf).collect()) == want
+
+
 def test_pipeline_never_falls(spark):
     steps = spark.createDataFrame([("a", 1, "CALLED"), ("a", 2, "REVIEWED"), ("b", 1, "LOST"), ("b", 2, "WON"), ("b", 3, "VISITED"), ("c", 1, "??")], "p string, t int, status string")
     got = {r.p: r.status for r in workflow.pipeline_state(steps, "p", ["t"]).collect()}
