@@ -1,11 +1,12 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a sentence or line. It matches a template if it holds at least `least` of the template's
+A block is a sentence, over the lines it is wrapped into, or a line. It matches a template if it holds at least `least` of the template's
 distinct words. Template words are ordered by their frequency over all documents, rarest first: a block
 that matches has one of a template's |t| - ceil(least |t|) + 1 rarest words (prefix filter), at least
 ceil(least |t|) words (length filter), and, at the place of the first common word, enough words left on
-both sides (positional filter); what passes is verified. A block's labels are those of the templates that it
-holds most of, so that sister versions of one statement do not all claim it. Templates are a fixed small list, so their
+both sides (positional filter); what passes is verified. A block has the label of every template that it matches,
+but for one of which it holds only a part, and that part within a greater part of another template: so sister
+versions of one statement are told by the version word, which only one of them matches. Templates are a fixed small list, so their
 index is sent to every task; documents are not shuffled.
 
 Null and empty texts have no words and no labels. Repeated rows are judged each on its own. Extra
@@ -43,6 +44,8 @@ TEMPLATES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
 ]
 BLOCK_END = re.compile(rb"(?<=[.!?])[\x09-\x0D\x20]+|\n+")
+#: Blocks go over single line ends.
+JOINED_END = re.compile(rb"(?<=[.!?])[\x09-\x0D\x20]+|\n[\x09-\x0D\x20]*\n")
 
 
 class TemplateIndex:
@@ -62,6 +65,17 @@ class TemplateIndex:
 
     def block(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
         """(label, containment) of each template that a block's words meet."""
+        return ((label, len(both) / n) for label, both, n in self.met(words))
+
+    def settled(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
+        """The same without templates held in part, whose part another template's greater part includes."""
+        met = [*self.met(words)]
+        for label, both, n in met:
+            if len(both) == n or not any(both < other for _, other, _ in met):
+                yield label, len(both) / n
+
+    def met(self, words: list[bytes]) -> Iterator[tuple[str, set[int], int]]:
+        """(label, common words, words of the template) of each template that a block's words meet."""
         have = sorted({self.rank[w] for w in words if w in self.rank})
         tried = set()
         for k, r in enumerate(have):
@@ -70,9 +84,9 @@ class TemplateIndex:
                 if t in tried or len(have) < need or 1 + min(len(have) - k - 1, len(own) - at - 1) < need:
                     continue  # the first common word decides; a later one leaves fewer
                 tried.add(t)
-                both = len(set(own).intersection(have))
-                if both >= need:
-                    yield label, both / len(own)
+                both = set(own).intersection(have)
+                if len(both) >= need:
+                    yield label, both, len(own)
 
 
 def phrase_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
@@ -121,11 +135,11 @@ def scan(docs: DataFrame, least: float = 0.8, templates: list[tuple[str, str]] |
                 places = phrase_places(words, phrases)
                 base, found, score = {label for _, label in places}, set(), 1.0 if places else 0.0
                 if not index.prefix_words.isdisjoint(words):
-                    for block in BLOCK_END.split(data):
-                        met = [*index.block(block.translate(WORD_BYTES).split())]
-                        most = max((share for _, share in met), default=0.0)
-                        found.update(label for label, share in met if share == most)
-                        score = max(score, most)
+                    for joined in JOINED_END.split(data):
+                        for block in {joined, *BLOCK_END.split(joined)}:
+                            for label, share in index.settled(block.translate(WORD_BYTES).split()):
+                                found.add(label)
+                                score = max(score, share)
                 at = [p for p, _ in places]
                 for column, value in zip(out, (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), score)):
                     column.append(value)

@@ -255,6 +255,18 @@ def test_licenses(docs, rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_in_one_block_and_over_lines(spark):
+    gpl = "This work is licensed under the GNU General Public License, version"
+    texts = {
+        "Released under the MIT License and licensed under the Apache License, version 2": "apache,apache-2.0,mit",
+        "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted": "bsd",
+        gpl.replace("Public ", "Public\n") + " 3": "gpl,gpl-3.0", f"{gpl} 2": "gpl,gpl-2.0", f"{gpl} 2 or version 3": "gpl,gpl-2.0,gpl-3.0",
+        "Licensed under CC BY NC 4.0": "cc-by,cc-by-nc-4.0", "Redistribution and use in source and binary forms\n\nwith or without modification are permitted": "",
+    }
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(frame).collect()} == dict(enumerate(texts.values()))
+
+
 def test_template_index_finds_all_matches():
     templates = [(str(k), " ".join(dict.fromkeys(rnd.choices(VOCAB, k=9)))) for k in range(12)]
     index = licenses.TemplateIndex(templates, {w.encode(): rnd.randrange(50) for w in VOCAB}, 0.6)
