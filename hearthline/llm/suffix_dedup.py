@@ -4,7 +4,8 @@ A byte is covered if a string of `length` bytes around it also starts anywhere e
 at content-defined anchors whose gram may repeat (see repeats.py); a suffix is what its unit's windows
 hold from the anchor on, followed by what they hold before it. Each task sorts its suffixes, merges
 equal ones, and sends front-coded runs (shared prefix length and the rest) to ranges between sampled
-splitters. Each range merges its runs with a loser tree: players keep the prefix they share with the
+splitters. A suffix takes at most two of its places in a run along: more would repeat whatever the range
+finds, and go past it in pieces, so that a range holds no more of one suffix than there are runs. Each range merges its runs with a loser tree: players keep the prefix they share with the
 last winner, and characters within a known common prefix are never compared again. The merge's own
 prefix lengths tell equal suffixes (all their windows repeat) and groups that share an anchor gram,
 whose members are then compared with each other; only groups too large for one range have their windows
@@ -22,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ SAMPLE_DOCS = 8_000
 SAMPLE_UNITS = 64
 #: A task's run is sorted and sent when its suffixes reach this size.
 RUN_BYTES = 1 << 25
+#: Of the places that a suffix has beside two, so many go in one row.
+PLACES = 1024
 
 #: A 64-bit symbol for each byte.
 SYMBOLS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -147,8 +151,9 @@ def splitters(docs: DataFrame, windows: Windows, shared, n: int) -> list[bytes]:
 
 
 def sorted_runs(docs: DataFrame, windows: Windows, shared, bounds) -> DataFrame:
-    """Each task's suffixes in order, front-coded within a range: part, run, seq, lcp, rest, before, places."""
-    window, gram = windows.window, windows.gram
+    """Each task's suffixes in order, front-coded within a range: part, run, seq, lcp, rest, before, places.
+    Rows of negative part have further places of suffixes that occur more than twice in their run."""
+    window, gram, n = windows.window, windows.gram, shuffle_partitions(docs.sparkSession)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, found, size = Windows(window, gram), {}, 0
@@ -159,29 +164,34 @@ def sorted_runs(docs: DataFrame, windows: Windows, shared, bounds) -> DataFrame:
                     size += 0 if places else len(suffix)
                     places.append((doc, th, p, e))
                 if size >= RUN_BYTES:
-                    yield from front_coded(found, bounds.value)
+                    yield from front_coded(found, bounds.value, n)
                     found, size = {}, 0
-        yield from front_coded(found, bounds.value)
+        yield from front_coded(found, bounds.value, n)
 
     many = "docs array<long>, ths array<long>, starts array<long>, ends array<long>"
     return docs.mapInArrow(emit, f"part long, run long, seq long, lcp long, rest binary, before long, {many}")
 
 
-def front_coded(found: dict[tuple[bytes, int], list], cuts: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """One sorted run, in batches; a range's first suffix is sent whole."""
+def front_coded(found: dict[tuple[bytes, int], list], cuts: list[bytes], beside: int) -> Iterator[pa.RecordBatch]:
+    """One sorted run, in batches; a range's first suffix is sent whole. Places beyond two of a suffix are dealt
+    over so many negative parts."""
     names = ["part", "run", "seq", "lcp", "rest", "before", "docs", "ths", "starts", "ends"]
     out, part, last, order = [[] for _ in names], -1, b"", sorted(found)
-    run = hash_run(order)
+    run, held = hash_run(order), 0
     for seq, (suffix, before) in enumerate(order):
         own = bisect.bisect_right(cuts, suffix)
         lcp = common_prefix(last, suffix, 0) if own == part else 0
         part, last = own, suffix
-        places = zip(*found[suffix, before], strict=True)
-        for column, value in zip(out, (part, run, seq, lcp, suffix[lcp:], before, *map(list, places)), strict=True):
-            column.append(value)
-        if len(out[0]) >= 4096:
-            yield runs_batch(out, names)
-            out = [[] for _ in names]
+        places = found[suffix, before]
+        rows = [(part, lcp, suffix[lcp:], places[:2])]
+        rows += [(-1 - (run + seq + k) % beside, 0, b"", places[k : k + PLACES]) for k in range(2, len(places), PLACES)]
+        for to, shared, rest, own_places in rows:
+            for column, value in zip(out, (to, run, seq, shared, rest, before, *map(list, zip(*own_places, strict=True))), strict=True):
+                column.append(value)
+            held += len(own_places)
+            if len(out[0]) >= 4096 or held >= 64 * PLACES:
+                yield runs_batch(out, names)
+                out, held = [[] for _ in names], 0
     yield runs_batch(out, names)
 
 
@@ -257,6 +267,9 @@ def merge_range(part: pa.Table, windows: Windows, cuts: list[bytes]) -> pa.Table
     """Spans of repeated windows (n null), and, of groups that a cut splits, the hashed windows (n: 1, or 2
     for a suffix known to repeat), which are grouped over all ranges."""
     number = part.column("part")[0].as_py()
+    if number < 0:
+        places = [pc.list_flatten(part.column(c)) for c in ("docs", "ths", "starts", "ends")]
+        return pa.Table.from_arrays([*places, *[pa.nulls(len(places[0]), pa.int64())] * 3], names=MERGED)
     split_low = number > 0 and len(cuts[number - 1]) > windows.gram
     split_high = number < len(cuts) and len(cuts[number]) > windows.gram
     part = part.sort_by([("run", "ascending"), ("seq", "ascending")])

@@ -130,6 +130,18 @@ def test_suffix_dedup_of_large_groups(spark):
     assert got == {k: int(f.sum()) for k, f in enumerate(cover([t.encode() for t in many], 400))}
 
 
+def test_suffix_dedup_sends_few_places_of_a_suffix_to_its_range(spark):
+    found = {(b"a" * 500, 0): [(k, 1, 0, 500) for k in range(5000)], (b"b" * 500, 9): [(7, 1, 0, 500)]}
+    rows = [r for batch in suffix_dedup.front_coded(found, [], 8) for r in batch.to_pylist()]
+    assert [(r["part"], r["docs"]) for r in rows if r["part"] >= 0] == [(0, [0, 1]), (0, [7])]
+    assert max(len(r["docs"]) for r in rows) <= suffix_dedup.PLACES
+    assert sorted(d for r in rows for d in r["docs"]) == sorted([7, *range(5000)])
+    copies = [TAIL] * 3000 + [BASE]
+    frame = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(frame).collect()}
+    assert got == {k: len(t.encode()) if t is TAIL else 0 for k, t in enumerate(copies)}
+
+
 def test_strip_keeps_columns_and_valid_text(docs, none):
     got = suffix_dedup.strip_documents(docs)
     assert got.columns == docs.columns and got.count() < docs.count()
