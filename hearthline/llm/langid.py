@@ -2,8 +2,9 @@
 
 A zstandard dictionary per language is filled from a bounded, hash-chosen sample of labelled
 documents (at most `per_language` of them, an extract of at most `extract` characters each; both are
-parameters). Case is folded. Every whole text is then compressed with each dictionary. Margins narrower than
-`min_margin` are marked `rejected`: so are texts that are null or have no letter (`und`).
+parameters). Case is folded. Every whole text is then compressed with each dictionary, in blocks of a fixed
+size whose compressed sizes are summed: a dictionary saves so much a block, and the margin does not shrink
+with a text's length. Margins narrower than `min_margin` are marked `rejected`: so are texts that are null or have no letter (`und`).
 
 Rows with a null or empty language teach nothing; with nothing learned every text is `und`. Ties go
 to the first language in alphabetical order and are rejected. Extra columns are ignored.
@@ -20,8 +21,7 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 MOST_LANGUAGES = 500
-#: Longer texts that tie are rejected as they are.
-TIE_BYTES = 1 << 12
+BLOCK_BYTES = 1 << 14
 
 
 def sample_texts(labelled: DataFrame, per_language: int, extract: int, buckets: int = 32) -> dict[str, list[str]]:
@@ -58,9 +58,9 @@ def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 class Classifier:
-    """Compressors of all learned languages. Short texts that tie are compressed again, at a level that
-    finds shorter matches and four times over: a text of few bytes is else stored as it is, whatever the
-    dictionary holds."""
+    """Compressors of all learned languages. Texts that tie are compressed again, at a level that finds
+    shorter matches and each block four times over: a text of few bytes is else stored as it is, whatever
+    the dictionary holds."""
 
     def __init__(self, learned: dict[str, bytes], level: int, min_margin: float, tie_level: int = 19):
         self.langs = sorted(learned)
@@ -72,15 +72,16 @@ class Classifier:
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
         data = text.lower().encode()
-        lang, margin = self.best(data, self.packers)
-        if margin <= self.min_margin and len(data) <= TIE_BYTES:
-            lang, margin = self.best((data + b"\n") * 4, self.finer)
+        blocks = [data[k : k + BLOCK_BYTES] for k in range(0, len(data), BLOCK_BYTES)]
+        lang, margin = self.best(blocks, self.packers)
+        if margin <= self.min_margin:
+            lang, margin = self.best([(b + b"\n") * 4 for b in blocks], self.finer)
         return lang, margin, margin <= self.min_margin
 
-    def best(self, data: bytes, packers: list[zstandard.ZstdCompressor]) -> tuple[str, float]:
-        sizes = [len(p.compress(data)) for p in packers]
+    def best(self, blocks: list[bytes], packers: list[zstandard.ZstdCompressor]) -> tuple[str, float]:
+        sizes = [sum(len(p.compress(b)) for b in blocks) for p in packers]
         k = min(range(len(sizes)), key=sizes.__getitem__)
-        second = min((s for i, s in enumerate(sizes) if i != k), default=len(data) + sizes[k])
+        second = min((s for i, s in enumerate(sizes) if i != k), default=sum(map(len, blocks)) + sizes[k])
         return self.langs[k], min(1.0, max(0.0, (second - sizes[k]) / second))
 
 

@@ -367,3 +367,12 @@ def test_language(spark, none):
     assert {r.lang_pred for r in langid.identify(frame, {}).collect()} == {"und"}
     assert langid.dictionaries(none) == {} and langid.identify(none, learned).count() == 0
     assert langid.keep_identified(frame, learned).count() == 151
+
+
+def test_language_of_long_texts():
+    draw = random.Random(8)
+    vocabulary = {lang: ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(3, 9))) for _ in range(300)] for lang in "xyz"}
+    say = lambda lang, n: " ".join(draw.choices(vocabulary[lang], k=n))
+    judge = langid.Classifier({lang: say(lang, 8000).encode()[: 1 << 16] for lang in vocabulary}, 6, 0.001)
+    short, long = judge(say("y", 5000)), judge(say("y", 1_000_000))
+    assert short[::2] == long[::2] == ("y", False) and long[1] == pytest.approx(short[1], rel=0.2)
