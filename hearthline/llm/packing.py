@@ -16,17 +16,21 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from hearthline.llm.common import keyed
 from hearthline.llm.tokens import PRETOKEN, SPECIAL, Memo, byte_symbols, split_spaces
 
+#: Longer strings go to the library: the faster encoder's pattern fails on a million white spaces in a row.
+LONGEST = 1 << 16
+
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -34,10 +38,11 @@ class Encoder:
     """Ids of a byte-level tokenizer file, as unsigned 16-bit strings, memoised by piece.
 
     The file's vocabulary is handed to a byte-pair encoder that is faster on short strings than the
-    library the file is for; tests hold both against each other.
+    library the file is for; tests hold both against each other. Long strings are left to the library.
     """
 
     def __init__(self, path: str):
+        self.path = path
         file = json.load(open(path, encoding="utf-8"))
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -46,8 +51,13 @@ class Encoder:
         self.special = np.array([special[SPECIAL]], "<u2").tobytes()
         self.pieces = Memo(lambda piece: self.plain(" " + piece))
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def plain(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
+        ids = self.bpe.encode_ordinary(text) if len(text) <= LONGEST else self.library.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u2").tobytes()
 
     def encode(self, text: str) -> bytes:
         out = []

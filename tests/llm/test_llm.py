@@ -85,6 +85,12 @@ def test_memo_keeps_answers_when_it_turns_over():
     assert len(memo) <= 3 and len(memo.old) <= 3
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \t"])
+def test_packing_encodes_long_white_space(run):
+    text = "a " + run * (2_000_000 // len(run)) + "b c"
+    assert np.frombuffer(packing.encoder(PATH).encode(text), "<u2").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
 def test_packing_places_every_id_once(docs, rows, none):
     library = Tokenizer.from_file(PATH)
     pieces = packing.pack_documents(docs, PATH, group_size=7).collect()
