@@ -1,7 +1,7 @@
 """Packing by first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are dealt at random (by a seeded hash) into groups of about `group_size`; each group is
-packed on its own. A document's ids are cut into full sequences and a tail. Tails are packed first
+Documents are dealt at random (by a seeded hash of the row, its task and, of repeated rows, its turn)
+into groups of about `group_size`; each group is packed on its own. A document's ids are cut into full sequences and a tail. Tails are packed first
 fit, longest first; the leftmost bin with room is found by walking down a tournament tree that holds
 the largest free capacity below each node. Since documents may be cut anywhere, the emptiest bins
 then fill the gaps of the fuller ones, and the one bin that stays underfull is cut into power-of-two
@@ -15,14 +15,16 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hearthline.llm.common import keyed
@@ -35,7 +37,8 @@ PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 class Encoder:
-    """Ids of a byte-level tokenizer file, as unsigned 16-bit strings, memoised by piece.
+    """Ids of a byte-level tokenizer file, as strings of unsigned 16-bit numbers (of 32-bit ones if the
+    vocabulary has more), memoised by piece.
 
     The file's vocabulary is handed to a byte-pair encoder that is faster on short strings than the
     library the file is for; tests hold both against each other. Long strings are left to the library.
@@ -48,7 +51,8 @@ class Encoder:
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in s): i for s, i in file["model"]["vocab"].items() if s not in special}
         self.bpe = tiktoken.Encoding("file", pat_str=PRETOKEN.pattern.replace(r"\p{White_Space}", r"\s").replace(r"\P{White_Space}", r"\S"), mergeable_ranks=ranks, special_tokens={})
-        self.special = np.array([special[SPECIAL]], "<u2").tobytes()
+        self.dtype = "<u2" if max([*special.values(), *ranks.values()]) < 1 << 16 else "<u4"
+        self.special = np.array([special[SPECIAL]], self.dtype).tobytes()
         self.pieces = Memo(lambda piece: self.plain(" " + piece))
 
     @cached_property
@@ -57,7 +61,7 @@ class Encoder:
 
     def plain(self, text: str) -> bytes:
         ids = self.bpe.encode_ordinary(text) if len(text) <= LONGEST else self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u2").tobytes()
+        return np.array(ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -150,17 +154,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = 1024, e
     groups = max(1, -(-docs.count() // group_size))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer_path).encode
+        made, task, met = encoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            n_tokens, crcs, tails = [], [], []
-            for value in batch.column("text"):
-                ids = np.append(np.frombuffer(ids_of(value.as_py()), "<u2"), np.uint16(end_id))
+            dealt, n_tokens, crcs, tails = [], [], [], []
+            for doc, th, value in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), strict=True):
+                ids = np.append(np.frombuffer(made.encode(value.as_py()), made.dtype).astype("<u4"), np.uint32(end_id))
                 whole = len(ids) // sequence * sequence
+                # Repeated rows are told apart by task and turn, so that they don't meet in one group.
+                dealt.append(xxhash.xxh3_64_intdigest(f"{seed} {doc} {th} {task} {met[doc, th]}") % groups)
+                met[doc, th] += 1
                 n_tokens.append(len(ids))
                 crcs.append([crc(ids[k : k + sequence]) for k in range(0, whole, sequence)])
-                tails.append(ids[whole:].astype("<u2").tobytes())
+                tails.append(ids[whole:].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("grp"), pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
+                [batch.column("doc_id"), pa.array(dealt, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
                 ["doc_id", "grp", "doc_tokens", "crcs", "tail"],
             )
 
@@ -173,16 +180,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = 1024, e
                 rows.append((doc, k * sequence, sequence, c, total, base + at, 0))
                 at += 1
         items = [r for r in order if r[2]]
-        for bin_ in pack_lengths([len(r[2]) // 2 for r in items], sequence):
+        for bin_ in pack_lengths([len(r[2]) // 4 for r in items], sequence):
             offset = 0
             for item, start, length in bin_:
                 total, doc, tail, _ = items[item]
-                piece = np.frombuffer(tail, "<u2")[start : start + length]
+                piece = np.frombuffer(tail, "<u4")[start : start + length]
                 rows.append((doc, total // sequence * sequence + start, length, crc(piece), total, base + at, offset))
                 offset += length
             at += 1
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=PIECES)
 
-    grouped = keyed(docs).withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("th")), F.lit(groups)))
-    encoded = grouped.select("doc_id", "grp", "text").mapInArrow(encode, "doc_id long, grp long, doc_tokens long, crcs array<long>, tail binary")
+    encoded = keyed(docs).mapInArrow(encode, "doc_id long, grp long, doc_tokens long, crcs array<long>, tail binary")
     return encoded.groupBy("grp").applyInArrow(pack, ", ".join(f"{c} long" for c in PIECES))
