@@ -1,8 +1,8 @@
 """Language identification by compression: the language whose raw-content dictionary shrinks a text most.
 
 A zstandard dictionary per language is filled from a bounded, hash-chosen sample of labelled
-documents (at most `per_language` of them, an extract of at most `extract` characters each; both are
-parameters). Case is folded. Every whole text is then compressed with each dictionary, in blocks of a fixed
+documents (at most `per_language` of them, extracts of `size` characters in all; both are parameters,
+and all languages together have at most 32 MB). Case is folded. Every whole text is then compressed with each dictionary, in blocks of a fixed
 size whose compressed sizes are summed: a dictionary saves so much a block, and the margin does not shrink
 with a text's length. Margins narrower than `min_margin` are marked `rejected`: so are texts that are null or have no letter (`und`).
 
@@ -20,35 +20,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-MOST_LANGUAGES = 500
+#: Characters that the dictionaries of all languages have together, at most: 64 K each for up to 512 languages.
+TOTAL = 1 << 25
 BLOCK_BYTES = 1 << 14
 
 
-def sample_texts(labelled: DataFrame, per_language: int, extract: int, buckets: int = 32) -> dict[str, list[str]]:
-    """At most per_language extracts of each language, in hash order. Ids are chosen first, from narrow
-    rows dealt over buckets, so that a dominant language makes no hot task; only chosen texts are read."""
+def sample_texts(labelled: DataFrame, per_language: int, size: int, buckets: int = 32) -> dict[str, list[str]]:
+    """At most per_language extracts of each language, in hash order, of size characters in all (as many of
+    each text). Ids are chosen first, from narrow rows dealt over buckets, so that a dominant language makes
+    no hot task; only chosen texts are read. With many languages size shrinks, so that all have at most TOTAL."""
     known = labelled.filter(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     order = F.xxhash64(F.col("doc_id"), F.lit(11))
     dealt = known.select("doc_id", "lang", order.alias("h"), F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(buckets)).alias("b"))
     turn = F.row_number().over(Window.partitionBy("lang", "b").orderBy("h", "doc_id"))
-    chosen = dealt.withColumn("turn", turn).filter(F.col("turn") <= max(1, per_language // buckets)).select("doc_id", "lang")
-    start = F.pmod(order, F.greatest(F.lit(1), F.length("text") - F.lit(extract))).cast("int") + 1
-    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.substr(F.col("text"), start, F.lit(extract)).alias("text"))
+    chosen = dealt.withColumn("turn", turn).filter(F.col("turn") <= max(1, per_language // buckets)).select("doc_id", "lang").distinct()
+    number = chosen.groupBy("lang").agg(F.count("*").alias("number"))
+    languages = number.agg(F.count("*")).first()[0]
+    share = F.greatest(F.lit(1), F.floor(F.lit(min(size, TOTAL // max(1, languages))) / F.col("number"))).cast("int").alias("share")
+    # At most per_language rows of two short columns for each language.
+    wanted = F.broadcast(chosen.join(F.broadcast(number), "lang").select("doc_id", "lang", share))
+    start = F.pmod(order, F.greatest(F.lit(1), F.length("text") - F.col("share"))).cast("int") + 1
+    texts = known.join(wanted, ["doc_id", "lang"]).select("doc_id", "lang", F.substr(F.col("text"), start, F.col("share")).alias("text"))
     out: dict[str, list[str]] = {}
-    for row in texts.dropDuplicates(["doc_id", "lang"]).orderBy("doc_id").collect():
+    for row in texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id").toLocalIterator():
         out.setdefault(row["lang"], []).append(row["text"])
-    if len(out) > MOST_LANGUAGES:
-        raise ValueError(f"{len(out)} languages are labelled; at most {MOST_LANGUAGES} can be learned")
     return out
 
 
-def dictionaries(labelled: DataFrame, per_language: int = 256, extract: int = 2000, size: int = 1 << 16) -> dict[str, bytes]:
-    """Raw dictionary content of each language: its sampled texts, evenly cut to size bytes in all."""
-    out = {}
-    for lang, texts in sorted(sample_texts(labelled, per_language, extract).items()):
-        share = max(1, size // len(texts))
-        out[lang] = b"\n".join(t.lower().encode()[:share] for t in texts)[-size:]
-    return out
+def dictionaries(labelled: DataFrame, per_language: int = 256, size: int = 1 << 16) -> dict[str, bytes]:
+    """Raw dictionary content of each language: its sampled extracts, at most size bytes."""
+    return {lang: b"\n".join(t.lower().encode() for t in texts)[-size:] for lang, texts in sorted(sample_texts(labelled, per_language, size).items())}
 
 
 def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
