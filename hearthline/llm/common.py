@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set a local one only where none is set (tests)."""
+    """Use the cluster's shared checkpoint folder. Where none is set, a local master gets a temporary one (tests);
+    on a cluster that is an error, since its executors share no local folder."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hearthline-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="hearthline-")
+    sc.setCheckpointDir(folder)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -53,5 +58,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, row): the key of keyed() beside the row itself, so that no name of docs clashes with
+    a column of an operator's own; select("row.*") gives docs again."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.struct("*").alias("row"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

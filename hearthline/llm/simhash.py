@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import keyed, materialise
+from hearthline.llm.common import keyed, materialise, whole_rows
 from hearthline.llm.components import connected_components
 
 HASH_SEED = 42
@@ -145,12 +145,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> Da
 
 def keep_one(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
     """One document of each group of linked fingerprints, with all its columns: the least doc_id, and of
-    repeated rows of it one. Rows without an id stay if no row of their group has one."""
-    firsts = near_duplicates(docs, shingle, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    firsts = firsts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.withColumn("_own", th).join(firsts, (F.col("_own") == F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_own", "doc_id"]).drop("_own")
+    repeated rows of it the one whose columns' hash, then JSON text, is least. Rows without an id stay if no
+    row of their group has one."""
+    # Plain equalities on the same three columns: the join's partitioning serves the grouping too.
+    key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("without"), F.col("th")]
+    firsts = near_duplicates(docs, shingle, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
+    kept = whole_rows(docs).select(*key, "row").join(firsts, ["k", "without", "th"], "left_semi")
+    text = F.to_json("row")
+    return kept.groupBy("k", "without", "th").agg(F.min_by("row", F.struct(F.xxhash64(text), text)).alias("row")).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
