@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import discard, keyed, materialise, stored
-from hearthline.llm.repeats import PAIRWISE, Windows, count_anchors, covered, repeated_windows, shared_offsets, with_spans
+from hearthline.llm.repeats import PAIRWISE, Windows, count_anchors, covered, digests, repeated_windows, shared_offsets, with_spans
 
 GRAM = 9
+#: Bytes of a word and its space, for the sketch's size.
+WORD_BYTES = 6
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -37,7 +39,7 @@ def text_symbols(text: str) -> np.ndarray:
 def candidates(docs: DataFrame, windows: Windows) -> DataFrame:
     """A row for each unit whose anchor may repeat: key, content hash, place, and the words themselves
     where the task meets this content for the first time."""
-    shared = docs.sparkSession.sparkContext.broadcast(count_anchors(docs, windows, text_symbols))
+    shared = docs.sparkSession.sparkContext.broadcast(count_anchors(docs, windows, text_symbols, WORD_BYTES))
     window, gram = windows.window, windows.gram
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,8 +52,9 @@ def candidates(docs: DataFrame, windows: Windows) -> DataFrame:
                 for k in np.flatnonzero(sketch.repeated(keys)).tolist():
                     p, q = int(first[k]), int(last[k])
                     payload = b" ".join(words[p : q + window])
-                    digest = xxhash.xxh3_128_digest(payload, seed=int(anchors[k]) - p)
-                    for column, value in zip(out, (int(keys[k].view(np.int64)), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, th, p, q + window, int(anchors[k]) - p, None if digest in seen else payload)):
+                    (c1,), (c2,) = (x.tolist() for x in digests([payload], (int(anchors[k]) - p).to_bytes(8, "little")))
+                    digest = c1, c2
+                    for column, value in zip(out, (int(keys[k].view(np.int64)), c1, c2, doc, th, p, q + window, int(anchors[k]) - p, None if digest in seen else payload)):
                         column.append(value)
                     seen.add(digest)
             types = [pa.int64()] * 8 + [pa.binary()]
@@ -112,10 +115,10 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataF
     near = small.mapInArrow(compare_contents(window), "doc_id long, th long, start long, end long")
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Windows(window, gram)
         for batch in batches:
             for doc, th, start, n, payload in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "start", "n", "payload")), strict=True):
-                w1, w2 = make.hashes(word_hashes(payload.split(b" ")))
+                words = payload.split(b" ")
+                w1, w2 = digests(b" ".join(words[k : k + window]) for k in range(len(words) - window + 1))
                 size = len(w1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc] * size, pa.int64()), pa.array([th] * size, pa.int64()), pa.array(np.arange(start, start + size)), pa.array([n] * size, pa.int64()), pa.array(w1), pa.array(w2)],

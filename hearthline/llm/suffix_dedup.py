@@ -27,13 +27,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import discard, keyed, materialise, shuffle_partitions, stored
-from hearthline.llm.repeats import PAIRWISE, Sketch, Windows, count_anchors, covered, mixed, repeated_windows, shared_offsets, with_spans
+from hearthline.llm.common import discard, keyed, materialise, shuffle_partitions, stored, whole_rows
+from hearthline.llm.repeats import PAIRWISE, Sketch, Windows, count_anchors, covered, digests, mixed, repeated_windows, shared_offsets, with_spans
 
-GRAM = 100
-#: Splitters come from every second suffix of about so many documents, at most SAMPLE_UNITS from each.
+#: An anchor's gram is this part of a string: 100 bytes of 400.
+GRAM_PART = 4
+#: Splitters come from suffixes of about so many documents, at most SAMPLE_UNITS of each; of more, if ranges
+#: of RANGE_BYTES (as suffixes, before merging and front coding) have fewer than SAMPLES_PER_RANGE each.
 SAMPLE_DOCS = 8_000
-SAMPLE_UNITS = 64
+SAMPLE_UNITS = 16
+SAMPLES_PER_RANGE = 8
+RANGE_BYTES = 1 << 26
 #: A task's run is sorted and sent when its suffixes reach this size.
 RUN_BYTES = 1 << 25
 #: Of the places that a suffix has beside two, so many go in one row.
@@ -127,25 +131,36 @@ def suffixes(data: bytes, windows: Windows, sketch: Sketch | None) -> Iterator[t
         yield data[a:e] + data[p:a], a - p, p, e
 
 
-def splitters(docs: DataFrame, windows: Windows, shared, n: int) -> list[bytes]:
-    """At most n - 1 strings that part sampled suffixes evenly; they balance tasks and don't bear on
-    results. A cut is an anchor gram, so that ranges hold whole groups, but for groups that are large
-    enough to hold several cuts: these are split by their whole suffixes."""
-    step = max(1, docs.count() // SAMPLE_DOCS)
+def splitters(docs: DataFrame, windows: Windows, shared) -> list[bytes]:
+    """Strings that part the suffixes into ranges of about RANGE_BYTES, as a sample of documents has them;
+    they balance tasks and don't bear on results. A cut is an anchor gram, so that ranges hold whole groups,
+    but for groups that are large enough to hold several cuts: these are split by their whole suffixes."""
     window, gram = windows.window, windows.gram
 
     def sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Windows(window, gram)
         for batch in batches:
-            found = []
+            found, sizes = [], []
             for text in batch.column("text"):
                 own = [s for s, *_ in suffixes(text.as_py().encode(), make, shared.value)]
-                found += own[:: max(2, -(-len(own) // SAMPLE_UNITS))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["suffix"])
+                picked = own[:: max(1, -(-len(own) // SAMPLE_UNITS))]
+                found += picked
+                sizes += [sum(map(len, own)) // len(picked)] * len(picked) if own else []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], ["suffix", "size"])
 
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "th", F.lit(3)), F.lit(step)) == 0)
-    got = sorted(bytes(r["suffix"]) for r in some.select("text").mapInArrow(sample, "suffix binary").collect())
-    picked = sorted({got[k * len(got) // n] for k in range(1, n)}) if got else []
+    step = max(1, docs.count() // SAMPLE_DOCS)
+    while True:
+        some = docs.filter(F.pmod(F.xxhash64("doc_id", "th", F.lit(3)), F.lit(step)) == 0)
+        got = sorted((bytes(r["suffix"]), r["size"]) for r in some.select("text").mapInArrow(sample, "suffix binary, size long").collect())
+        n = max(2, shuffle_partitions(docs.sparkSession), step * sum(z for _, z in got) // RANGE_BYTES)
+        if step == 1 or len(got) >= SAMPLES_PER_RANGE * n:
+            break
+        step = max(1, min(step // 2, step * max(1, len(got)) // (SAMPLES_PER_RANGE * n)))
+    share, held, picked = sum(z for _, z in got) / n, 0, set()
+    for suffix, size in got:
+        if (held + size) // share > held // share:
+            picked.add(suffix)
+        held += size
     shared_gram = Counter(s[:gram] for s in picked)
     return sorted({s if shared_gram[s[:gram]] > 1 else s[:gram] for s in picked} | {g for g, k in shared_gram.items() if k > 1})
 
@@ -199,7 +214,7 @@ def hash_run(order: list[tuple[bytes, int]]) -> int:
     """A name for a run that depends on its content only, so that a repeated task gives the same."""
     h = hashlib.blake2b(digest_size=7)
     for suffix, before in order:
-        h.update(suffix[:64] + before.to_bytes(4, "little"))
+        h.update(len(suffix).to_bytes(4, "little") + before.to_bytes(4, "little") + suffix)
     return int.from_bytes(h.digest(), "little")
 
 
@@ -287,10 +302,10 @@ def merge_range(part: pa.Table, windows: Windows, cuts: list[bytes]) -> pa.Table
     first = True
 
     def hashed(suffix: bytes, before: int, p: int, first: int, last: int) -> tuple[np.ndarray, ...]:
-        """Starts and hashes of a suffix's windows at offsets last down to first."""
+        """Starts and digests of a suffix's windows at offsets last down to first."""
         ahead = len(suffix) - before
         data = suffix[ahead + before - last :] + suffix[: windows.window - first]
-        w1, w2 = windows.hashes(SYMBOLS[np.frombuffer(data, np.uint8)])
+        w1, w2 = digests(data[k : k + windows.window] for k in range(len(data) - windows.window + 1))
         return p + before - last + np.arange(len(w1)), w1, w2
 
     def close(split: bool) -> None:
@@ -331,14 +346,15 @@ def merge_range(part: pa.Table, windows: Windows, cuts: list[bytes]) -> pa.Table
     return pa.concat_tables([*out, *rows])
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, th, start, end) byte spans that repeated strings cover, materialised; docs: keyed()."""
+    gram = max(1, length // GRAM_PART)
     windows = Windows(length, gram)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(count_anchors(docs, windows, byte_symbols))
-    cuts = splitters(docs, windows, shared, max(2, shuffle_partitions(spark)))
+    cuts = splitters(docs, windows, shared)
     bounds = spark.sparkContext.broadcast(cuts)
-    runs = sorted_runs(docs, windows, shared, bounds)
+    runs = sorted_runs(docs, windows, shared, bounds).repartition(max(shuffle_partitions(spark), len(cuts) + 1), "part")
 
     def merge(part: pa.Table) -> pa.Table:
         return merge_range(part, Windows(length, gram), bounds.value)
@@ -376,14 +392,13 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 def strip_documents(docs: DataFrame, length: int = 400) -> DataFrame:
     """docs without the bytes that repeated strings cover, in the same columns: text (a character that
     is cut through goes) and, if it is there, n_chars are changed. Texts that nothing is left of go."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows, names = docs.withColumn("th", F.xxhash64(text)), docs.columns
-    spans = repeated_spans(keyed(docs), length)
+    spans, names = repeated_spans(keyed(docs), length), docs.columns
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = dict(zip(names, batch.column("row").flatten(), strict=True))
             texts, keep = [], []
-            for text, starts, ends in zip(batch.column("text"), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
+            for text, starts, ends in zip(columns["text"], batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
                 value = text.as_py()
                 if starts:
                     data = value.encode()
@@ -391,10 +406,11 @@ def strip_documents(docs: DataFrame, length: int = 400) -> DataFrame:
                     value = np.frombuffer(data, np.uint8)[~flags].tobytes().decode(errors="ignore")
                 texts.append(value)
                 keep.append(not starts or bool(value.strip()))
-            own = [pa.array(texts, pa.string()) if name == "text" else pa.array([t if t is None else len(t) for t in texts], pa.int64()) if name == "n_chars" else batch.column(name) for name in names]
+            changed = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([t if t is None else len(t) for t in texts], pa.int64())}
+            own = [changed[n].cast(columns[n].type) if n in changed else columns[n] for n in names]
             yield pa.RecordBatch.from_arrays(own, names).filter(pa.array(keep, pa.bool_()))
 
-    return with_spans(rows, spans).mapInArrow(cut, docs.schema)
+    return with_spans(whole_rows(docs), spans).select("row", "starts", "ends").mapInArrow(cut, docs.schema)
 
 
 def digest(cut: DataFrame) -> DataFrame:
