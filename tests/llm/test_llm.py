@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql.functions import lit as spark_lit
 from tokenizers import Tokenizer
 
 from hearthline.llm import decontaminate, langid, licenses, packing, repeats, simhash, spotsigs, substring_dedup, suffix_dedup, tokens, urlfilter
@@ -115,6 +117,27 @@ def test_packing_places_every_id_once(docs, rows, none):
     assert packing.pack_documents(none, PATH).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    frame = spark.createDataFrame([(5, "a b c")] * 3000 + [(None, None)] * 3000, "doc_id long, text string").repartition(4)
+    pieces = packing.pack_documents(frame, PATH, group_size=256).collect()
+    groups = Counter(p.sequence_id >> 32 for p in pieces)
+    assert len(groups) > 20 and max(groups.values()) < 1200
+    assert sum(p.length for p in pieces) == 3000 * 4 + 3000
+
+
+def test_packing_of_a_larger_vocabulary(tmp_path):
+    """Ids beyond 16 bits: the file's own, moved up."""
+    file = json.load(open(PATH, encoding="utf-8"))
+    up = 100_000
+    file["model"]["vocab"] = {s: i if s == "<|endoftext|>" else i + up for s, i in file["model"]["vocab"].items()}
+    path = str(tmp_path / "large.json")
+    json.dump(file, open(path, "w", encoding="utf-8"))
+    small, large = packing.encoder(PATH), packing.Encoder(path)
+    text = "Some words, <|endoftext|> and " + words(50)
+    ids = np.frombuffer(small.encode(text), small.dtype).astype(int)
+    assert large.dtype == "<u4" and np.frombuffer(large.encode(text), "<u4").tolist() == np.where(ids == 50256, ids, ids + up).tolist()
+
+
 def test_first_fit_takes_the_leftmost_bin():
     tree = packing.FirstFit(5, 10)
     assert [tree.place(n)[0] for n in (6, 5, 4, 5, 1)] == [0, 1, 0, 1, 2]
@@ -148,12 +171,42 @@ def test_suffix_dedup_sends_few_places_of_a_suffix_to_its_range(spark):
     assert got == {k: len(t.encode()) if t is TAIL else 0 for k, t in enumerate(copies)}
 
 
+def test_operators_leave_a_caller_s_columns_alone(spark):
+    """Columns named like those of the operators keep their values, and of repeated rows the same one stays."""
+    names = ["doc_id", "text", "lang", "th", "row", "_own", "_id", "starts", "ends", "k", "own_th", "without"]
+    texts = [words(60), words(60), TAIL + " " + words(40), words(30) + " " + TAIL, None, ""]
+    rows = [(k, t, *[f"{c}{k}" for c in names[2:]]) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    want = {r[0]: r[2:] for r in rows}
+    for out in (suffix_dedup.strip_documents(frame), simhash.keep_one(frame), langid.keep_identified(frame, {"x": b"a b c", "y": b"d e f"}), decontaminate.remove_documents(frame, frame.selectExpr("'b' item_id", "'no such' text"))):
+        assert out.columns == names
+        assert all(tuple(r)[2:] == want[r.doc_id] for r in out.collect())
+    repeated = frame.limit(1).unionAll(frame.limit(1).withColumn("lang", spark_lit("zz")))
+    kept = {tuple(simhash.keep_one(repeated.repartition(n)).first()) for n in (1, 2, 3)}
+    assert len(kept) == 1
+
+
 def test_strip_keeps_columns_and_valid_text(docs, none):
     got = suffix_dedup.strip_documents(docs)
     assert got.columns == docs.columns and got.count() < docs.count()
     assert suffix_dedup.strip_documents(none).count() == 0
 
 
+def test_runs_of_near_copies_have_different_names():
+    a, b = ([(b"x" * 70 + tail, 0), (b"y" * 80, 3)] for tail in (b"1", b"2"))
+    assert suffix_dedup.hash_run(a) != suffix_dedup.hash_run(b) and suffix_dedup.hash_run(a) == suffix_dedup.hash_run([*a])
+
+
+def test_sketch_over_a_tree(spark, monkeypatch):
+    """Merged two by two and at once, a sketch lets through all that repeats and little else."""
+    monkeypatch.setattr(repeats, "FAN", 2)
+    lines = [words(30) for _ in range(60)]
+    frame = spark.createDataFrame([(line,) for line in [*lines, *lines[:20]]], "text string").repartition(7)
+    sketch = repeats.count_anchors(frame, repeats.Windows(20, 5), substring_dedup.text_symbols)
+    keys = [repeats.Windows(20, 5).units(substring_dedup.text_symbols(t))[0] for t in lines]
+    assert all(sketch.repeated(k).all() for k in keys[:20]) and sum(int(sketch.repeated(k).sum()) for k in keys[20:]) <= 3
+
+
 def test_loser_tree_never_compares_known_prefixes(monkeypatch):
     runs = [sorted(rnd.choice([b"aaaa", b"aab", b"ab", b"b" * 9, b""]) + bytes(rnd.choices(b"ab", k=rnd.randint(0, 6))) for _ in range(rnd.randint(0, 30))) for _ in range(7)]
     plain = suffix_dedup.common_prefix
@@ -230,6 +283,29 @@ def test_anchors_meet_all_links(spark):
             assert (np.bitwise_count(fp ^ anchor) <= 2).all()
 
 
+def test_fewer_anchors_find_what_all_within_radius_and_threshold_find():
+    """Replication within radius + half the threshold on both sides meets the same pairs as within radius + threshold."""
+    draw = np.random.default_rng(4)
+    x = draw.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + draw.integers(0, 2, 300, dtype=np.uint64)
+    for bits in (0, 1, 2, 3, 4):
+        y = x.copy()
+        for row in range(len(y)):
+            for b in draw.choice(64, bits, replace=False).tolist():
+                y[row] ^= np.uint64(1 << b)
+        for a, b in zip(x, y, strict=True):
+            near = [set(simhash.anchors_of(np.array([v]))[1].tolist()) for v in (a, b)]
+            # The nearest anchor of a is within the radius (1); it reaches b within radius + threshold if they are linked.
+            nearest = [m for m in near[0] if (int(m) ^ int(a)).bit_count() <= 1]
+            wide = any((int(m) ^ int(b)).bit_count() <= 1 + 2 for m in nearest)
+            assert nearest and (bits > 2 or (wide and near[0] & near[1]))
+
+
+def test_components_settle_however_long_the_chain(spark):
+    order = random.Random(2).sample(range(1000), 1000)
+    edges = spark.createDataFrame([*zip(order, order[1:])], "u long, v long")
+    assert {(r.u, r.root) for r in connected_components(edges).collect()} == {(k, 0) for k in range(1000)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (102, 101), (7, 7)], "u long, v long")
     got = {r.u: r.root for r in connected_components(edges).collect()}
@@ -265,6 +341,23 @@ def test_decontamination(spark, docs, rows, none):
     assert decontaminate.scan(none, bench).count() == 0
 
 
+def test_decontamination_with_null_ids_and_many_blocks(spark):
+    items = [(None if k % 4 == 0 else f"i{k % 7}", words(rnd.choice([3, 10, 24]))) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = [words(15) + " " + items[k % 30][1] + " " + words(5) for k in range(40)] + [words(30), "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    results = []
+    for block in (1 << 22, 200):
+        found = decontaminate.scan(frame, bench, block_chars=block).collect()
+        results.append(sorted((r.doc_id, r.n_words, r.spans, r.items) for r in found))
+        assert {r.doc_id for r in found if r.spans} >= set(range(40)) and not any(None in r["items"] for r in found)
+    assert results[0] == results[1]
+    assert all(("i%d" % (k % 30 % 7) in r[3]) or k % 30 % 4 == 0 for k, r in enumerate(results[0]) if k < 40)
+    index = list(decontaminate.blocks(bench, 10, 200))
+    assert len(index) >= 10 and all(len(x.words) <= 400 for x in index)
+    assert decontaminate.remove_documents(frame, bench, block_chars=200).count() == 3
+
+
 def test_licenses(docs, rows, none):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     row = next(r for i, r in got.items() if r.n_base)
@@ -375,6 +468,13 @@ def test_language(spark, none):
     assert langid.keep_identified(frame, learned).count() == 151
 
 
+def test_many_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TOTAL", 600 * 50)
+    frame = spark.createDataFrame([(k, f"w{k % 600} " * 40, f"l{k % 600}") for k in range(1800)], "doc_id long, text string, lang string")
+    learned = langid.dictionaries(frame)
+    assert len(learned) == 600 and max(map(len, learned.values())) <= 60
+
+
 def test_language_of_long_texts():
     draw = random.Random(8)
     vocabulary = {lang: ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(3, 9))) for _ in range(300)] for lang in "xyz"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from pathlib import Path
@@ -27,7 +28,7 @@ def components(prints):
     return root.tolist()
 
 
-def stripped(texts, w=400):
+def stripped(texts, w=corpus_pipeline.PASSAGE_BYTES):
     data = [t.encode() for t in texts]
     seen = Counter(d[p : p + w] for d in data for p in range(len(d) - w + 1))
     out = []
@@ -77,5 +78,35 @@ def test_stages(spark, tmp_path):
     assert tokens == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean.items()}
 
 
+def test_passages_of_over_fifty_words_go(spark):
+    """Planted passages of 51 to 80 words are cut out of every document that holds one; clean texts stay as they are."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("etaoinshrdlu", k=rnd.randint(1, 9)))
+    passages = [" ".join(word() for _ in range(rnd.randint(51, 80))) for _ in range(20)]
+    texts = [" ".join(word() for _ in range(rnd.randint(20, 200))) for _ in range(120)]
+    planted = {k: passages[k // 3] for k in range(60)}
+    full = [f"{t} {planted[k]} {t[::-1]}" if k in planted else t for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(full)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.passage_dedup(spark, docs, str(DATA)).collect()}
+    for k, t in enumerate(full):
+        assert (got[k] == t) == (k not in planted)
+        assert k not in planted or planted[k][8:-8] not in got[k]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null and empty texts, null ids, repeated rows and columns named like an operator's own."""
+    odd = "doc_id long, text string, lang string, source string, n_chars int, th long, row string, starts int, k long"
+    said = "the of and to in is that it was for on are with as his they be at one have this"
+    rows = [(k, f"{said} {k} {said[::-1]} " * 3, "en", None, 1, 7, "r", k, 5) for k in range(12)] + [(3, None, None, "s", None, 8, None, 1, None), (None, "", "en", "s", 0, 9, "x", 2, 1)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[0][:-1] + (6,)], odd)
+    for case, frame in (("odd", docs), ("empty", docs.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, str(DATA))
+            assert name == "packing" or out.columns == docs.columns, name
+            out.write.parquet(f"{tmp_path}/{case}-{name}")
+            frame = spark.read.parquet(f"{tmp_path}/{case}-{name}")
+        assert case == "odd" or frame.count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, str(DATA)).count() > 0
