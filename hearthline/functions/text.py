@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with a decomposition, and what is left of them; other non-ASCII letters go.
-FOLDED = ("šžčćáàâäãéèêëíìîïóòôöõúùûüñçý", "szccaaaaaeeeeiiiiooooouuuuncy")
-
-
 def squeeze(c: Column) -> Column:
     """White space collapsed to single spaces, dashes read as spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, "-", " "), r"\s+", " "))
@@ -19,8 +19,39 @@ def first_text(*cs: Column) -> Column:
     return F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in cs))
 
 
+@lru_cache(maxsize=1)
+def decomposed() -> tuple[str, str, dict[str, str]]:
+    """By compatibility decomposition (NFKD) of all non-ASCII code points: letters that leave one ASCII
+    character, what they leave, and those that leave several."""
+    one: dict[str, str] = {}
+    more: dict[str, str] = {}
+    for k in range(128, sys.maxunicode + 1):
+        letter = chr(k)
+        left = unicodedata.normalize("NFKD", letter).encode("ascii", "ignore").decode()
+        if left:
+            (one if len(left) == 1 else more)[letter] = left
+    return "".join(one), "".join(one.values()), more
+
+
+def spread(low: Column) -> Column:
+    """Letters that decompose into several ASCII characters (ligatures, fractions, dots) spelt out, the others
+    that have a decomposition replaced; texts without any of the former are not taken apart."""
+    singles, left, several = decomposed()
+    spelt = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    letters = F.transform(F.split(low, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.try_element_at(spelt, x), x)))
+    return F.translate(F.when(low.rlike(f"[{''.join(several)}]"), F.array_join(letters, "")).otherwise(low), singles, left)
+
+
 def ascii_fold(c: Column) -> Column:
-    return F.regexp_replace(F.translate(F.lower(c), *FOLDED), r"[^\x00-\x7F]", "")
+    """Lower case, decomposed, without what is then not ASCII: the same as folding through NFKD."""
+    return F.regexp_replace(spread(F.lower(c)), r"[^\x00-\x7F]", "")
+
+
+def folded_tokens(c: Column) -> Column:
+    """token_set(ascii_fold(c)) at less cost: a text is split once, and only its distinct parts are cleaned."""
+    parts = F.array_distinct(F.split(F.lower(spread(F.lower(F.coalesce(c, F.lit(""))))), r"[\x00-/:-`{-\x7F]+"))
+    clean = F.transform(parts, lambda x: F.regexp_replace(x, r"[^\x00-\x7F]", ""))
+    return F.array_sort(F.array_distinct(F.filter(clean, lambda x: F.length(x) > 1)))
 
 
 def token_set(c: Column) -> Column:
@@ -96,7 +127,7 @@ MICRO_LOCATIONS = {"bezanijska kosa": "Bezanijska kosa", "belville": "Belville",
 
 
 def micro_location(text: Column, zones: dict[str, str] = MICRO_LOCATIONS) -> Column:
-    """`Blok N` where the folded text names a block, else the first zone whose pattern occurs."""
+    """The neighbourhood: `Blok N` where the folded text names a block, else the first zone whose pattern occurs."""
     folded = ascii_fold(squeeze(text))
     block = F.regexp_extract(folded, r"\bblok\s*(\d{1,3})\b", 1)
     out = F.lit(None).cast("string")
@@ -120,6 +151,44 @@ def location_precision(micro: Column, municipality: Column, city: Column) -> tup
     return pick("MICROZONE", "MUNICIPALITY", "CITY", "UNKNOWN"), pick(0.90, 0.55, 0.35, 0.0)
 
 
+def located(*parts: Column) -> Column:
+    """struct of country, city, municipality, neighborhood, micro_location, precision and confidence of the
+    joined texts. Where no neighbourhood is named the micro-location is the cleaned text itself, if anything
+    of it is known; without any known part there is none."""
+    whole = squeeze(F.concat_ws(" ", *(first_text(p) for p in parts)))
+    zone, area, city = micro_location(whole), municipality(whole), belgrade(whole)
+    known = F.coalesce(zone, area, city).isNotNull()
+    level, sure = location_precision(zone, area, city)
+    return F.struct(
+        F.when(known, "RS").alias("country"), city.alias("city"), area.alias("municipality"), zone.alias("neighborhood"),
+        F.when(known, F.coalesce(zone, first_text(whole))).alias("micro_location"), level.alias("precision"), sure.alias("confidence"),
+    )
+
+
 def precision_rank(precision: Column) -> Column:
     names = ["UNKNOWN", "CITY", "MUNICIPALITY", "NEIGHBORHOOD", "MICROZONE"]
     return F.coalesce(*(F.when(precision == n, k) for k, n in enumerate(names)), F.lit(0))
+
+
+def json_text(c: Column) -> Column:
+    """A JSON string literal with all non-ASCII characters escaped, characters beyond the basic plane as pairs."""
+    low = F.regexp_replace(F.regexp_replace(F.to_json(F.array(c)), r"^\[", ""), r"\]$", "")
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    code = lambda x: F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("long")
+
+    def escaped(x: Column) -> Column:
+        n = code(x)
+        over = n - 0x10000
+        return F.when(n < 128, x).when(n < 0x10000, unit(n)).otherwise(F.concat(unit(over.bitwiseAND(0x3FFFFF) / 1024 + 0xD800), unit(over.bitwiseAND(1023) + 0xDC00)))
+
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(low, ""), escaped), "")).otherwise(low)
+
+
+def canonical_json(values: dict[str, Column], lists: set[str] = frozenset(), raw: dict[str, Column] | None = None, spaced: bool = False) -> Column:
+    """A JSON object of texts (and, of the names in lists, arrays of texts; of raw, JSON itself) with sorted keys
+    and ASCII escapes: equal values give equal text. spaced: with a space after each colon and comma."""
+    comma, colon = (", ", ": ") if spaced else (",", ":")
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, json_text), comma), F.lit("]"))
+    made = {n: listed(c) if n in lists else json_text(c.cast("string")) for n, c in values.items()} | (raw or {})
+    pairs = [F.concat(F.lit(f'"{n}"{colon}'), F.coalesce(made[n], F.lit("null"))) for n in sorted(made)]
+    return F.concat(F.lit("{"), F.concat_ws(comma, *pairs), F.lit("}"))

@@ -19,6 +19,28 @@ def merged_seller(new: Column, old: Column) -> Column:
     return F.when(new.isNull() | (new == "UNKNOWN"), F.coalesce(old, new)).otherwise(new)
 
 
+# Columns of a listing that a new value overwrites where it is known; price and what goes with it move together.
+FIELDS = ["title", "description", "size", "city_raw", "location_raw", "rooms", "floor", "total_floors", "seller_name", "agency_name"]
+PRICED = ["price", "currency", "price_per_m2"]
+
+
+def upserted(listings: DataFrame, snapshot: DataFrame, key: str, seen_at: Column) -> DataFrame:
+    """The listings after a crawl. listings: key, FIELDS, PRICED, seller_type, status, misses, first_seen,
+    last_seen, removed_at, last_detail_at; snapshot: key, FIELDS, PRICED, seller_type, detailed. What was seen
+    is ACTIVE without misses; what was not stays as it was (missing() counts its misses)."""
+    told = [*FIELDS, *PRICED, "seller_type", "detailed"]
+    both = listings.join(snapshot.select(key, *(F.col(c).alias(f"n_{c}") for c in told), F.lit(True).alias("seen")), key, "full")
+    seen = F.coalesce("seen", F.lit(False))
+    here = lambda new, old: F.when(seen, new).otherwise(F.col(old)).alias(old)
+    priced = seen & (F.col("n_price").isNotNull() | F.col("status").isNull())
+    return both.select(
+        key, *(merged(F.col(f"n_{c}"), F.col(c)).alias(c) for c in FIELDS), *(F.when(priced, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in PRICED),
+        merged_seller(F.col("n_seller_type"), F.col("seller_type")).alias("seller_type"), here(F.lit("ACTIVE"), "status"), here(F.lit(0), "misses"),
+        F.coalesce("first_seen", F.when(seen, seen_at)).alias("first_seen"), here(seen_at, "last_seen"), F.when(~seen, F.col("removed_at")).alias("removed_at"),
+        F.when(seen & F.coalesce("n_detailed", F.lit(False)), seen_at).otherwise(F.col("last_detail_at")).alias("last_detail_at"),
+    )
+
+
 def snapshot_events(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, event_type, old_price, new_price): what a new snapshot says against the old one.
 
@@ -69,8 +91,12 @@ def job_status(pages: Column, cards: Column, errors: Column) -> Column:
     return F.when((errors == 0) & ~odd, "SUCCESS").when((cards > 0) | odd, "PARTIAL").otherwise("FAILED")
 
 
-def source_health(status: Column) -> Column:
-    return F.when(status == "FAILED", "FAILED").when(status == "PARTIAL", "DEGRADED").otherwise("HEALTHY")
+def source_health(status: Column, parse_errors: Column | None = None, http_errors: Column | None = None, odd: Column | None = None) -> Column:
+    """A job that failed, or one that was partial, had errors of parsing or fetching, or found oddly nothing."""
+    troubled = (status == "PARTIAL") | F.coalesce(odd if odd is not None else F.lit(False), F.lit(False))
+    for errors in (parse_errors, http_errors):
+        troubled = troubled if errors is None else troubled | F.coalesce(errors > 0, F.lit(False))
+    return F.when(status == "FAILED", "FAILED").when(troubled, "DEGRADED").otherwise("HEALTHY")
 
 
 def run_due(enabled: Column, last_attempt: Column, now: Column, interval_s: int = 1800) -> Column:

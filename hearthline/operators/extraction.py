@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.operators.sellers import claim_flag
+
 Provider = Callable[[str], str]
 
 # The fields of an answer, and the domains of its values.
@@ -83,11 +85,10 @@ def ask(misses: DataFrame, provider: Provider) -> DataFrame:
 
 
 def claims(answers: DataFrame, key: str) -> DataFrame:
-    """(key, code, severity, effect, confidence) of what successful answers claim; claims of partial
-    ownership or a dispute block from confidence 75 on, all others ask for a check."""
+    """(key and the fields of a flag) for each claim and risk signal with a code in successful answers."""
     item = "array<struct<code:string,severity:string,confidence:double>>"
     parsed = F.from_json("answer", f"legal_claims {item}, risk_signals {item}")
     both = F.concat(F.coalesce("p.legal_claims", F.array().cast(item)), F.coalesce("p.risk_signals", F.array().cast(item)))
     each = answers.filter("status = 'SUCCESS'").select(key, parsed.alias("p")).select(key, F.explode(both).alias("x"))
-    blocks = F.col("x.code").isin("PARTIAL_OWNERSHIP", "ACTIVE_DISPUTE") & (F.col("x.confidence") >= 75)
-    return each.select(key, "x.code", F.coalesce("x.severity", F.lit("HIGH")).alias("severity"), F.when(blocks, "BLOCK").otherwise("VERIFY").alias("effect"), F.col("x.confidence").cast("int").alias("confidence"))
+    made = claim_flag(F.col("x.code"), F.col("x.severity"), F.col("x.confidence"), F.col(key))
+    return each.select(key, made.alias("f")).filter("f is not null").select(key, "f.*")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions.numbers import bands, clamp
+from hearthline.functions.text import canonical_json
 
 # Weights of the score, thresholds, priorities.
 WEIGHTS = {"return": 0.30, "downside": 0.25, "roi": 0.15, "negotiation": 0.10, "liquidity": 0.10, "valuation": 0.05, "seller": 0.05}
@@ -56,6 +57,108 @@ def priority(act: Column) -> Column:
     return reduce(lambda o, k: F.when(act == k, PRIORITY[k]).otherwise(o), PRIORITY, F.lit(0))
 
 
+# Days in which a listing is new and a price cut recent, and the cut that is large.
+NEW_DAYS, CUT_DAYS, LARGE_CUT = 3, 14, 0.05
+# Parts of the summary that tell one state of a decision from another.
+HASHED = ["asking_price", "downside_profit", "expected_profit", "fast_sale_base", "fmv_range", "liquidity_score", "max_buy_price", "property_id", "required_negotiation_pct", "risk_gate", "roi", "seller_motivation", "time_sensitive_signals", "valuation_confidence"]
+RULES_VERSION = "opportunity_rules_v1"
+
+
+def listing_context(listings: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
+    """(property_id, active_listing_id, signals, last_change): the cheapest active listing (the latest of equal
+    ones), whether it is new, and the last recent price cut. listings: property_id, listing_id, status, price,
+    first_seen; events: property_id, event_id, event_type, detected_at, old_price, new_price."""
+    within = lambda c, days: (F.col(c) >= as_of - F.make_dt_interval(F.lit(days))) & (F.col(c) <= as_of)
+    cheapest = F.struct(F.coalesce(-F.col("price").cast("double"), F.lit(float("-inf"))), "first_seen", "listing_id")
+    active = listings.filter("status = 'ACTIVE'").groupBy("property_id").agg(F.max_by(F.struct("listing_id", "first_seen"), cheapest).alias("l"))
+    cut = (F.col("event_type") == "PRICE_CHANGED") & (F.col("old_price") > 0) & (F.col("new_price") < F.col("old_price")) & within("detected_at", CUT_DAYS)
+    cuts = events.filter(cut).groupBy("property_id").agg(F.max(F.struct("detected_at", "event_id", "old_price", "new_price")).alias("c"))
+    both = active.join(cuts, "property_id", "full")
+    share = (F.col("c.old_price") - F.col("c.new_price")) / F.col("c.old_price")
+    new = F.coalesce(F.col("l.first_seen") >= as_of - F.make_dt_interval(F.lit(NEW_DAYS)), F.lit(False))
+    percent = F.concat(F.round((share * 100).cast("decimal(20,6)"), 1).cast("decimal(20,1)").cast("string"), F.lit("%"))
+    told = F.concat(F.lit("Price cut "), percent, F.lit(" on "), F.date_format("c.detected_at", "yyyy-MM-dd"))
+    signals = F.array_compact(F.array(F.when(new, "NEW_LISTING"), F.when(share >= LARGE_CUT, "LARGE_RECENT_PRICE_CUT")))
+    return both.select("property_id", F.col("l.listing_id").alias("active_listing_id"), signals.alias("signals"), F.coalesce(told, F.when(new, "New listing")).alias("last_change"))
+
+
+def minimum_data_issues(c: dict[str, Column]) -> Column:
+    """Codes of what a decision lacks. c: deal_status, has_investment, has_cost, valuation_status, fair_value,
+    fast_sale_status, sale_low, sale_base, sale_high, liquidity_status, liquidity_score, risk_gate, size,
+    location, and the metrics of a deal."""
+    positive = lambda *names: F.coalesce(F.least(*(F.when(c[n] > 0, 1).otherwise(0) for n in names)) == 1, F.lit(False)) if len(names) > 1 else F.coalesce(c[names[0]] > 0, F.lit(False))
+    done = c["deal_status"] == "SUCCESS"
+    metrics = {
+        "MISSING_ASKING_PRICE": "asking_price", "MISSING_MAX_BUY_PRICE": "max_buy_price", "MISSING_REQUIRED_NEGOTIATION": "negotiation_pct",
+        "MISSING_EXPECTED_PROFIT": "expected_profit", "MISSING_DOWNSIDE_PROFIT": "downside_profit", "MISSING_ROI": "roi",
+    }
+    succeeded = lambda name: F.coalesce(c[name] == "SUCCESS", F.lit(False))
+    return issues([
+        ("MISSING_DEAL_ANALYSIS", c["deal_status"].isNull()), ("INSUFFICIENT_DEAL_DATA", ~done), ("MISSING_INVESTMENT_PROFILE", ~c["has_investment"]), ("MISSING_COST_PROFILE", ~c["has_cost"]),
+        ("MISSING_SUCCESSFUL_VALUATION", ~(succeeded("valuation_status") & positive("fair_value"))), ("MISSING_SUCCESSFUL_FAST_SALE", ~(succeeded("fast_sale_status") & positive("sale_low", "sale_base", "sale_high"))),
+        ("MISSING_SUCCESSFUL_LIQUIDITY", ~(succeeded("liquidity_status") & c["liquidity_score"].isNotNull())), ("MISSING_RISK_ASSESSMENT", c["risk_gate"].isNull()),
+        ("MISSING_USABLE_SIZE", ~positive("size")), ("MISSING_USABLE_LOCATION", F.coalesce(c["location"], F.lit("")) == ""), *((code, done & c[name].isNull()) for code, name in metrics.items()),
+    ])
+
+
+def confidence_issues(valuation_confidence: Column, least_valuation: Column, liquidity_score: Column, least_liquidity: Column) -> Column:
+    return issues([("VALUATION_CONFIDENCE_BELOW_MIN", valuation_confidence < least_valuation), ("MISSING_LIQUIDITY_SCORE", liquidity_score.isNull()), ("LIQUIDITY_BELOW_MIN", liquidity_score < least_liquidity)])
+
+
+def economic_issues(profit: Column, downside: Column, roi: Column, least_profit: Column, least_downside: Column, least_roi: Column) -> Column:
+    return issues([("NEGATIVE_EXPECTED_PROFIT", profit < 0), ("EXPECTED_PROFIT_BELOW_MIN", profit < least_profit), ("DOWNSIDE_PROFIT_BELOW_MIN", downside < least_downside), ("ROI_BELOW_MIN", roi < least_roi)])
+
+
+def money(value: Column) -> Column:
+    """EUR and the whole amount in groups of three, rounded half up."""
+    whole = F.round(value.cast("decimal(20,4)"), 0).cast("long")
+    return F.concat(F.lit("EUR "), F.format_number(whole, 0))
+
+
+def plain_number(value: Column) -> Column:
+    """A decimal without zeros at its end."""
+    return F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def property_label(size: Column, rooms: Column, floor: Column, floors: Column, elevator: Column) -> Column:
+    high = F.when(floor.isNotNull() & floors.isNotNull(), F.concat(floor.cast("string"), F.lit("/"), floors.cast("string"))).when(floor.isNotNull(), floor.cast("string")).otherwise("UNKNOWN floor")
+    part = lambda x, unit: F.concat(F.coalesce(plain_number(x), F.lit("UNKNOWN")), F.lit(f" {unit}"))
+    return F.concat_ws(" | ", part(size, "m2"), part(rooms, "rooms"), high, F.when(elevator, "lift"))
+
+
+def location_label(city: Column, municipality: Column, micro: Column, neighborhood: Column) -> Column:
+    told = lambda x: F.when(x != "", x)
+    label = F.concat_ws(" - ", told(city), told(municipality), F.coalesce(told(micro), told(neighborhood)))
+    return F.when(label != "", label)
+
+
+def decision_summary(c: dict[str, Column]) -> Column:
+    """The struct that a decision shows. c: property_id, location, property, prices and values (decimals),
+    roi, negotiation_pct, scores and levels, and the listing context."""
+    told = lambda x: x.cast("string")
+    ranged = F.concat(money(c["fair_low"]), F.lit("-"), money(c["fair_high"]))
+    parts = {
+        "property_id": told(c["property_id"]), "location": F.coalesce(c["location"], F.lit("UNKNOWN")), "property": c["property"], "asking_price": money(c["asking_price"]), "fmv_range": ranged,
+        "fast_sale_base": money(c["sale_base"]), "max_buy_price": money(c["max_buy_price"]), "expected_profit": money(c["expected_profit"]), "downside_profit": money(c["downside_profit"]), "roi": told(c["roi"]),
+        "required_negotiation_pct": told(c["negotiation_pct"]), "liquidity_score": told(c["liquidity_score"]), "valuation_confidence": told(c["valuation_confidence"]),
+        "seller_motivation": F.coalesce(c["seller_motivation"], F.lit("UNKNOWN")), "risk_gate": F.coalesce(c["risk_gate"], F.lit("UNKNOWN")), "market_age_days": c["market_age_days"],
+        "last_change": c["last_change"], "time_sensitive_signals": c["signals"], "active_listing_id": told(c["active_listing_id"]),
+    }
+    return F.struct(*(x.alias(n) for n, x in parts.items()))
+
+
+def state_hash(summary: Column, property_id: Column, act: Column, reasons: Column, total: Column, rank: Column) -> Column:
+    """A digest of what a decision says; equal decisions have equal digests, whatever else has changed."""
+    stable = canonical_json({n: summary[n] for n in HASHED}, lists={"time_sensitive_signals"})
+    told = {"property_id": property_id.cast("string"), "ranking_value": rank.cast("string"), "recommended_action": act, "score": total.cast("string"), "rules_version": F.lit(RULES_VERSION)}
+    return F.sha2(canonical_json(told | {"reason_codes": reasons}, lists={"reason_codes"}, raw={"decision_summary": stable}).cast("binary"), 256)
+
+
+def batch_status(alerts: DataFrame) -> DataFrame:
+    """One row: whether a batch has raised any alert."""
+    return alerts.agg(F.count("*").alias("alerts")).withColumn("status", F.when(F.col("alerts") > 0, "QUALIFYING_OPPORTUNITIES").otherwise("NO_QUALIFYING_OPPORTUNITIES"))
+
+
 def new_alerts(decisions: DataFrame, existing: DataFrame) -> DataFrame:
     """One alert per dedupe_key for calls; none that exists already."""
     calls = decisions.filter(F.col("action").isin("CALL", "URGENT_CALL")).withColumn("priority", priority(F.col("action")))

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions.numbers import haversine_m
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, a local master gets a temporary one (tests); on
+    a cluster that is an error, since its executors share no local folder."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="hearthline-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
+
+
 def latest_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row per key in order; give the id last, so that ties are settled."""
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -38,6 +55,17 @@ def asof_first_after(df: DataFrame, keys: list[str], at: str, cutoff: Column, ti
     return best.select(*keys, *(F.col(f"_best.{c}").alias(c) for c in [at, *ties, *rest]))
 
 
+def sort_order(field: str, direction: str, fields: dict[str, str], ident: str) -> list[Column]:
+    """The order of a requested sort: fields maps the names that may be asked for to columns; unknown values go
+    last either way, and the id settles ties."""
+    if field not in fields:
+        raise ValueError(f"cannot sort by {field!r}; one of {sorted(fields)}")
+    if direction not in ("asc", "desc"):
+        raise ValueError("a direction is asc or desc")
+    column = F.col(fields[field])
+    return [column.asc_nulls_last() if direction == "asc" else column.desc_nulls_last(), F.asc(ident)]
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:
     """One page of a total order; a top-k per task, merged."""
     if not 1 <= size <= 100:
@@ -59,15 +87,26 @@ def band_pairs(left: DataFrame, right: DataFrame, x: str, y: str, width: float,
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, condition: Column | None = None) -> DataFrame:
-    """Pairs of (lat, lon) and (lat2, lon2) at most radius_m apart, with distance_m: right rows are posted
-    in their grid cell and its neighbours. The cell is as high as the radius, and wide enough up to 80
-    degrees of latitude."""
+    """Pairs of (lat, lon) and (lat2, lon2) at most radius_m apart, with distance_m: right rows are posted in
+    their grid cell and its neighbours. Cells are as high as the radius; in each row of cells they are as wide
+    as it takes there, and wrap at 180 degrees, so that poles and the date line are no borders."""
     high = radius_m / 110_000
-    wide = high / 0.17
-    cell = lambda lat, lon, i, j: (F.floor(F.col(lat) / high) + i, F.floor(F.col(lon) / wide) + j)
-    a = left.withColumns(dict(zip(("_row", "_col"), cell("lat", "lon", 0, 0), strict=True)))
-    posts = F.array(*(F.struct(r.alias("_row"), c.alias("_col")) for i in (-1, 0, 1) for j in (-1, 0, 1) for r, c in [cell("lat2", "lon2", i, j)]))
-    b = right.withColumn("_post", F.explode(posts)).select("*", "_post._row", "_post._col").drop("_post")
+    lat_row = lambda lat: F.floor(F.col(lat) / high)
+
+    def cells(row: Column) -> Column:
+        """How many cells a row has around the globe: as wide as the radius where the row is narrowest, two
+        rows further out, since neighbours count columns by their own row."""
+        edge = F.least(F.lit(90.0), (F.greatest(F.abs(row), F.abs(row + 1)) + 2) * high)
+        return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / (high * 1.01))).cast("long")
+
+    column = lambda lon, n: F.pmod(F.floor((F.col(lon) + 180) / 360 * n), n)
+    a = left.withColumn("_row", lat_row("lat")).withColumn("_col", column("lon", cells(F.col("_row"))))
+    posts = []
+    for i in (-1, 0, 1):
+        row = lat_row("lat2") + i
+        n = cells(row)
+        posts += [F.struct(row.alias("_row"), F.pmod(column("lon2", n) + j, n).alias("_col")) for j in (-1, 0, 1)]
+    b = right.withColumn("_post", F.explode(F.array_distinct(F.array(*posts)))).select("*", "_post._row", "_post._col").drop("_post")
     near = a.join(b, ["_row", "_col"]).drop("_row", "_col").withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
     near = near.filter(F.col("distance_m") <= radius_m)
     return near if condition is None else near.filter(condition)

@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 
 from hearthline.functions.text import contains_any
 
-# Wording of legal flags, their effect and confidence; severities.
+# Points of severities; wording, severity, effect and confidence of legal flags; code sets.
+SEVERITY = {"INFO": 5, "LOW": 20, "MEDIUM": 45, "HIGH": 70, "CRITICAL": 95}
 LEGAL_FLAGS = [
-    ("PARTIAL_OWNERSHIP", ["1/2", "1/3", "udeo", "suvlas", "deo vlas"], "BLOCK", 80),
-    ("UNREGISTERED", ["nije uknj", "neuknj"], "VERIFY", 70),
-    ("LEGALIZATION", ["legaliz", "ozakonj", "u postupku"], "VERIFY", 70),
-    ("ACTIVE_DISPUTE", ["spor", "sud", "dispute", "lawsuit"], "BLOCK", 80),
+    ("PARTIAL_OWNERSHIP", ["1/2", "1/3", "udeo", "suvlas", "deo vlas"], "CRITICAL", "BLOCK", 80),
+    ("UNREGISTERED_OR_UNCLEAR", ["nije uknj", "neuknj", "unregistered", "not registered"], "HIGH", "VERIFY", 70),
+    ("LEGALIZATION_UNCLEAR", ["legaliz", "ozakonj", "u postupku"], "HIGH", "VERIFY", 70),
+    ("ACTIVE_DISPUTE", ["spor", "sud", "dispute", "lawsuit"], "CRITICAL", "BLOCK", 80),
 ]
-SEVERITY = {"LOW": 5, "MEDIUM": 20, "HIGH": 45, "CRITICAL": 70, "BLOCKING": 95}
 UNDOCUMENTED = "CRITICAL_DOCUMENTATION_UNKNOWN"
-FLAG = "struct<code:string,severity:string,effect:string,confidence:int>"
+HARD_BLOCK_CODES = ["ACTIVE_DISPUTE", "AUCTION_SPECIAL_CONDITIONS", "OCCUPIED_PROPERTY", "PARTIAL_OWNERSHIP", "SUSPICIOUS_LISTING"]
+HARD_VERIFY_CODES = [UNDOCUMENTED, "LEGALIZATION_UNCLEAR", "OWNERSHIP_UNKNOWN", "PROPERTY_TYPE_MISMATCH", "UNREGISTERED_OR_UNCLEAR"]
+SOFT_RISK_CODES = ["BASEMENT_OR_SEMI_BASEMENT", "GROUND_FLOOR", "HIGH_FLOOR_NO_ELEVATOR", "MAJOR_RENOVATION", "POOR_BUILDING", "POOR_PARKING", "TOP_FLOOR_RISK"]
+RENOVATION_WORDS = ["major_renovation", "ruin", "full renovation"]
+# Where a flag comes from; manual answers of this confidence suppress flags of the others.
+FOUND_KINDS = ["SCRAPED", "DERIVED", "LLM"]
+LEAST_MANUAL = 70
+
+FLAG = "struct<code:string,severity:string,effect:string,confidence:int,source_kind:string,source_reference:string>"
 
 
 def price_history(cuts: Column, total_pct: Column) -> tuple[Column, Column]:
@@ -68,33 +76,92 @@ def level(score: Column) -> Column:
 
 def preferred(manual: Column, manual_conf: Column, other: Column) -> Column:
     """A manual value of confidence 70 or more goes first."""
-    return F.when(manual.isNotNull() & (manual_conf >= 70), manual).otherwise(F.coalesce(other, manual))
+    return F.when(manual.isNotNull() & (manual_conf >= LEAST_MANUAL), manual).otherwise(F.coalesce(other, manual))
+
+
+def latest_call(calls: DataFrame, as_of: Column) -> DataFrame:
+    """Per property the last call up to as_of that tells anything of the seller: motivation, reason for sale,
+    lowest price or preference for cash; what it tells has a confidence of 90."""
+    told = ["seller_motivation", "reason_for_sale", "lowest_indicated_price", "cash_preferred"]
+    some = calls.filter((F.col("occurred_at") <= as_of) & F.coalesce(*(F.col(c).cast("string") for c in told)).isNotNull())
+    last = some.groupBy("property_id").agg(F.max(F.struct("occurred_at", "created_at", "interaction_id", *told)).alias("m"))
+    sure = [F.when(F.col(f"m.{c}").isNotNull(), 90).alias(f"{c}_confidence") for c in told if c != "lowest_indicated_price"]
+    return last.select("property_id", F.col("m.interaction_id").alias("interaction_id"), *(F.col(f"m.{c}").alias(c) for c in told), *sure)
 
 
-def flag(code: str, severity: str, effect: str, conf: int) -> Column:
-    return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(effect).alias("effect"), F.lit(conf).alias("confidence"))
+def flag(code: str, severity: str, effect: str, conf: int, kind: str = "DERIVED", reference: str = "") -> Column:
+    named = {"code": code, "severity": severity, "effect": effect, "confidence": conf, "source_kind": kind, "source_reference": reference}
+    return F.struct(*(F.lit(v).alias(k) for k, v in named.items()))
 
 
 def legal_flags(text: Column, lowered: bool = False) -> Column:
     """Flags by wording; a blank text leaves the documents unknown. lowered: see contains_any."""
-    blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    found = [F.when(~blank & contains_any(text, words, lowered), flag(code, "BLOCKING" if effect == "BLOCK" else "HIGH", effect, conf)) for code, words, effect, conf in LEGAL_FLAGS]
-    return F.array_compact(F.array(F.when(blank, flag(UNDOCUMENTED, "MEDIUM", "VERIFY", 35)), *found))
+    at = "effective_property_data.legal_status_raw"
+    blank = ~F.coalesce(text.rlike(r"\S"), F.lit(False))
+    found = [F.when(contains_any(text, words, lowered), flag(code, severity, effect, conf, "SCRAPED", at)) for code, words, severity, effect, conf in LEGAL_FLAGS]
+    return F.array_compact(F.array(F.when(blank, flag(UNDOCUMENTED, "HIGH", "VERIFY", 35, "DERIVED", at)), *found))
 
 
-def soft_flags(floor: Column, elevator: Column, parking: Column, text: Column) -> Column:
+def soft_flags(floor: Column, elevator: Column, parking: Column, condition: Column) -> Column:
+    """Flags without an effect on the gate; condition is the property's condition category."""
+    soft = lambda code, severity, fact: flag(code, severity, "NONE", 65, "DERIVED", f"effective_property_data.{fact}")
     return F.array_compact(F.array(
-        F.when(floor == 0, flag("GROUND_FLOOR", "LOW", "NONE", 65)),
-        F.when((floor >= 7) & (elevator == F.lit(False)), flag("HIGH_FLOOR_NO_ELEVATOR", "MEDIUM", "NONE", 65)),
-        F.when(contains_any(text, ["za renoviranje", "kompletna adaptacija", "major renovation"]), flag("MAJOR_RENOVATION", "HIGH", "NONE", 65)),
-        F.when(parking == F.lit(False), flag("NO_PARKING", "LOW", "NONE", 65)),
+        F.when(floor == 0, soft("GROUND_FLOOR", "LOW", "floor")),
+        F.when((floor >= 7) & (elevator == F.lit(False)), soft("HIGH_FLOOR_NO_ELEVATOR", "MEDIUM", "floor_elevator")),
+        F.when(contains_any(condition, RENOVATION_WORDS), soft("MAJOR_RENOVATION", "HIGH", "condition_category")),
+        F.when(parking == F.lit(False), soft("POOR_PARKING", "LOW", "parking")),
     ))
 
 
+def call_flags(registered: Column, owner: Column, mortgage: Column, tenant: Column, reference: Column) -> Column:
+    """Flags of what a seller claims in a call."""
+    made = [
+        (registered == F.lit(False), "UNREGISTERED_OR_UNCLEAR", "HIGH", 75), (owner == F.lit(False), "PARTIAL_OWNERSHIP", "CRITICAL", 75),
+        (mortgage == F.lit(True), "MORTGAGE_CLAIMED", "MEDIUM", 70), (tenant == F.lit(True), "OCCUPIED_PROPERTY", "HIGH", 75),
+    ]
+    return F.array_compact(F.array(*(F.when(c, flag(code, severity, "VERIFY", sure, "MANUAL").withField("source_reference", reference)) for c, code, severity, sure in made)))
+
+
+def visit_flags(condition: Column, renovation: Column, elevator: Column, floor: Column, defects: Column, reference: Column) -> Column:
+    """Flags of what a visit has seen; defects: whether any were written down."""
+    heavy = F.upper(F.trim(condition)).isin("FULL", "RENOVATION", "FOR_RENOVATION", "NEEDS_RENOVATION")
+    made = [
+        (F.coalesce(heavy, F.lit(False)) | F.coalesce(renovation >= 20000, F.lit(False)), "MAJOR_RENOVATION", "HIGH", 90),
+        ((elevator == F.lit(False)) & (floor >= 3), "HIGH_FLOOR_NO_ELEVATOR", "MEDIUM", 90), (defects, "VISIBLE_DEFECTS", "MEDIUM", 85),
+    ]
+    return F.array_compact(F.array(*(F.when(c, flag(code, severity, "VERIFY", sure, "VERIFIED_MANUAL").withField("source_reference", reference)) for c, code, severity, sure in made)))
+
+
+def claim_flag(code: Column, severity: Column, confidence: Column, reference: Column) -> Column:
+    """The flag of an extracted claim, null without a code. Codes that block do so from confidence 75 on and
+    else ask for a check, as do codes to verify; soft and unknown ones have no effect, and unknown ones are INFO."""
+    up = F.upper(code)
+    block, verify, soft = (up.isin(codes) for codes in (HARD_BLOCK_CODES, HARD_VERIFY_CODES, SOFT_RISK_CODES))
+    sure = F.coalesce(confidence, F.lit(0))
+    default = F.when(block, "CRITICAL").when(verify, "HIGH").when(soft, "MEDIUM").otherwise("INFO")
+    named = F.when(F.upper(severity).isin([*SEVERITY]), F.upper(severity))
+    told = F.struct(
+        up.alias("code"), F.when(block | verify | soft, F.coalesce(named, default)).otherwise("INFO").alias("severity"),
+        F.when(block & (sure >= 75), "BLOCK").when(block | verify, "VERIFY").otherwise("NONE").alias("effect"),
+        F.least(F.greatest(sure, F.lit(0)), F.lit(100)).cast("int").alias("confidence"), F.lit("LLM").alias("source_kind"), reference.cast("string").alias("source_reference"),
+    )
+    return F.when(F.coalesce(code, F.lit("")) != "", told)
+
+
 def unsuppressed(flags: DataFrame, manual: DataFrame) -> DataFrame:
-    """Flags of other kinds go where a manual answer of confidence 70 or more settles their code."""
-    settled = manual.filter("confidence >= 70").select("property_id", "code").distinct()
-    return flags.join(settled, ["property_id", "code"], "left_anti").unionByName(manual.select(*flags.columns))
+    """Rows of flags and of manual, but for the found flags whose code a manual row of confidence 70 or more
+    suppresses. Both: property_id and the fields of a flag; manual also suppresses (array of codes)."""
+    settled = manual.filter(F.col("confidence") >= LEAST_MANUAL).select("property_id", F.explode("suppresses").alias("c")).select("property_id", F.upper("c").alias("code")).distinct()
+    found = F.col("source_kind").isin(FOUND_KINDS)
+    kept = flags.filter(found).withColumn("c", F.upper("code")).join(settled.withColumnRenamed("code", "c"), ["property_id", "c"], "left_anti").select(*flags.columns)
+    return kept.unionByName(flags.filter(~found)).unionByName(manual.select(*flags.columns))
+
+
+def distinct_flags(flags: DataFrame) -> DataFrame:
+    """Of the flags of a property with one code, effect, kind and reference, the surest."""
+    key = ["property_id", "code", "effect", "source_kind", "source_reference"]
+    best = flags.groupBy(*key).agg(F.max(F.struct("confidence", "severity")).alias("m"))
+    return best.select(*key, "m.confidence", "m.severity").select(*flags.columns)
 
 
 def gate(flags: Column) -> tuple[Column, Column, Column]:

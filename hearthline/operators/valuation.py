@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions.numbers import bands, clamp
-from hearthline.operators.rows import radius_pairs
+from hearthline.functions.text import same_text
+from hearthline.operators.rows import radius_pairs, weighted_median
 
 # Weights of the similarity factors, search radii in metres, limits.
 WEIGHTS = {"location": 0.25, "size": 0.20, "condition": 0.15, "rooms": 0.10, "building": 0.10, "floor_elevator": 0.08, "age": 0.05, "parking": 0.03, "heating": 0.02, "other": 0.02}
@@ -21,9 +23,16 @@ def distance_score(m: Column) -> Column:
     return bands(m, [(100, 1.0), (300, 0.9), (500, 0.75), (800, 0.6), (1200, 0.45)], 0.0)
 
 
+def location_score(m: Column, same: list[Column]) -> Column:
+    """By distance where it is known, else by the finest of micro-location, neighbourhood, municipality and
+    city that both name alike; same: whether they do."""
+    by_text = reduce(lambda o, x: F.when(x[0], x[1]).otherwise(o), reversed([*zip(same, (0.85, 0.65, 0.40, 0.25), strict=True)]), F.lit(0.0))
+    return F.when(m.isNotNull(), distance_score(m)).otherwise(by_text)
+
+
 def size_score(target: Column, size: Column) -> Column:
-    off = F.abs(size - target) / target
-    return bands(off, [(0.05, 1.0), (0.10, 0.9), (0.15, 0.75), (0.20, 0.55), (0.25, 0.30)], 0.0)
+    off = F.when((target > 0) & (size > 0), F.abs(size - target) / target)
+    return bands(off, [(0.05, 1.0), (0.10, 0.9), (0.15, 0.75), (0.20, 0.55), (0.25, 0.30)], 0.0, 0.0)
 
 
 def rooms_score(a: Column, b: Column) -> Column:
@@ -34,8 +43,13 @@ def condition_score(a: Column, b: Column) -> Column:
     return bands(F.abs(a - b), [(0, 1.0), (1, 0.7), (2, 0.4)], 0.2, 0.35)
 
 
+def alike(a: Column, b: Column) -> Column:
+    """Whether two texts are the same but for case and outer white space; blank ones never are."""
+    return F.coalesce(a.rlike(r"\S") & same_text(a, b), F.lit(False))
+
+
 def text_score(a: Column, b: Column) -> Column:
-    return F.when(F.lower(F.trim(a)) == F.lower(F.trim(b)), 1.0).otherwise(0.40)
+    return F.when(alike(a, b), 1.0).otherwise(0.40)
 
 
 def floor_score(a: Column, b: Column) -> Column:
@@ -55,7 +69,7 @@ def year_score(a: Column, b: Column) -> Column:
 
 
 def recency(age_days: Column) -> Column:
-    return bands(age_days, [(90, 1.0), (180, 0.85), (365, 0.6)], 0.25)
+    return bands(age_days, [(90, 1.0), (180, 0.85), (365, 0.6)], 0.25, 0.50)
 
 
 def similarity(scores: dict[str, Column]) -> Column:
@@ -78,6 +92,140 @@ def condition_level(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(name, F.upper(F.trim(raw))), out)
 
 
+# Facts that a target and a comparable's property both have; a comparable's carry the prefix c_.
+FACTS = ["size", "rooms", "floor", "elevator", "parking", "condition", "building", "year", "heating", "micro", "neighborhood", "municipality", "city"]
+PLACES = ["micro", "neighborhood", "municipality", "city"]
+SIZE_OFF = 0.25
+
+
+def input_issue(kind: Column, size: Column, lat: Column, lon: Column, places: list[Column]) -> Column:
+    """Why a target cannot be valued at all, or null."""
+    located = reduce(lambda a, b: a | b, (F.coalesce(p != "", F.lit(False)) for p in places), lat.isNotNull() & lon.isNotNull())
+    return (
+        F.when(kind.isNull() | (kind != "APARTMENT"), "UNSUPPORTED_PROPERTY_TYPE").when(size.isNull() | (size <= 0), "MISSING_TARGET_SIZE")
+        .when(~located, "MISSING_TARGET_LOCATION")
+    )
+
+
+def eligible(listings: DataFrame, as_of: Column) -> DataFrame:
+    """Listings that can be comparables: active apartments of a property, priced in EUR, sized, seen by as_of."""
+    c = F.col
+    return listings.filter(
+        c("property_id").isNotNull() & (c("property_type") == "APARTMENT") & (c("status") == "ACTIVE") & (c("currency") == "EUR")
+        & (c("price_cents") > 0) & (c("size") > 0) & (c("first_seen") <= as_of) & (c("last_seen") <= as_of)
+    )
+
+
+def city_matches(texts: DataFrame, cities: DataFrame) -> DataFrame:
+    """Distinct (text, city) where the text holds the city's name, whatever the case. Names are sought by
+    their first three characters among the text's, so that the join is an equi-join."""
+    named = cities.select("city", F.lower("city").alias("low")).filter("low <> ''").distinct().withColumn("gram", F.substring("low", 1, 3))
+    low = texts.select("text").filter("text is not null").distinct().withColumn("whole", F.lower("text"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("whole"), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda k: F.array(*(F.substr("whole", k, F.lit(n)) for n in (1, 2, 3))))))
+    met = low.withColumn("gram", F.explode(grams)).join(named, "gram").filter(F.col("whole").contains(F.col("low")))
+    return met.select("text", "city").distinct()
+
+
+def comparable_pairs(targets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Targets beside the comparables that they are valued by: of another property, at most 25 percent off in
+    size, and of the target's city, if it has one: by the property's city, or within the listing's own texts.
+    Targets with coordinates meet comparables within the widest radius; others go by size, in bands a third
+    wide, and city. Without either, size alone decides."""
+    renamed = comps.select("listing_id", F.col("property_id").alias("c_property_id"), "price_cents", "age_days", "city_raw", "location_raw", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *(F.col(f).alias(f"c_{f}") for f in FACTS))
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    in_city = F.col("city").isNull() | F.coalesce(F.col("c_city") == F.col("city"), F.lit(False)) | low("city_raw").contains(F.lower("city")) | low("location_raw").contains(F.lower("city"))
+    fits = (F.col("c_property_id") != F.col("property_id")) & F.col("c_size").between(F.col("size") * (1 - SIZE_OFF), F.col("size") * (1 + SIZE_OFF))
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    near = radius_pairs(targets.filter(placed), renamed.filter("lat2 is not null and lon2 is not null"), RADII[-1], fits & in_city)
+    near = near.withColumn("distance_m", F.round("distance_m", 2))
+
+    width = F.lit(math.log(4 / 3))
+    band = lambda x: F.floor(F.log(x.cast("double")) / width)
+    rest = targets.filter(~placed).withColumn("band", F.explode(F.sequence(band(F.col("size") * (1 - SIZE_OFF)), band(F.col("size") * (1 + SIZE_OFF)))))
+    banded = renamed.withColumn("band", band(F.col("c_size")))
+    cities = rest.select("city").filter("city is not null").distinct()
+    texts = renamed.select(F.explode(F.array("city_raw", "location_raw")).alias("text"))
+    found = city_matches(texts, cities).withColumnRenamed("city", "at_city")
+    by_text = [renamed.select("listing_id", F.col(c).alias("text")).join(found, "text").select("listing_id", "at_city") for c in ("city_raw", "location_raw")]
+    of_city = by_text[0].union(by_text[1]).union(renamed.filter("c_city is not null").select("listing_id", "c_city")).distinct()
+    local = rest.join(banded.join(of_city, "listing_id").withColumnRenamed("at_city", "city"), ["city", "band"]).filter(fits)
+    anywhere = rest.filter("city is null").join(banded, "band").filter(fits)
+    far = local.unionByName(anywhere, allowMissingColumns=True).drop("band").withColumn("distance_m", F.lit(None).cast("double"))
+    return near.unionByName(far.select(near.columns))
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """pairs with similarity and price_m2 (cents)."""
+    c = F.col
+    both = lambda f: (c(f), c(f"c_{f}"))
+    scores = {
+        "location": location_score(c("distance_m"), [alike(*both(p)) for p in PLACES]), "size": size_score(*both("size")),
+        "condition": condition_score(condition_level(c("condition")), condition_level(c("c_condition"))), "rooms": rooms_score(*both("rooms")),
+        "building": text_score(*both("building")), "floor_elevator": floor_elevator_score(*both("floor"), *both("elevator")), "age": year_score(*both("year")),
+        "parking": flag_score(*both("parking")), "heating": text_score(*both("heating")),
+    }
+    hundredths = F.round(c("c_size") * 100).cast("long")
+    made = pairs.withColumns({"similarity": similarity(scores), "h": hundredths}).withColumn("price_m2", F.expr("(200 * price_cents + h) div (2 * h)"))
+    return made.filter("price_m2 > 0").drop("h")
+
+
+def comparables(targets: DataFrame, comps: DataFrame) -> DataFrame:
+    """The best twelve comparables of each target, marked with exclusion (null where one counts), radius_m,
+    similarity, weight and price_m2."""
+    pairs = compared(comparable_pairs(targets, comps))
+    near = adaptive_radius(pairs.filter("distance_m is not null"), "property_id")
+    chosen = near.unionByName(pairs.filter("distance_m is null").withColumn("radius_m", F.lit(None).cast("int")))
+    return without_outliers(ranked(chosen, "property_id", "listing_id"), "property_id", "price_m2")
+
+
+def valued(targets: DataFrame, comps: DataFrame) -> DataFrame:
+    """A valuation of every target (property_id, property_type, the FACTS, precision, lat, lon, quality) by
+    eligible comparables (listing_id, property_id, price_cents, age_days, city_raw, location_raw, lat, lon and
+    the FACTS): SUCCESS with values in cents, or INSUFFICIENT_DATA and the reason."""
+    c = F.col
+    asked = targets.withColumn("issue", input_issue(c("property_type"), c("size"), c("lat"), c("lon"), [c(p) for p in PLACES]))
+    found = comparables(asked.filter("issue is null").drop("issue", "property_type", "precision", "quality"), comps)
+    ok = F.col("exclusion").isNull()
+    units = F.round(c("weight") * 10_000).cast("long")
+    level = condition_level(c("c_condition"))
+    weight_if = lambda cond: F.sum(F.when(ok & cond, units).otherwise(0))
+    told = found.groupBy("property_id").agg(
+        F.count("*").alias("candidate_count"), F.count_if(ok).alias("included_count"), F.max("radius_m").alias("radius_m"),
+        F.percentile(F.when(ok, c("price_m2")), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"),
+        (F.sum(F.when(ok, F.round(c("similarity") * 10_000).cast("long"))) / F.count_if(ok) / 10_000).alias("mean_similarity"),
+        (F.sum(F.when(ok, F.round(recency(c("age_days")) * 100).cast("long"))) / F.count_if(ok) / 100).alias("mean_recency"),
+        F.sum(F.when(ok, level * units)).alias("level_sum"), weight_if(level.isNotNull()).alias("level_weight"),
+        weight_if(c("c_parking")).alias("parking_sum"), weight_if(c("c_parking").isNotNull()).alias("parking_weight"),
+    )
+    counting = found.filter(ok).select("property_id", "price_m2", units.alias("units")).filter("units > 0")
+    base = weighted_median(counting, ["property_id"], "price_m2", "units", "base_m2")
+    own_level = condition_level(c("condition"))
+    all_told = asked.join(told, "property_id", "left").join(base, "property_id", "left")
+    mean_level = F.round((c("level_sum") / F.when(c("level_weight") > 0, c("level_weight"))).cast("decimal(18,10)"), 4)
+    share = c("parking_sum") / F.when(c("parking_weight") > 0, c("parking_weight"))
+    spread = F.when(c("included_count") < 2, 1.0).when(c("q")[1] > 0, F.abs((c("q")[2] - c("q")[0]) / c("q")[1])).otherwise(1.0)
+    sized = all_told.withColumns({
+        "included_count": F.coalesce("included_count", F.lit(0)), "candidate_count": F.coalesce("candidate_count", F.lit(0)),
+        "adjustment_pct": adjustment_pct(own_level.cast("decimal(12,4)"), mean_level.cast("decimal(12,4)"), c("parking"), share).cast("decimal(10,4)"),
+        "dispersion": F.round(spread.cast("decimal(18,8)"), 4).cast("double"),
+    })
+    coarse = F.coalesce(c("precision").isin("CITY", "MUNICIPALITY"), F.lit(False))
+    sure = confidence(c("included_count"), c("mean_similarity"), c("quality"), c("dispersion"), c("mean_recency"), coarse, own_level.isNotNull())
+    reason = F.coalesce(c("issue"), F.when(c("included_count") < LEAST_COMPS, "NOT_ENOUGH_INCLUDED_COMPS"), F.when(c("base_m2").isNull(), "NO_WEIGHTED_PRICE"))
+    priced = sized.withColumn("reason", reason).withColumn("confidence", F.when(c("reason").isNull(), sure.cast("double")).otherwise(0.0))
+    width = F.round(range_width(c("confidence"), c("included_count"), c("dispersion"), c("quality")).cast("decimal(10,6)"), 4)
+    in_units = priced.withColumns({"a": F.round(c("adjustment_pct") * 10_000).cast("long"), "h": F.round(c("size") * 100).cast("long"), "w": F.round(width * 10_000).cast("long")})
+    adjusted = in_units.withColumn("adjusted_m2", F.expr("(2 * base_m2 * (1000000 + a) + 1000000) div 2000000")).withColumn("fair_cents", F.expr("(2 * adjusted_m2 * h + 100) div 200"))
+    ends = adjusted.withColumns({"low_cents": F.expr("(2 * fair_cents * (10000 - w) + 10000) div 20000"), "high_cents": F.expr("(2 * fair_cents * (10000 + w) + 10000) div 20000")})
+    only = lambda x: F.when(c("reason").isNull(), c(x)).alias(x)
+    return ends.select(
+        "property_id", F.when(c("reason").isNull(), "SUCCESS").otherwise("INSUFFICIENT_DATA").alias("status"), "reason", "candidate_count",
+        F.when(c("reason").isNull(), c("included_count")).otherwise(0).alias("included_count"), "radius_m", only("base_m2"), only("adjusted_m2"), only("fair_cents"), only("low_cents"), only("high_cents"),
+        "confidence", only("dispersion"), only("adjustment_pct"),
+    )
+
+
 def nearby(targets: DataFrame, listings: DataFrame) -> DataFrame:
     """Target and listing pairs within the widest radius and 25 percent of size, not of one property."""
     fits = (F.col("property_id2") != F.col("property_id")) & (F.abs(F.col("size2") - F.col("size")) <= 0.25 * F.col("size"))
@@ -86,7 +234,7 @@ def nearby(targets: DataFrame, listings: DataFrame) -> DataFrame:
 
 def adaptive_radius(pairs: DataFrame, key: str) -> DataFrame:
     """Pairs within the least radius that holds enough good comparables (else the widest)."""
-    good = (F.col("similarity") >= LEAST_SIMILARITY) & (F.col("age_days") <= OLDEST_DAYS)
+    good = (F.col("similarity") >= LEAST_SIMILARITY) & F.coalesce(F.col("age_days") <= OLDEST_DAYS, F.lit(True))
     counts = pairs.groupBy(key).agg(*(F.count_if(good & (F.col("distance_m") <= r)).alias(f"n{r}") for r in RADII))
     radius = reduce(lambda o, r: F.when(F.col(f"n{r}") >= WANTED, r).otherwise(o), reversed(RADII[:-1]), F.lit(RADII[-1]))
     chosen = counts.select(key, radius.alias("radius_m"))
@@ -95,12 +243,12 @@ def adaptive_radius(pairs: DataFrame, key: str) -> DataFrame:
 
 def ranked(pairs: DataFrame, key: str, ident: str) -> DataFrame:
     """exclusion (TOO_OLD, LOW_SIMILARITY or null) and the best 12 per key: included first, then by
-    similarity, weight and distance, where a distance of 0 counts as unknown."""
+    similarity, weight and distance, where a distance of 0 counts as unknown; then the youngest."""
     excluded = F.when(F.col("age_days") > OLDEST_DAYS, "TOO_OLD").when(F.col("similarity") < LEAST_SIMILARITY, "LOW_SIMILARITY")
     weight = F.round((F.col("similarity") * MARKET_FACTOR * recency(F.col("age_days"))).cast("decimal(14,8)"), 4).cast("double")
     marked = pairs.withColumn("exclusion", excluded).withColumn("weight", weight)
     far = F.when(F.coalesce("distance_m", F.lit(0.0)) == 0, 999999.0).otherwise(F.col("distance_m"))
-    order = [F.col("exclusion").isNull().desc(), F.desc("similarity"), F.desc("weight"), far.asc(), F.asc(ident)]
+    order = [F.col("exclusion").isNull().desc(), F.desc("similarity"), F.desc("weight"), far.asc(), F.asc("age_days"), F.asc(ident)]
     return marked.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= KEPT)
 
 

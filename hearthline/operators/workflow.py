@@ -123,3 +123,73 @@ def state_at(events: DataFrame, current: DataFrame, key: str, cutoff: Column) ->
 def timeline(parts: list[DataFrame]) -> DataFrame:
     """Rows of (key, at, kind, ident, value) of several sources in one."""
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# The modules of an analysis.
+MODULES = ["features", "matching", "comparable", "valuation", "liquidity", "fast_sale", "llm", "seller", "risk", "deal", "opportunity"]
+
+
+def initial_states(properties: DataFrame, latest: dict[str, DataFrame]) -> DataFrame:
+    """A state row for each property: <module>_status from the latest row of each module, NOT_RUN without one.
+    latest: by module, (property_id, done_at, input_at, status)."""
+    if unknown := set(latest) - set(MODULES):
+        raise ValueError(f"no such modules: {sorted(unknown)}")
+    out = properties.select("property_id")
+    for m in MODULES:
+        if m in latest:
+            row = latest[m].select("property_id", module_status(F.col("done_at"), F.col("input_at"), F.col("status")).alias(f"{m}_status"))
+            out = out.join(row, "property_id", "left")
+        else:
+            out = out.withColumn(f"{m}_status", F.lit(None).cast("string"))
+    empty = {f"{m}_status": F.coalesce(f"{m}_status", F.lit("NOT_RUN")) for m in MODULES}
+    return out.withColumns(empty | {c: F.lit(None).cast("timestamp") for c in ("started_at", "completed_at", "updated_at")} | {"last_error": F.lit(None).cast("string")})
+
+
+def marked(states: DataFrame, marks: DataFrame, kind: str, at: Column) -> DataFrame:
+    """states after marks (property_id, module, status, error): kind STALE and PENDING set their own name, SUCCESS
+    each mark's status. PENDING notes the start; SUCCESS the end, and clears the last error."""
+    if kind not in ("STALE", "PENDING", "SUCCESS"):
+        raise ValueError("a mark is STALE, PENDING or SUCCESS")
+    given = F.lit(kind) if kind != "SUCCESS" else F.coalesce("status", F.lit("SUCCESS"))
+    each = marks.filter(F.col("module").isin(MODULES)).groupBy("property_id").agg(
+        *(F.max(F.when(F.col("module") == m, given)).alias(f"_{m}") for m in MODULES), F.max("error").alias("_error"), F.lit(True).alias("_hit"),
+    )
+    both = states.join(each, "property_id", "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    out = {f"{m}_status": F.coalesce(f"_{m}", f"{m}_status") for m in MODULES} | {"updated_at": F.when(hit, at).otherwise(F.col("updated_at"))}
+    if kind == "STALE":
+        out["last_error"] = F.coalesce("_error", "last_error")
+    elif kind == "PENDING":
+        out["started_at"] = F.when(hit, at).otherwise(F.col("started_at"))
+    else:
+        out |= {"completed_at": F.when(hit, at).otherwise(F.col("completed_at")), "last_error": F.when(~hit, F.col("last_error"))}
+    return both.withColumns(out).drop(*(f"_{m}" for m in MODULES), "_error", "_hit")
+
+
+def unknown_modules(marks: DataFrame) -> DataFrame:
+    """Marks of modules that do not exist, which marked() leaves out."""
+    return marks.filter(~F.col("module").isin(MODULES))
+
+
+def modules_with(states: DataFrame, status: str) -> DataFrame:
+    """One row: in how many states any of the eleven modules has this status."""
+    return states.agg(F.count_if(reduce(lambda a, b: a | b, (F.col(f"{m}_status") == status for m in MODULES))).alias("n"))
+
+
+def with_discovered(history: DataFrame, listings: DataFrame) -> DataFrame:
+    """A history (key, at, kind, ident, value) with a DISCOVERED entry at first_seen for every listing that has
+    none. listings: key, first_seen, listing_id."""
+    told = history.filter("kind = 'DISCOVERED'").select("key").distinct()
+    made = listings.filter("first_seen is not null").join(told, "key", "left_anti")
+    rows = made.select("key", F.col("first_seen").alias("at"), F.lit("DISCOVERED").alias("kind"), F.col("listing_id").cast("string").alias("ident"), F.lit(None).cast("string").alias("value"))
+    return history.unionByName(rows)
+
+
+def relist_sessions(listings: DataFrame, key: str, gap_days: int = 30) -> DataFrame:
+    """(key, session, started_at, ended_at, listings): a property's time on the market in sessions, which end
+    where no listing of it was seen for over gap_days."""
+    w = Window.partitionBy(key).orderBy("first_seen", "last_seen", "listing_id")
+    reach = F.max("last_seen").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = (F.unix_micros("first_seen") - F.unix_micros(reach)) > gap_days * 86_400_000_000
+    numbered = listings.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("session", F.sum("_new").over(w))
+    return numbered.groupBy(key, "session").agg(F.min("first_seen").alias("started_at"), F.max("last_seen").alias("ended_at"), F.count("*").alias("listings"))

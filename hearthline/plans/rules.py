@@ -34,14 +34,14 @@ def parse_currency_floor_seller(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("p_partkey", text.parse_floor(F.col("f")).alias("floor"), text.parse_total_floors(F.col("f")).alias("floors"), text.parse_seller_type(F.col("s"), F.col("agency")).alias("seller"))
 
 
-FOLD = f"regexp_replace(translate(lower(text), '{text.FOLDED[0]}', '{text.FOLDED[1]}'), '[^\\x00-\\x7F]', '', 'g')"
+FOLD = "regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g')"
 
 
 @query(f"""WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all({FOLD}, '[a-z0-9]+'), lambda x: length(x) > 1))) AS w FROM documents)
 SELECT doc_id, CAST(length(w) AS INT) AS tokens, md5(array_to_string(w, ' ')) AS digest, CAST(length(list_intersect(w, ['and', 'de', 'in', 'la', 'of', 'the'])) AS INT) AS common FROM t""")
 def ascii_fold_tokens(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = load(spark, d, "documents")
-    sets = docs.select("doc_id", text.token_set(text.ascii_fold(F.col("text"))).alias("w"))
+    sets = docs.select("doc_id", text.folded_tokens(F.col("text")).alias("w"))
     words = F.array(*map(F.lit, ("and", "de", "in", "la", "of", "the")))
     return sets.select("doc_id", F.size("w").alias("tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"), F.size(F.array_intersect("w", words)).alias("common"))
 
@@ -180,17 +180,18 @@ def seller_components(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", F.floor(F.col("s") * 1000 + 1e-6).cast("long").alias("score"), F.floor(F.col("c") * 1000 + 1e-6).cast("long").alias("confidence"), sellers.level(F.col("s")).alias("level"))
 
 
-def any_of(words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+# The words and points of the survey, written out again, so that they are checked.
+RISKS = {
+    "partial": "1/2|1/3|udeo|suvlas|deo vlas", "unregistered": "nije uknj|neuknj|unregistered|not registered",
+    "legalization": "legaliz|ozakonj|u postupku", "dispute": "spor|sud|dispute|lawsuit",
+}
+TOLD = ", ".join(f"{' OR '.join(f'contains(low, {w!r})' for w in words.split('|'))} AS {name}" for name, words in RISKS.items())
 
 
-FLAGS = {code: any_of(words) for code, words, _, _ in sellers.LEGAL_FLAGS}
-
-
-@query(f"""WITH f AS (SELECT doc_id, trim(text) = '' AS blank, {", ".join(f"{sql} AS {code}" for code, sql in FLAGS.items())} FROM documents)
-SELECT doc_id, CASE WHEN PARTIAL_OWNERSHIP OR ACTIVE_DISPUTE THEN 'BLOCK' WHEN blank OR UNREGISTERED OR LEGALIZATION THEN 'VERIFY' ELSE 'PASS' END AS gate,
-CASE WHEN blank THEN NULL WHEN PARTIAL_OWNERSHIP OR ACTIVE_DISPUTE THEN 95 WHEN UNREGISTERED OR LEGALIZATION THEN 45 ELSE 0 END AS risk_score,
-CASE WHEN blank THEN 35 WHEN PARTIAL_OWNERSHIP OR ACTIVE_DISPUTE THEN 80 WHEN UNREGISTERED OR LEGALIZATION THEN 70 ELSE 45 END AS confidence FROM f""")
+@query(f"""WITH t AS (SELECT doc_id, lower(text) AS low FROM documents), f AS (SELECT doc_id, NOT regexp_matches(low, '[^ \t\n\r]') AS blank, {TOLD} FROM t)
+SELECT doc_id, CASE WHEN partial OR dispute THEN 'BLOCK' WHEN blank OR unregistered OR legalization THEN 'VERIFY' ELSE 'PASS' END AS gate,
+CASE WHEN blank THEN NULL WHEN partial OR dispute THEN 95 WHEN unregistered OR legalization THEN 70 ELSE 0 END AS risk_score,
+CASE WHEN blank THEN 35 WHEN partial OR dispute THEN 80 WHEN unregistered OR legalization THEN 70 ELSE 45 END AS confidence FROM f""")
 def risk_flags_gate(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = load(spark, d, "documents")
     flagged = docs.select("doc_id", F.lower("text").alias("low")).select("doc_id", sellers.legal_flags(F.col("low"), lowered=True).alias("flags"))

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthline.operators.rows import shared_folder
 from hearthline.plans.registry import cents, query
 from hearthline.plans.relational import STEPS
 from hearthline.streaming import jobs
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below the shared one; a local one only where none is set (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hearthline-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.functions.text import canonical_url
+from hearthline.functions.text import canonical_url, first_text
 from hearthline.operators.rows import latest_row
 
 # Named entities.
@@ -65,3 +65,77 @@ def search_cards(pages: DataFrame, key: str) -> DataFrame:
     items = lists.select(key, "block", F.posexplode("node.itemListElement").alias("at", "i"))
     cards = items.select(key, "block", "at", F.col("i.position").alias("position"), canonical_url(F.coalesce("i.url", "i.item.url")).alias("url"), unescape(F.coalesce("i.name", "i.item.name")).alias("name"))
     return latest_row(cards.filter("url is not null"), [key, "url"], [F.asc("block"), F.asc("at")]).select(key, "position", "url", "name")
+
+
+#: A seller is the item whose id ends so, else the first of this type.
+SELLER_ID, SELLER_TYPE = "#seller", "RealEstateAgent"
+
+
+def items(html: Column) -> Column:
+    """All JSON-LD objects of a page as variants: members of graphs, of top-level lists, and single ones;
+    blocks that do not parse are skipped."""
+    raw = F.transform(F.regexp_extract_all(html, F.lit(BLOCK), F.lit(1)), lambda b: F.try_parse_json(unescape(F.trim(b))))
+    spread = lambda v: F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    return F.filter(F.flatten(F.transform(F.filter(raw, lambda v: v.isNotNull()), spread)), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+
+
+def has_type(item: Column, name: str) -> Column:
+    """@type is a string or a list of strings."""
+    kinds = F.try_variant_get(item, "$['@type']", "array<string>")
+    return F.coalesce(F.try_variant_get(item, "$['@type']", "string") == name, F.lit(False)) | F.coalesce(F.array_contains(kinds, name), F.lit(False))
+
+
+def first_typed(all_items: Column, name: str) -> Column:
+    return F.get(F.filter(all_items, lambda v: has_type(v, name)), 0)
+
+
+def seller_of(all_items: Column) -> Column:
+    named = F.get(F.filter(all_items, lambda v: F.coalesce(F.try_variant_get(v, "$['@id']", "string").endswith(SELLER_ID), F.lit(False))), 0)
+    return F.coalesce(named, first_typed(all_items, SELLER_TYPE))
+
+
+def text_at(item: Column, *path: str) -> Column:
+    """The trimmed text at a path, null where it is blank."""
+    return first_text(F.try_variant_get(item, "$" + "".join(f"['{p}']" for p in path), "string"))
+
+
+def image_urls(value: Column) -> Column:
+    """Urls of an image or a list of them, each a string or an object with url or contentUrl."""
+    each = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.when(value.isNotNull(), F.array(value)), F.array().cast("array<variant>"))
+    url = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.coalesce(text_at(v, "url"), text_at(v, "contentUrl")))
+    return F.array_compact(F.transform(each, url))
+
+
+def meta(html: Column) -> Column:
+    """Content of meta tags by name or property, in single or double quotes; the last of equal names wins."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
+    part = lambda t, names: F.regexp_extract(t, rf"""(?is)\b(?:{names})\s*=\s*(["'])(.*?)\1""", 2)
+    told = F.filter(F.transform(tags, lambda t: F.struct(unescape(part(t, "name|property")).alias("k"), unescape(part(t, "content")).alias("v"))), lambda x: x["k"] != "")
+    # map_from_entries takes no name twice: the last entry of each name stays.
+    last = F.filter(F.transform(told, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), (~F.exists(F.slice(told, i + 2, F.size(told)), lambda y: y["k"] == x["k"])).alias("last"))), lambda x: x["last"])
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
+
+
+def details(pages: DataFrame, key: str, external_id: str = r"(?i)/([0-9a-f]{24})$") -> DataFrame:
+    """A detail record of each page (key, url, html) from its JSON-LD, title and description failing that from
+    its meta tags; pages whose url tells no external id are left out."""
+    c = F.col
+    made = pages.withColumns({"all": items(c("html")), "meta": meta(c("html"))}).withColumns(
+        {"listing": first_typed(c("all"), "RealEstateListing"), "offer": first_typed(c("all"), "Offer"), "flat": first_typed(c("all"), "Apartment"), "place": first_typed(c("all"), "Place"), "seller": seller_of(c("all"))}
+    )
+    at = canonical_url(F.coalesce(text_at(c("listing"), "url"), text_at(c("offer"), "url"), c("url")))
+    named = lambda n: F.try_element_at(c("meta"), F.lit(n))
+    description = first_text(text_at(c("listing"), "description"), text_at(c("flat"), "description"), named("description"), named("og:description"))
+    address = F.coalesce(*(F.when(F.try_variant_get(c(x), "$['address']", "variant").isNotNull(), F.try_variant_get(c(x), "$['address']", "variant")) for x in ("place", "flat")))
+    parts = F.concat_ws(", ", *(text_at(address, p) for p in ("streetAddress", "addressLocality", "addressRegion", "addressCountry")))
+    size = F.coalesce(text_at(c("flat"), "area", "value"), text_at(c("flat"), "floorSize", "value"))
+    seller = text_at(c("seller"), "name")
+    floor = F.regexp_extract(c("description"), r"(?i)(?:na\s+)?(?:\d+\.?\s*spratu|prizemlju|prizemlje)", 0)
+    out = made.withColumns({"canonical": at, "description": description})
+    return out.select(
+        key, F.regexp_extract("canonical", external_id, 1).alias("external_id"), c("canonical").alias("url"),
+        first_text(text_at(c("listing"), "name"), text_at(c("flat"), "name"), named("og:title"), named("title")).alias("title_raw"), c("description").alias("description_raw"),
+        text_at(c("offer"), "price").alias("price_raw"), text_at(c("offer"), "priceCurrency").alias("currency_raw"), size.alias("size_raw"), first_text(parts).alias("location_raw"),
+        text_at(c("flat"), "numberOfRooms").alias("rooms_raw"), first_text(floor).alias("floor_raw"), seller.alias("seller_raw"), F.when(has_type(c("seller"), "Organization"), seller).alias("agency_raw"),
+        image_urls(F.try_variant_get(c("flat"), "$['image']", "variant")).alias("image_urls"), F.coalesce(text_at(c("listing"), "datePosted"), text_at(c("listing"), "datePublished")).alias("published_raw"),
+    ).filter("external_id <> ''")

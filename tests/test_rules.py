@@ -82,7 +82,7 @@ def test_liquidity_unknown_is_not_negative(spark):
     assert value(spark, liquidity.assess(unknown)[2]) == ["parking"]
 
 
-@pytest.mark.parametrize(("raw", "gate", "score"), [("", "VERIFY", None), ("suvlasnistvo, 1/2 udeo", "BLOCK", 95), ("neuknjizen", "VERIFY", 45), ("lep stan", "PASS", 0)])
+@pytest.mark.parametrize(("raw", "gate", "score"), [("", "VERIFY", None), ("suvlasnistvo, 1/2 udeo", "BLOCK", 95), ("neuknjizen", "VERIFY", 70), ("lep stan", "PASS", 0)])
 def test_legal_gate(spark, raw, gate, score):
     status, points, _ = sellers.gate(sellers.legal_flags(F.col("r")))
     assert value(spark, status, r=raw) == gate
