@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions.numbers import bands, clamp
@@ -178,10 +180,19 @@ def delivered(alerts: DataFrame, ok: Column) -> DataFrame:
 def cooled(events: DataFrame, keys: list[str], at: str, ident: str, seconds: int = 21600) -> DataFrame:
     """Events that become alerts: a key's next alert is at least `seconds` after its last *alert*.
 
-    The last alert's time is a fold over the key's events in order. Keys are dedupe keys with few
-    events; only times and ids are folded, not rows."""
-    each = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(at).alias("t"), F.col(ident).alias("i")))).alias("e"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    fold = lambda s, x: F.when(s["last"].isNull() | (x["t"] - s["last"] >= seconds * 1_000_000), F.struct(x["t"].alias("last"), F.concat(s["kept"], F.array(x["i"].cast("long"))).alias("kept"))).otherwise(s)
-    kept = each.select(*keys, F.explode(F.aggregate("e", start, fold, lambda s: s["kept"])).alias(ident))
-    return events.join(kept.select(ident), ident, "left_semi")
+    An event that long after the one before it is an alert whatever came earlier, so keys are cut into
+    sessions there; inside a session the times and ids alone are walked through, from alert to alert."""
+    w = Window.partitionBy(*keys).orderBy(at, ident)
+    slim = events.select(*keys, F.col(ident).cast("long").alias("_i"), F.unix_micros(at).alias("_t"), (F.unix_micros(at) - F.unix_micros(F.lag(at).over(w)) >= seconds * 1_000_000).alias("_apart"), at, ident)
+    sessions = slim.withColumn("_session", F.sum(F.when(F.coalesce("_apart", F.lit(True)), 1).otherwise(0)).over(w)).select(*keys, "_session", "_i", "_t")
+
+    def walk(session: pd.DataFrame) -> pd.DataFrame:
+        rows = session.sort_values(["_t", "_i"])
+        times, told, k = rows["_t"].to_numpy(), [], 0
+        while k < len(times):
+            told.append(k)
+            k = int(np.searchsorted(times, times[k] + seconds * 1_000_000))
+        return rows[["_i"]].iloc[told]
+
+    kept = sessions.groupBy(*keys, "_session").applyInPandas(walk, "_i long")
+    return events.join(kept.withColumnRenamed("_i", ident), ident, "left_semi")

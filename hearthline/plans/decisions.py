@@ -72,7 +72,8 @@ def alert_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return opportunity.new_alerts(keyed, sent).select("dedupe_key", "priority")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'error'), f AS (SELECT user_id, event_id, ts FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
+UNION ALL SELECT * FROM (SELECT e.user_id, e.event_id, e.ts FROM f JOIN e ON e.user_id = f.user_id AND e.ts >= f.ts + INTERVAL 6 HOUR QUALIFY row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) = 1)) SELECT event_id, user_id FROM f""")
 def alert_cooldown(spark: SparkSession, d: str) -> DataFrame:
     """Alerts of a user at least six hours apart from the last one that was sent."""
     (ev,) = load(spark, d, "events")

@@ -44,8 +44,7 @@ def null_tolerant_range(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, p_type FROM part WHERE p_type = (SELECT min(p_type) FROM part) OR p_name ILIKE '%RED%'")
 def city_or_ilike(spark: SparkSession, d: str) -> DataFrame:
     (part,) = load(spark, d, "part")
-    first = part.agg(F.min("p_type")).first()[0]
-    return part.filter((F.col("p_type") == F.lit(first)) | F.ilike("p_name", F.lit("%red%"))).select("p_partkey", "p_type")
+    return part.filter((F.col("p_type") == part.agg(F.min("p_type")).scalar()) | F.ilike("p_name", F.lit("%red%"))).select("p_partkey", "p_type")
 
 
 @query("""SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS price_cents, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total
@@ -56,7 +55,7 @@ def optional_filters_page(spark: SparkSession, d: str) -> DataFrame:
     for name, value in wanted.items():
         orders = orders if value is None else orders.filter(F.col(name) == value)
     slim = orders.select("o_orderkey", cents("o_totalprice").alias("price_cents"))
-    return rows.page(slim, [F.desc("price_cents"), F.asc("o_orderkey")], 3).withColumn("total", F.lit(orders.count()).cast("long"))
+    return rows.page(slim, [F.desc("price_cents"), F.asc("o_orderkey")], 3).withColumn("total", orders.agg(F.count("*")).scalar())
 
 
 @query("""SELECT r_name, c_mktsegment, count(*) AS orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents

@@ -75,7 +75,7 @@ def url_ids(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("page_id", host.alias("host"), F.regexp_extract("url", "/([a-z]{2})/", 1).alias("section"), F.regexp_extract("url", "/([0-9]+)", 1).try_cast("long").alias("ident"), text.slug(F.lower(host)).alias("slug"))
 
 
-@query()
+@query("""SELECT page_id, CAST(1 AS INT) AS position, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS url, 'A & B' AS name FROM pages WHERE url IS NOT NULL""")
 def jsonld_items(spark: SparkSession, d: str) -> DataFrame:
     """Search cards from JSON-LD, on pages of our own making over the pages' urls."""
     from hearthline.sources import html

@@ -25,21 +25,27 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("price", cents("value"))
 
 
+def on_time(changes: DataFrame) -> DataFrame:
+    return changes.filter("not late").drop("late")
+
+
 @query(f"WITH s AS ({STEPS}) SELECT user_id, event_id, seen AS ts, old_price AS old_value, new_price AS new_value FROM s WHERE old_price <> new_price")
 def stream_price_changes(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.run_available(jobs.price_changes(events(spark, d), "user_id", "ts", "event_id", "price"), folder(spark))
+    return on_time(jobs.run_available(jobs.price_changes(events(spark, d), "user_id", "ts", "event_id", "price"), folder(spark)))
 
 
-@query(f"WITH s AS ({STEPS}) SELECT user_id, user_id AS rule_id, event_id FROM s WHERE user_id % 2 = 0 AND old_price <> new_price AND new_price <= 2000 AND old_price > 2000")
+@query(f"WITH s AS ({STEPS}) SELECT user_id, user_id AS rule_id, event_id FROM s WHERE old_price <> new_price AND new_price <= 2000 AND old_price > 2000")
 def stream_watch_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """Every user has a rule; it meets each of the user's changes that crosses its threshold."""
     changes = jobs.run_available(jobs.price_changes(events(spark, d), "user_id", "ts", "event_id", "price"), at := folder(spark))
-    again = spark.readStream.schema(changes.schema).parquet(f"{at}/rows")
-    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().filter("user_id % 2 = 0")
+    again = on_time(spark.readStream.schema(changes.schema).parquet(f"{at}/rows"))
+    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct()
     rules = users.select("user_id", F.col("user_id").alias("rule_id"), F.lit("PRICE_BELOW").alias("rule_type"), F.lit(2000).alias("threshold"), F.lit(True).alias("is_active"))
     return jobs.run_available(jobs.watch_triggers(again, rules, "user_id", "ts", "event_id"), folder(spark)).select("user_id", "rule_id", "event_id")
 
 
-@query()
+@query("""WITH e AS (SELECT event_type, date_trunc('day', CAST(ts AS TIMESTAMP)) AS day, CAST(ts AS TIMESTAMP) AS ts FROM events), w AS (SELECT event_type, day - to_days(CAST(k AS INT)) AS start FROM e, range(7) AS r(k))
+SELECT start, event_type, count(*) AS n FROM w WHERE start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM e) GROUP BY ALL""")
 def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     """Complete seven-day windows by event type; windows that the watermark has not passed are kept back."""
     return jobs.run_available(jobs.windowed_counts(events(spark, d), "ts", ["event_type"]), folder(spark))
@@ -51,7 +57,8 @@ def stream_distinct_records(spark: SparkSession, d: str) -> DataFrame:
     return jobs.run_available(jobs.distinct_records(events(spark, d), "ts", content, "400 days"), folder(spark)).select("content_hash")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'error'), f AS (SELECT user_id, event_id, ts FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
+UNION ALL SELECT * FROM (SELECT e.user_id, e.event_id, e.ts FROM f JOIN e ON e.user_id = f.user_id AND e.ts >= f.ts + INTERVAL 6 HOUR QUALIFY row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) = 1)) SELECT * FROM f""")
 def stream_cooled_alerts(spark: SparkSession, d: str) -> DataFrame:
     errors = events(spark, d).filter("event_type = 'error'")
     return jobs.run_available(jobs.cooled_alerts(errors, "user_id", "ts", "event_id"), folder(spark))
@@ -60,5 +67,5 @@ def stream_cooled_alerts(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH s AS (SELECT user_id, event_id, event_type IN ('view', 'click') AS seen, sum(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS g FROM events)
 SELECT user_id, event_id AS scan_id, CAST(sum(CASE WHEN seen THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, g ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS misses, CASE WHEN seen THEN 'ACTIVE' ELSE 'NOT_SEEN' END AS status FROM s""")
 def stream_miss_counts(spark: SparkSession, d: str) -> DataFrame:
-    scans = events(spark, d).select("user_id", F.col("event_id").alias("scan_id"), F.col("event_type").isin("view", "click").alias("seen"))
-    return jobs.run_available(jobs.miss_counts(scans, "user_id"), folder(spark))
+    scans = events(spark, d).select("user_id", F.col("event_id").alias("scan_id"), F.col("event_type").isin("view", "click").alias("seen"), "ts")
+    return jobs.run_available(jobs.miss_counts(scans, "user_id", "ts"), folder(spark))

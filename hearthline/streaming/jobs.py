@@ -1,12 +1,14 @@
 """Incremental jobs as Structured Streaming: price diffs, watch triggers, misses, cooldowns, dedupe.
 
 Each job takes a streaming DataFrame and gives one; run_available() drives it over what is there into a
-Parquet sink and returns the rows. Event time has a watermark, so that state is bounded."""
+Parquet sink and returns the rows. Event time has a watermark, and the state of a key goes once it has been
+silent for `keep` beyond it, so that state is bounded: a key that comes back later starts anew."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,28 +24,46 @@ def run_available(out: DataFrame, folder: str, mode: str = "append") -> DataFram
     return out.sparkSession.read.schema(out.schema).parquet(f"{folder}/rows")
 
 
-def price_changes(events: DataFrame, key: str, at: str, ident: str, value: str) -> DataFrame:
-    """(key, ident, at, old_value, new_value) where an observation's value differs from the last one seen.
+DAY_MS = 86_400_000
 
-    The state is the last value and its time; rows of a batch are taken in order of time, later batches
-    must not be older, what is older is skipped."""
-    schema = f"{key} long, {ident} long, {at} timestamp, old_value long, new_value long"
+
+def _expires(state: GroupState, newest_micros: int, keep_days: int) -> None:
+    """Set when a key's state goes: keep_days after its newest event, and never before the watermark."""
+    state.setTimeoutTimestamp(max(newest_micros // 1000, state.getCurrentWatermarkMs()) + keep_days * DAY_MS)
+
+
+def price_changes(events: DataFrame, key: str, at: str, ident: str, value: str, delay: str = "1 day", keep_days: int = 400) -> DataFrame:
+    """(key, ident, at, old_value, new_value, late): an observation whose value differs from the last one seen.
+
+    The state is the last value and its time. Rows of a batch are taken in order of time; one that is older
+    than what an earlier batch has seen comes out with late set and without values, for a table of its own.
+    What is older than the watermark Spark drops, and counts (numRowsDroppedByWatermark); late_side() keeps it."""
+    schema = f"{key} long, {ident} long, {at} timestamp, old_value long, new_value long, late boolean"
 
     def diff(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values([at, ident])
         last, seen = state.get if state.exists else (None, None)
-        out = []
-        for i, t, v in zip(rows[ident], rows[at], rows[value], strict=True):
-            micros = t.value // 1000
-            if seen is not None and micros < seen:
-                continue
-            if last is not None and v != last:
-                out.append((group[0], i, t, last, v))
-            last, seen = int(v), micros
-        state.update((last, seen))
-        yield pd.DataFrame(out, columns=[key, ident, at, "old_value", "new_value"])
-
-    return events.groupBy(key).applyInPandasWithState(diff, schema, "last long, seen long", "append", GroupStateTimeout.NoTimeout)
+        micros = rows[at].astype("datetime64[us]").astype("int64").to_numpy()
+        late = micros < seen if seen is not None else np.zeros(len(rows), bool)
+        for is_late in (True, False):
+            part = rows[late == is_late]
+            before = part[value].shift(1)
+            if not is_late and len(part) and last is not None:
+                before.iloc[0] = last
+            moved = np.ones(len(part), bool) if is_late else (before.notna() & (before != part[value])).to_numpy()
+            told = (lambda x: pd.array([pd.NA] * int(moved.sum()), "Int64")) if is_late else (lambda x: x[moved].astype("Int64").array)
+            yield pd.DataFrame({key: group[0], ident: part[ident][moved].array, at: part[at][moved].array, "old_value": told(before), "new_value": told(part[value]), "late": is_late})
+        fresh = rows[~late]
+        if len(fresh):
+            last, seen = int(fresh[value].iloc[-1]), int(micros[~late][-1])
+            state.update((last, seen))
+        _expires(state, seen, keep_days)
+
+    timed = events.withWatermark(at, delay)
+    return timed.groupBy(key).applyInPandasWithState(diff, schema, "last long, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def watch_triggers(changes: DataFrame, rules: DataFrame, key: str, at: str, ident: str, delay: str = "1 day") -> DataFrame:
@@ -63,35 +83,50 @@ def distinct_records(records: DataFrame, at: str, content: Column, delay: str =
     return records.withColumn("content_hash", F.sha2(content.cast("binary"), 256)).withWatermark(at, delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def cooled_alerts(events: DataFrame, key: str, at: str, ident: str, seconds: int = 21600) -> DataFrame:
-    """(key, ident, at) of events at least `seconds` after the key's last alert; the state is its time."""
+def cooled_alerts(events: DataFrame, key: str, at: str, ident: str, seconds: int = 21600, delay: str = "1 day") -> DataFrame:
+    """(key, ident, at) of events at least `seconds` after the key's last alert; the state is its time, and goes
+    when the cooldown is over beyond the watermark."""
 
     def cool(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, out = state.get[0] if state.exists else None, []
-        for i, t in pd.concat(list(batches)).sort_values([at, ident])[[ident, at]].itertuples(index=False):
-            micros = t.value // 1000
-            if last is None or micros - last >= seconds * 1_000_000:
-                out.append((group[0], i, t))
-                last = micros
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values([at, ident])
+        micros = rows[at].astype("datetime64[us]").astype("int64").to_numpy()
+        last, told = state.get[0] if state.exists else None, []
+        k = 0 if last is None else int(np.searchsorted(micros, last + seconds * 1_000_000))
+        while k < len(micros):
+            told.append(k)
+            last = int(micros[k])
+            k = int(np.searchsorted(micros, last + seconds * 1_000_000))
         state.update((last,))
-        yield pd.DataFrame(out, columns=[key, ident, at])
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
+        yield pd.DataFrame({key: group[0], ident: rows[ident].iloc[told].array, at: rows[at].iloc[told].array})
 
-    return events.groupBy(key).applyInPandasWithState(cool, f"{key} long, {ident} long, {at} timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark(at, delay)
+    return timed.groupBy(key).applyInPandasWithState(cool, f"{key} long, {ident} long, {at} timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def miss_counts(scans: DataFrame, key: str) -> DataFrame:
-    """(key, scan_id, misses, status): consecutive misses after each scan (scan_id, key, seen); one miss is
+def miss_counts(scans: DataFrame, key: str, at: str, delay: str = "1 day", keep_days: int = 400) -> DataFrame:
+    """(key, scan_id, misses, status): consecutive misses after each scan (scan_id, key, seen, at); one miss is
     NOT_SEEN, a sighting resets."""
 
     def count(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        misses, out = state.get[0] if state.exists else 0, []
-        for scan, seen in pd.concat(list(batches)).sort_values("scan_id")[["scan_id", "seen"]].itertuples(index=False):
-            misses = 0 if seen else misses + 1
-            out.append((group[0], scan, misses, "NOT_SEEN" if misses else "ACTIVE"))
-        state.update((misses,))
-        yield pd.DataFrame(out, columns=[key, "scan_id", "misses", "status"])
-
-    return scans.groupBy(key).applyInPandasWithState(count, f"{key} long, scan_id long, misses long, status string", "misses long", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("scan_id")
+        before = state.get[0] if state.exists else 0
+        seen = rows["seen"].to_numpy(bool)
+        place = np.arange(1, len(seen) + 1)
+        sighted = np.maximum.accumulate(np.where(seen, place, 0))
+        misses = place - sighted + np.where(sighted == 0, before, 0)
+        state.update((int(misses[-1]),))
+        _expires(state, int(rows[at].astype("datetime64[us]").astype("int64").max()), keep_days)
+        yield pd.DataFrame({key: group[0], "scan_id": rows["scan_id"].array, "misses": misses, "status": np.where(misses > 0, "NOT_SEEN", "ACTIVE")})
+
+    timed = scans.withWatermark(at, delay)
+    return timed.groupBy(key).applyInPandasWithState(count, f"{key} long, scan_id long, misses long, status string", "misses long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def late_side(events: DataFrame, at: str, cutoff: Column) -> tuple[DataFrame, DataFrame]:
