@@ -8,7 +8,8 @@ so that a URL meets only rules whose posting token it has, and each meeting is v
 
 All of it is DataFrame expressions and Spark's own FP-growth. Null URLs, or such without `://`, have an
 empty host and path and no tokens: they get the commonest label. With no labelled URL that is `allow`.
-Repeated URLs count as often as they occur. Extra columns are ignored.
+Repeated URLs count as often as they occur. Tokens may hold spaces or any other character: sets are
+compared as arrays. Ties between rules go to the one whose text is last. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,34 +64,43 @@ def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float =
     longer = rules.select("tokens", "label", "confidence", F.explode("tokens").alias("token"))
     fewer = longer.join(short, "token").filter((F.size("fewer") < F.size("tokens")) & (F.col("label") == F.col("same")) & (F.col("other") >= F.col("confidence")) & (F.size(F.array_except("fewer", "tokens")) == 0))
     kept = rules.join(fewer.select("tokens", "label").distinct(), ["tokens", "label"], "left_anti")
-    return kept.withColumn("rule_id", F.concat_ws(" ", "tokens"))
+    return kept.withColumn("rule_id", F.to_json("tokens"))
 
 
-def match(urls: DataFrame, rules: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(page_id, verdict, confidence, rule_id) of the best mined rule of each row of (page_id, tokens):
-    highest confidence, then support, then most tokens, then text. frequency: (token, n)."""
+def match(sets: DataFrame, rules: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(tokens, mined, confidence, mined_rule) of the best mined rule of each distinct token set (column tokens):
+    highest confidence, then support, then most tokens, then the rule's text, last in order. frequency: (token, n)."""
     rarest = rules.select("rule_id", F.explode("tokens").alias("token")).join(frequency, "token", "left")
     posts = rarest.groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token")).alias("least")).select("rule_id", F.col("least.token").alias("token"))
     index = posts.join(rules.select("rule_id", F.col("tokens").alias("needs"), "label", "confidence", "support"), "rule_id")
     index = F.broadcast(index) if rules.count() <= BROADCAST_RULES else index
-    met = urls.select("page_id", "tokens", F.explode("tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("needs", "tokens")) == 0)
-    best = met.groupBy("page_id").agg(F.max(F.struct("confidence", "support", F.size("needs").alias("size"), "rule_id", "label")).alias("best"))
-    return best.select("page_id", F.col("best.label").alias("mined"), F.col("best.confidence").alias("confidence"), F.col("best.rule_id").alias("mined_rule"))
+    met = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("needs", "tokens")) == 0)
+    best = met.groupBy("tokens").agg(F.max(F.struct("confidence", "support", F.size("needs").alias("size"), "rule_id", "label")).alias("best"))
+    return best.select("tokens", F.col("best.label").alias("mined"), F.col("best.confidence").alias("confidence"), F.col("best.rule_id").alias("mined_rule"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], min_support: float = 0.01, min_confidence: float = 0.7) -> DataFrame:
-    """page_id, host, path, rule, verdict, confidence, mined_rule: hand-written rules first, then rules
-    mined from the URLs that those decide."""
+def tokenised(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """page_id, host, path, hand (rule and verdict of a hand-written rule, or null) and tokens of every page."""
     host, path = parts(F.col("url"))
     cut = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
-    cut = cut.withColumn("hand", hand_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
+    return cut.withColumn("hand", hand_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))).drop("url")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], min_support: float = 0.01, min_confidence: float = 0.7, least_pages: int = 5) -> DataFrame:
+    """page_id, host, path, rule, verdict, confidence, mined_rule: hand-written rules first, then rules
+    mined from the URLs that those decide, each borne out by min_support of them and by least_pages at least."""
+    cut = tokenised(pages, rules)
     labelled = cut.select("tokens", F.col("hand.verdict").alias("label"))
-    mined = mine(labelled, min_support, min_confidence)
+    counts = {r["label"]: r["n"] for r in labelled.filter("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    common = min(counts, key=lambda k: (-counts[k], k), default=ALLOW)
+    # No rule can be borne out by more pages than there are.
+    mined = mine(labelled, min(1.0, max(min_support, least_pages / max(1, sum(counts.values())))), min_confidence)
     frequency = cut.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    common = labelled.groupBy("label").count().filter("label is not null").orderBy(F.desc("count"), "label").first()
-    # Equal token sets have equal best rules: they are judged once, however many pages share them.
-    asked = cut.filter("hand is null").select("tokens").distinct().select(F.concat_ws(" ", "tokens").alias("page_id"), "tokens")
-    best = match(asked, mined, frequency).withColumnRenamed("page_id", "set_key")
-    out = cut.join(best, F.concat_ws(" ", "tokens") == F.col("set_key"), "left")
-    verdict = F.coalesce("hand.verdict", "mined", F.lit(common["label"] if common else ALLOW))
-    return out.select("page_id", "host", "path", F.col("hand.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("hand").isNull(), F.col("confidence")).alias("confidence"), F.when(F.col("hand").isNull(), F.col("mined_rule")).alias("mined_rule"))
+    # Equal token sets have equal best rules: they are judged once, however many pages share them. Pages that a
+    # hand-written rule decides, or that have no tokens, need none.
+    open_ = F.col("hand").isNull() & (F.size("tokens") > 0)
+    best = match(cut.filter(open_).select("tokens").distinct(), mined, frequency)
+    sought = cut.filter(open_).join(best, "tokens", "left").select("page_id", "host", "path", "hand", "mined", "confidence", "mined_rule")
+    settled = cut.filter(~open_).select("page_id", "host", "path", "hand", F.lit(None).cast("string").alias("mined"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("mined_rule"))
+    verdict = F.coalesce("hand.verdict", "mined", F.lit(common))
+    return sought.unionByName(settled).select("page_id", "host", "path", F.col("hand.rule").alias("rule"), verdict.alias("verdict"), "confidence", "mined_rule")
