@@ -1,13 +1,14 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a sentence, over the lines it is wrapped into, or a line. It matches a template if it holds at least `least` of the template's
-distinct words. Template words are ordered by their frequency over all documents, rarest first: a block
+A block is a sentence, over the lines it is wrapped into, or a line. It matches a template if it holds at
+least `least` of the template's distinct words. Template words are ordered by their frequency over all documents, rarest first: a block
 that matches has one of a template's |t| - ceil(least |t|) + 1 rarest words (prefix filter), at least
 ceil(least |t|) words (length filter), and, at the place of the first common word, enough words left on
-both sides (positional filter); what passes is verified. A block has the label of every template that it matches,
-but for one of which it holds only a part, and that part within a greater part of another template: so sister
-versions of one statement are told by the version word, which only one of them matches. Templates are a fixed small list, so their
-index is sent to every task; documents are not shuffled.
+both sides (positional filter); what passes is verified. A block has the label of every template that it
+matches, but for one whose words in the block are all, and not all, of another matching template's words there:
+so sister licences are told by the words that only one of them has (a version, "lesser", "affero"). Templates
+are a fixed small list, so their index is sent to every task; documents are not shuffled. The score is 1 where a
+phrase stands, else the greatest share of a template that a block holds; equal shares all count.
 
 Null and empty texts have no words and no labels. Repeated rows are judged each on its own. Extra
 columns are ignored.
@@ -29,19 +30,37 @@ from hearthline.llm.decontaminate import WORD_BYTES, words_of
 
 # Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-# Template statements and their labels.
+# Statements of public licences by which their texts are known, and their labels. Sentences that
+# several licences share (disclaimers of warranty) tell none and are left out.
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("agpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
     ("cc-by-4.0", "licensed under the creative commons attribution 4 0 international license"),
+    ("cc-by-sa-4.0", "licensed under the creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc-4.0", "licensed under the creative commons attribution noncommercial 4 0 international license"),
+    ("cc0-1.0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this notice may not be removed or altered from any source distribution"),
 ]
 BLOCK_END = re.compile(rb"(?<=[.!?])[\x09-\x0D\x20]+|\n+")
 #: Blocks go over single line ends.
@@ -68,10 +87,10 @@ class TemplateIndex:
         return ((label, len(both) / n) for label, both, n in self.met(words))
 
     def settled(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
-        """The same without templates held in part, whose part another template's greater part includes."""
+        """The same without templates whose words in the block are fewer than another's and among them."""
         met = [*self.met(words)]
         for label, both, n in met:
-            if len(both) == n or not any(both < other for _, other, _ in met):
+            if not any(both < other for _, other, _ in met):
                 yield label, len(both) / n
 
     def met(self, words: list[bytes]) -> Iterator[tuple[str, set[int], int]]:
