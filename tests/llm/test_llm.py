@@ -8,11 +8,13 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql.functions import hash as spark_hash
 from pyspark.sql.functions import lit as spark_lit
 from tokenizers import Tokenizer
 
@@ -366,6 +368,37 @@ def test_licenses(docs, rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_against_plain_search(spark):
+    """Every column over all documents of the smallest table, and over texts that wrap, repeat and mix statements."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text") if Path("/root/testdata/sf0.001").exists() else spark.createDataFrame([], "doc_id long, text string")
+    made = [f"{words(5)}. {t.replace(' ', rnd.choice([' ', chr(10), ', ']), 3).title()}.\n\n{words(4)}" for _, t in licenses.TEMPLATES] + ["mit license MIT LICENSE, cc by cc by", None, ""]
+    docs = docs.unionAll(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(made)], "doc_id long, text string"))
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for doc, text in ((r.doc_id, r.text or "") for r in docs.collect()):
+        w, places = norm(text), []
+        for phrase, label in licenses.PHRASES.items():
+            p = phrase.split()
+            places += [(k, label) for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
+        found, best = set(), 1.0 if places else 0.0
+        sentences = [s for part in re.split(r"\n[\t-\r ]*\n", text) for s in re.split(r"(?<=[.!?])[\t-\r ]+", part)]
+        for block in sentences + [line for s in sentences for line in re.split(r"\n+", s)]:
+            have = set(norm(block))
+            held = [(label, set(t.split()) & have, len(set(t.split()))) for label, t in licenses.TEMPLATES]
+            held = [x for x in held if len(x[1]) >= 0.8 * x[2] - 1e-9]
+            for label, both, n in held:
+                if not any(both < other for _, other, _ in held):
+                    found.add(label)
+                    best = max(best, len(both) / n)
+        base = {label for _, label in places}
+        at = [k for k, _ in places]
+        want = (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)))
+        r = got[doc]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == want, text
+        assert r.score == pytest.approx(best)
+    assert all(label in got[10_000 + k].labels.split(",") for k, (label, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_licenses_in_one_block_and_over_lines(spark):
     gpl = "This work is licensed under the GNU General Public License, version"
     texts = {
@@ -450,6 +483,53 @@ def test_mined_rules_against_counting(spark):
         assert not any(set(q.tokens) < set(r.tokens) and q.label == r.label and q.confidence >= r.confidence for q in rules)
 
 
+def test_url_match_against_all_rules(spark):
+    """The inverted index finds the best of all rules, also with spaces in tokens, ties and repeated sets."""
+    names = ["a", "b c", "b", "c", "d e", "é"]
+    rules = [(sorted(rnd.sample(names, rnd.randint(1, 3))), rnd.choice(["allow", "block"]), rnd.choice([0.7, 0.8]), rnd.choice([0.1, 0.2])) for _ in range(14)] + [(["b", "c"], "allow", 0.9, 0.1), (["b c"], "block", 0.9, 0.1)]
+    rules = [*{tuple(r[0]): r for r in rules}.values()]
+    frame = spark.createDataFrame([(json.dumps(r[0], separators=(",", ":"), ensure_ascii=False), *r) for r in rules], "rule_id string, tokens array<string>, label string, confidence double, support double")
+    sets = [sorted(rnd.sample(names, rnd.randint(0, 5))) for _ in range(60)]
+    asked = spark.createDataFrame([(t,) for t in {tuple(t) for t in sets}], "tokens array<string>")
+    frequency = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "token string, n long")
+    got = {tuple(r.tokens): (r.mined, r.confidence, r.mined_rule) for r in urlfilter.match(asked, frame, frequency).collect()}
+    want = {}
+    for t in map(tuple, sets):
+        fit = [(c, s, len(need), rule, label) for rule, need, label, c, s in frame.collect() if set(need) <= set(t)]
+        if fit:
+            c, s, n, rule, label = max(fit)
+            want[t] = (label, c, rule)
+    assert got == want
+
+
+def test_url_keys_do_not_run_together(spark):
+    """Pages whose tokens differ only in where a space stands are judged apart, and single pages make no rule."""
+    urls = [f"http://x{k}.org/a" for k in range(6)] + ["http://q.net/b c/", "http://q.net/b/c/", None, "none"] * 2
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.judge(frame, RULES, 0.01, 0.7).collect()}
+    assert len(got) == len(urls) and all(r.verdict == "allow" for r in got.values())
+    assert not any("x1" in (r.mined_rule or "") for r in got.values())
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables here")
+def test_url_rules_decide_held_out_pages(spark):
+    """Rules mined from two thirds of the pages that hand-written rules decide agree with these on the others."""
+    cut = urlfilter.tokenised(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), RULES).filter("hand is not null")
+    split = cut.withColumn("held", spark_hash("page_id") % 3 == 0)
+    mined = urlfilter.mine(split.filter("not held").selectExpr("tokens", "hand.verdict label"), 0.05, 0.7)
+    frequency = split.selectExpr("explode(tokens) token").groupBy("token").count().withColumnRenamed("count", "n")
+    told = split.filter("held").join(urlfilter.match(split.filter("held").select("tokens").distinct(), mined, frequency), "tokens").selectExpr("hand.verdict = mined ok").collect()
+    assert len(told) >= 15 and sum(r.ok for r in told) >= 0.85 * len(told)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables here")
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = langid.dictionaries(docs.filter(~langid.in_fold("doc_id")))
+    told = langid.identify(docs, learned).join(docs.filter(langid.in_fold("doc_id")).select("doc_id", "lang"), "doc_id").collect()
+    assert len(told) > 250 and sum(r.lang == r.lang_pred for r in told) >= 0.97 * len(told)
+
+
 LANGS = {"en": "the of and to in is that for with this", "fr": "le la les des une est dans pour que avec", "de": "der die das und ist nicht mit von für auf"}
 
 
