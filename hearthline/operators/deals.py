@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,23 +18,47 @@ def money(x: Column) -> Column:
     return F.round(x.cast("decimal(38,10)"), 2).cast(MONEY)
 
 
-def rule_cost(rule: dict[str, object], price: Column, exit_value: Column, days: Column) -> Column:
-    """fixed + price_pct percent of the price + exit_pct percent of the exit + per_day, to cents.
-    Values may be numbers or decimal columns; what a rule lacks is 0."""
+def in_cents(x: Column) -> Column:
+    """Whole cents of an amount, half up."""
+    return F.round(x.cast("decimal(20,4)") * 100).cast("long")
+
+
+def rule_cents(rule: dict[str, object], price: Column, exit_value: Column, days: Column) -> Column:
+    """fixed + price_pct percent of the price + exit_pct percent of the exit + per_day, in whole cents; price
+    and exit are in cents too. Values may be numbers or columns; what a rule lacks is 0.
+
+    Everything is a long of 1/1,000,000 cent until it is rounded, which compiles to plain arithmetic."""
     unknown = set(rule) - {"fixed", "price_pct", "exit_pct", "per_day"}
     if unknown:
         raise ValueError(f"unknown cost rule keys: {sorted(unknown)}")
-    dec = lambda k: (rule[k] if isinstance(rule.get(k), Column) else F.lit(str(rule.get(k, 0)))).cast("decimal(14,4)")
-    return money(dec("fixed") + price.cast(MONEY) * dec("price_pct") / 100 + exit_value.cast(MONEY) * dec("exit_pct") / 100 + dec("per_day") * days)
+
+    def units(k: str, scale: int) -> Column | None:
+        """A rule's value in units of 1/scale; None for what adds nothing."""
+        v = rule.get(k, 0)
+        if isinstance(v, Column):
+            return F.round(v.cast("decimal(14,4)") * scale).cast("long")
+        whole = int((Decimal(str(v)) * scale).to_integral_value(ROUND_HALF_UP))
+        return F.lit(whole).cast("long") if whole else None
+
+    parts = [(units("fixed", 100_000_000), None), (units("price_pct", 10_000), price), (units("exit_pct", 10_000), exit_value), (units("per_day", 100_000_000), days.cast("long"))]
+    terms = [u if by is None else u * by for u, by in parts if u is not None]
+    total = reduce(lambda x, y: x + y, terms, F.lit(0).cast("long"))
+    return F.call_function("div", 2 * total + 1_000_000, F.lit(2_000_000).cast("long"))
+
+
+def economics_cents(price: Column, exit_value: Column, renovation: Column, days: Column, reserve: Column, rules: dict[str, dict]) -> dict[str, Column]:
+    """Basis, net and profit of one scenario, all in whole cents."""
+    cost = {name: rule_cents(rules[name], price, exit_value, days) for name in RULES if rules.get(name)}
+    spent = reduce(lambda a, b: a + b, (c for name, c in cost.items() if name != "sale"), F.lit(0).cast("long"))
+    basis = price + spent + renovation + reserve
+    net = exit_value - cost["sale"] if "sale" in cost else exit_value
+    return {"basis": basis, "net": net, "profit": net - basis}
 
 
 def economics(price: Column, exit_value: Column, renovation: Column, days: Column, reserve: Column, rules: dict[str, dict]) -> dict[str, Column]:
-    """Basis, net, profit, roi and its annual rate, capital days of one scenario."""
-    cost = {name: rule_cost(rules.get(name, {}), price, exit_value, days) for name in RULES}
-    spent = reduce(lambda a, b: a + b, (c for name, c in cost.items() if name != "sale"))
-    basis = (price.cast(MONEY) + spent + money(renovation) + money(reserve)).cast(MONEY)
-    net = (exit_value.cast(MONEY) - cost["sale"]).cast(MONEY)
-    profit = (net - basis).cast(MONEY)
+    """Basis, net, profit, roi and its annual rate, capital days of one scenario, from and to amounts."""
+    whole = economics_cents(in_cents(price), in_cents(exit_value), in_cents(renovation), days, in_cents(reserve), rules)
+    basis, net, profit = ((whole[k] / 100).cast(MONEY) for k in ("basis", "net", "profit"))
     roi = F.when(basis > 0, F.round(profit / basis, 6))
     return {
         "basis": basis, "net": net, "profit": profit, "roi": roi,
@@ -42,11 +67,11 @@ def economics(price: Column, exit_value: Column, renovation: Column, days: Colum
     }
 
 
-def scenario_rows(deals: DataFrame) -> DataFrame:
-    """Each deal three times: scenario, and its renovation, days (half up) and exit."""
+def scenario_rows(deals: DataFrame, cents: bool = False) -> DataFrame:
+    """Each deal three times: scenario, and its renovation, days (half up) and exit; cents: amounts are whole cents."""
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(r).alias("_r"), F.lit(d).alias("_d"), F.col(f"exit_{x}").alias("exit_value")) for n, r, d, x in SCENARIOS)))
     out = deals.withColumn("_s", each).select("*", "_s.*").drop("_s")
-    scaled = out.withColumn("scenario_renovation", money(F.col("renovation") * F.col("_r") / 100))
+    scaled = out.withColumn("scenario_renovation", F.expr("(renovation * _r + 50) div 100") if cents else money(F.col("renovation") * F.col("_r") / 100))
     return scaled.withColumn("scenario_days", F.round((F.col("days") * F.col("_d")).cast("decimal(14,2)") / 100).cast("int")).drop("_r", "_d")
 
 
@@ -61,6 +86,22 @@ def max_buy_cents(exit_cents: Column, fits) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(exit_cents.cast("long"))) + 1), start, step, lambda s: s["lo"])
 
 
+def max_buy_linear(exit_cents: Column, net: Column, fixed: Column, pcts: list[Column], min_profit: Column, min_roi: Column) -> Column:
+    """max_buy_cents for costs that are linear in the price, without a search: the basis is the price, fixed
+    cents, and each of pcts (in 1/10,000 percent) of the price in whole cents, half up. What it may be follows
+    from both limits (min_roi in 1/1,000,000); dividing that by the slope is right but for the roundings,
+    half a cent for each percentage, so the few prices around are tried."""
+    div = lambda a, b: F.call_function("div", a, b.cast("long"))
+    million = F.lit(1_000_000).cast("long")
+    most = F.least(net - min_profit, F.floor(net.cast("decimal(20,0)") * million / (million + min_roi)).cast("long"))
+    slope = reduce(lambda a, b: a + b, pcts, million)
+    about = div((most - fixed).cast("long") * million, slope)
+    basis = lambda c: reduce(lambda a, p: a + div(2 * c * p + million, 2 * million), pcts, c + fixed)
+    reach = len(pcts) // 2 + 1
+    tried = [F.greatest(F.lit(0), F.least(exit_cents, about + k)) for k in range(-reach, reach + 1)]
+    return F.greatest(F.lit(0).cast("long"), *(F.when(basis(c) <= most, c).otherwise(0) for c in tried))
+
+
 def meets(min_profit: Column, min_roi: Column):
     """The predicate of the solver on cents: profit >= min_profit and profit >= min_roi * basis."""
 

@@ -86,6 +86,20 @@ def band_pairs(left: DataFrame, right: DataFrame, x: str, y: str, width: float,
     return a.join(b, ["_band", *(on or [])]).filter((F.abs(F.col(x) - F.col(y)) <= width) & condition).drop("_band")
 
 
+def band_totals(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str, width: float, totals: dict[str, Column], out: list[str]) -> DataFrame:
+    """Distinct (on, x, out) of left with each total over right's rows of the same `on` with |x - y| <= width.
+
+    No pairs are made: right's totals run along y, and each row of left takes the difference of two places on
+    that line, so that the work grows with the rows, however many of them lie together."""
+    points = right.groupBy(*on, F.col(y).alias("_at")).agg(*(t.alias(n) for n, t in totals.items())).withColumns({"_kind": F.lit(1), "_sign": F.lit(0)})
+    asked = left.select(*on, x, *out).distinct().withColumn("_ends", F.explode(F.array(F.struct(F.lit(0).alias("_kind"), F.lit(-1).alias("_sign")), F.struct(F.lit(2).alias("_kind"), F.lit(1).alias("_sign")))))
+    ends = asked.select(*on, x, *out, "_ends.*").withColumn("_at", F.col(x) + F.col("_sign") * width)
+    line = points.unionByName(ends, allowMissingColumns=True)
+    run = Window.partitionBy(*on).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    along = line.withColumns({n: F.sum(n).over(run) for n in totals}).filter("_sign <> 0")
+    return along.groupBy(*on, x, *out).agg(*(F.coalesce(F.sum(F.col("_sign") * F.coalesce(n, F.lit(0))), F.lit(0)).alias(n) for n in totals))
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, condition: Column | None = None) -> DataFrame:
     """Pairs of (lat, lon) and (lat2, lon2) at most radius_m apart, with distance_m: right rows are posted in
     their grid cell and its neighbours. Cells are as high as the radius; in each row of cells they are as wide

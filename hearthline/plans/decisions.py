@@ -21,13 +21,11 @@ def deal_scenarios(spark: SparkSession, d: str) -> DataFrame:
     (o,) = load(spark, d, "orders")
     price = cents("o_totalprice")
     base = o.select("o_orderkey", price.alias("pc"), (F.col("o_orderkey") % 400).alias("days"))
-    money = lambda sql: (F.expr(sql).cast("decimal(18,0)") / 100).cast(deals.MONEY)
-    base = base.select("o_orderkey", "days", money("pc").alias("price"), money("pc div 20").alias("renovation"), money("pc + pc div 10").alias("exit_low"), money("pc + pc div 4").alias("exit_base"), money("pc + pc div 2").alias("exit_high"))
+    base = base.selectExpr("o_orderkey", "days", "pc AS price", "pc div 20 AS renovation", "pc + pc div 10 AS exit_low", "pc + pc div 4 AS exit_base", "pc + pc div 2 AS exit_high")
     rules = {"notary": {"fixed": 5000}, "taxes": {"price_pct": "2.5"}, "sale": {"exit_pct": 3}, "holding": {"per_day": 10}}
-    each = deals.scenario_rows(base)
-    e = deals.economics(F.col("price"), F.col("exit_value"), F.col("scenario_renovation"), F.col("scenario_days"), F.lit(1000), rules)
-    whole = lambda x: (x * 100).cast("long")
-    return each.select("o_orderkey", "scenario", whole(e["basis"]).alias("basis_cents"), whole(e["net"]).alias("net_cents"), whole(e["profit"]).alias("profit_cents"), F.col("scenario_days").cast("long").alias("days"))
+    each = deals.scenario_rows(base, cents=True)
+    e = deals.economics_cents(F.col("price"), F.col("exit_value"), F.col("scenario_renovation"), F.col("scenario_days"), F.lit(100_000), rules)
+    return each.select("o_orderkey", "scenario", *(e[k].alias(f"{k}_cents") for k in ("basis", "net", "profit")), F.col("scenario_days").cast("long").alias("days"))
 
 
 @query(f"""WITH d AS (SELECT o_orderkey, {PRICE} AS x, 500000 + o_orderkey % 100000 AS fixed FROM orders), n AS (SELECT *, x - (2 * x * 300 + 10000) // 20000 AS net FROM d)
@@ -35,9 +33,8 @@ SELECT o_orderkey, CAST(greatest(0, least(x, net - fixed - 200000, net * 10 // 1
 def max_buy_price(spark: SparkSession, d: str) -> DataFrame:
     (o,) = load(spark, d, "orders")
     base = o.select("o_orderkey", cents("o_totalprice").alias("x"), (500000 + F.col("o_orderkey") % 100000).alias("fixed")).withColumn("net", F.expr("x - (2 * x * 300 + 10000) div 20000"))
-    profit = lambda c: F.col("net") - F.col("fixed") - c
-    fits = lambda c: (profit(c) >= 200000) & (10 * profit(c) >= F.col("fixed") + c)
-    return base.select("o_orderkey", deals.max_buy_cents(F.col("x"), fits).alias("max_buy_cents"))
+    most = deals.max_buy_linear(F.col("x"), F.col("net"), F.col("fixed"), [], F.lit(200000), F.lit(100000))
+    return base.select("o_orderkey", most.alias("max_buy_cents"))
 
 
 DECIDED = f"""WITH d AS (SELECT o_orderkey, o_custkey, o_orderdate, {PRICE} // 100 - 100000 AS profit, {PRICE} // 200 - 60000 AS down, o_orderkey % 30 AS roi, o_orderkey % 25 AS neg, o_orderkey % 101 AS total, o_orderkey % 3 AS sig, o_orderkey % 11 AS g, o_orderkey % 13 AS miss, o_orderkey % 17 AS conf FROM orders),

@@ -91,9 +91,12 @@ def band_self_join(spark: SparkSession, d: str) -> DataFrame:
     (part,) = load(spark, d, "part")
     a = part.select("p_partkey", "p_brand", "p_size", cents("p_retailprice").alias("pc"))
     b = part.select(F.col("p_partkey").alias("other"), "p_brand", F.col("p_size").alias("size2"), cents("p_retailprice").alias("pc2"))
-    fits = (F.col("p_partkey") != F.col("other")) & (4 * F.abs(F.col("size2") - F.col("p_size")) <= F.col("p_size"))
-    pairs = rows.band_pairs(a, b, "pc", "pc2", 2000, fits, ["p_brand"])
-    return pairs.groupBy("p_partkey").agg(F.count("*").alias("pairs"), F.sum("other").alias("others"))
+    # Sizes that fit are few whole numbers: each is a key, and the price band is a place along a line.
+    fitting = a.select("p_brand", "p_size", "pc").distinct().withColumn("size2", F.explode(F.expr("sequence(p_size - p_size div 4, p_size + p_size div 4)")))
+    found = rows.band_totals(fitting, b, ["p_brand", "size2"], "pc", "pc2", 2000, {"n": F.count("*"), "s": F.sum("other")}, ["p_size"])
+    both = a.join(found.groupBy("p_brand", "p_size", "pc").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), ["p_brand", "p_size", "pc"])
+    # A part is not its own pair.
+    return both.select("p_partkey", (F.col("n") - 1).alias("pairs"), (F.col("s") - F.col("p_partkey")).alias("others")).filter("pairs > 0")
 
 
 GEO = """44.75::DOUBLE + ({k} * 37 % 1000) / 10000.0::DOUBLE AS lat{n}, 20.40::DOUBLE + ({k} * 91 % 1000) / 10000.0::DOUBLE AS lon{n}"""

@@ -114,6 +114,18 @@ def test_candidates_let_unknown_sizes_and_rooms_pass(spark):
     assert sorted((r.listing_id, r.property_id) for r in matching.candidates(lf, pf).collect()) == want
 
 
+def test_max_buy_without_a_search(spark):
+    """The closed form finds what the binary search finds, also over rounded percentages."""
+    rows_ = [(e, n, f, p, r) for e in (0, 1, 99_999, 12_345_678) for n in (-5, 100, 98_765, 12_000_001) for f in (0, 777) for p in (0, 1_000, 50_000) for r in (0, 100_000, 1_500_000)]
+    frame = spark.createDataFrame(rows_, "exit long, net long, fixed long, least long, roi long")
+    c = F.col
+    pcts = [F.lit(25_000), F.lit(12_345), F.lit(333)]
+    basis = lambda x: sum((F.call_function("div", 2 * x * p + 1_000_000, F.lit(2_000_000).cast("long")) for p in pcts), x + c("fixed"))
+    fits = lambda x: (c("net") - basis(x) >= c("least")) & ((c("net") - basis(x)) * 1_000_000 >= c("roi") * basis(x))
+    got = frame.select(deals.max_buy_linear(c("exit"), c("net"), c("fixed"), pcts, c("least"), c("roi")).alias("a"), deals.max_buy_cents(c("exit"), fits).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and len({r.a for r in got}) > 10
+
+
 def test_pipeline_never_falls(spark):
     steps = spark.createDataFrame([("a", 1, "CALLED"), ("a", 2, "REVIEWED"), ("b", 1, "LOST"), ("b", 2, "WON"), ("b", 3, "VISITED"), ("c", 1, "??")], "p string, t int, status string")
     got = {r.p: r.status for r in workflow.pipeline_state(steps, "p", ["t"]).collect()}
