@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -79,4 +80,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
+ALNUM = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+# Strings by their digests; a window starts at each byte, in hexadecimal at each second digit. Texts are cut
+# into overlapping pieces first, since a place far into a string is slow to reach.
+OP2_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT r, 500 * j AS base, substr(h, 1000 * j + 1, 1798) AS part FROM d, unnest(range(CAST((length(h) // 2 - 400) // 500 + 1 AS BIGINT))) AS u(j) WHERE length(h) >= 800),
+w AS (SELECT r, base + k AS k, md5(substr(part, 2 * k + 1, 800)) AS g FROM q, unnest(range(CAST(length(part) // 2 - 399 AS BIGINT))) AS u(k)),
+t AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1), s AS (SELECT r, k FROM w SEMI JOIN t USING (g)),
+i AS (SELECT r, k, sum(fresh) OVER (PARTITION BY r ORDER BY k) AS island FROM (SELECT r, k, CASE WHEN k > lag(k) OVER (PARTITION BY r ORDER BY k) + 400 THEN 1 ELSE 0 END AS fresh FROM s)),
+c AS (SELECT r, min(k) AS first, max(k) + 400 AS last FROM i GROUP BY r, island),
+e AS (SELECT r, first, last, lag(last, 1, 0) OVER (PARTITION BY r ORDER BY first) AS before FROM c),
+p AS (SELECT r, sum(last - first) AS n_removed, count(*) AS n_spans, max(last) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (first - before)), '' ORDER BY first) AS kept FROM e JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE concat(kept, substr(h, 2 * tail + 1)) END)) AS kept_sha256 FROM d LEFT JOIN p USING (r)"""
+
+OP8_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, k, array_to_string(w[k:k + 34], ' ') AS g FROM d, unnest(range(1, CAST(len(w) - 33 AS BIGINT))) AS u(k) WHERE len(w) >= 35),
+t AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1), c AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(k, k + 35)) AS p FROM g SEMI JOIN t USING (g))),
+x AS (SELECT r, unnest(w) AS word, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) AS p FROM d SEMI JOIN c USING (r)),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS words FROM x ANTI JOIN c USING (r, p) GROUP BY r), hit AS (SELECT r, count(*) AS n FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_removed, sha256(CASE WHEN hit.r IS NULL THEN array_to_string(w, ' ') ELSE coalesce(words, '') END) AS kept_sha256 FROM d LEFT JOIN hit USING (r) LEFT JOIN kept USING (r)"""
+
+OP10_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {ALNUM} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {ALNUM} AS w FROM benchmark),
+i AS (SELECT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS g FROM b, unnest(range(1, CAST(len(w) - least(10, len(w)) + 2 AS BIGINT))) AS u(k) WHERE len(w) > 0),
+m AS (SELECT DISTINCT n FROM i), g AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM d, m, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS u(k) WHERE len(w) >= n),
+h AS (SELECT r, k, n, item_id FROM g JOIN i USING (n, g)), c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM h) GROUP BY r),
+f AS (SELECT r, list_sort(list(DISTINCT item_id) FILTER (item_id IS NOT NULL)) AS items FROM h GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, c.r IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (r) LEFT JOIN f USING (r)"""
+
+#: The other operators hash, compress, mine or tokenise, which SQL cannot express.
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -18,7 +19,7 @@ from pyspark.sql.functions import hash as spark_hash
 from pyspark.sql.functions import lit as spark_lit
 from tokenizers import Tokenizer
 
-from hearthline.llm import decontaminate, langid, licenses, packing, repeats, simhash, spotsigs, substring_dedup, suffix_dedup, tokens, urlfilter
+from hearthline.llm import decontaminate, langid, licenses, packing, queries, repeats, simhash, similar, spotsigs, substring_dedup, suffix_dedup, tokens, urlfilter
 from hearthline.llm.components import connected_components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -180,7 +181,7 @@ def test_operators_leave_a_caller_s_columns_alone(spark):
     rows = [(k, t, *[f"{c}{k}" for c in names[2:]]) for k, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
     want = {r[0]: r[2:] for r in rows}
-    for out in (suffix_dedup.strip_documents(frame), simhash.keep_one(frame), langid.keep_identified(frame, {"x": b"a b c", "y": b"d e f"}), decontaminate.remove_documents(frame, frame.selectExpr("'b' item_id", "'no such' text"))):
+    for out in (suffix_dedup.strip_documents(frame), simhash.keep_one(frame), similar.keep_one(frame), langid.keep_identified(frame, {"x": b"a b c", "y": b"d e f"}), decontaminate.remove_documents(frame, frame.selectExpr("'b' item_id", "'no such' text"))):
         assert out.columns == names
         assert all(tuple(r)[2:] == want[r.doc_id] for r in out.collect())
     repeated = frame.limit(1).unionAll(frame.limit(1).withColumn("lang", spark_lit("zz")))
@@ -562,3 +563,16 @@ def test_language_of_long_texts():
     judge = langid.Classifier({lang: say(lang, 8000).encode()[: 1 << 16] for lang in vocabulary}, 6, 0.001)
     short, long = judge(say("y", 5000)), judge(say("y", 1_000_000))
     assert short[::2] == long[::2] == ("y", False) and long[1] == pytest.approx(short[1], rel=0.2)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, folder)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(tuple(r) for r in got.select(*want.columns).collect()) == Counter(want.fetchall())
