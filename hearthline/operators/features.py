@@ -41,6 +41,25 @@ def price_cuts(events: DataFrame, key: str, as_of: Column, drop=drop_pct) -> Dat
     )
 
 
+def market_features(listings: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
+    """The sixteen market features of every property with a listing. listings: as of listing_aggregates, with
+    size; events: price changes with property_id, at, event_id, old_price, new_price."""
+    seen = listing_aggregates(listings, as_of)
+    sized = listings.groupBy("property_id").agg(F.max("size").alias("size"))
+    both = seen.join(sized, "property_id").join(price_cuts(events, "property_id", as_of), "property_id", "left")
+    c = F.col
+    known = lambda name: F.coalesce(c(name), F.lit(0)).alias(name)
+    return both.select(
+        "property_id", F.when(c("size") > 0, F.round(c("lowest_price") / c("size"), 2)).alias("price_per_m2"), "listing_age_days", "market_age_days", "active_count", "known_count", "relist_count", "lowest_price", "highest_price",
+        known("total_pct"), known("pct_7d"), known("pct_30d"), known("cut_count"), elapsed_days(as_of, c("last_cut_at")).alias("days_since_cut"), "largest_pct", "owner_present", "agency_count",
+    )
+
+
+def versioned(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of new, and those of existing whose keys (an id and a version) new has not."""
+    return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
 def location_points(micro: Column, confidence: Column, neighborhood: Column, municipality: Column, city: Column) -> Column:
     return (
         F.when(micro.isNotNull() & (confidence >= 0.75), 20).when(micro.isNotNull() | neighborhood.isNotNull(), 14)

@@ -22,13 +22,54 @@ def rule_fires(kind: Column, threshold: Column, old: Column, new: Column) -> Col
     return F.coalesce(hit, F.lit(False))
 
 
+# Events that a rule without a type is after, and the one that each other type is after.
+RELEVANT = ["PRICE_CHANGED", "DESCRIPTION_CHANGED", "SELLER_CHANGED"]
+EVENT_OF = {"ANY_PRICE_CHANGE": "PRICE_CHANGED", "PRICE_BELOW": "PRICE_CHANGED", "PRICE_DROP_PERCENT": "PRICE_CHANGED", "DESCRIPTION_CHANGE": "DESCRIPTION_CHANGED", "SELLER_CHANGE": "SELLER_CHANGED"}
+# Actions from the least to the most urgent.
+ACTIONS = ["IGNORE", "WATCH", "REVIEW", "CALL", "URGENT_CALL"]
+
+
+def rule_matches(kind: Column, threshold: Column, event_type: Column, old: Column, new: Column) -> Column:
+    """Whether an event is what a rule is after: price rules by prices, others by the kind of event."""
+    event = F.create_map(*(F.lit(x) for pair in EVENT_OF.items() for x in pair))
+    right = F.when(kind.isNull(), event_type.isin(RELEVANT)).otherwise(F.try_element_at(event, kind) == event_type)
+    priced = kind.isin("PRICE_BELOW", "PRICE_DROP_PERCENT")
+    return F.coalesce(right, F.lit(False)) & F.when(F.coalesce(priced, F.lit(False)), rule_fires(kind, threshold, old, new)).otherwise(True)
+
+
+def valid_rule(kind: Column, threshold: Column) -> Column:
+    """Rules with a threshold need a positive one."""
+    return ~F.coalesce(kind.isin("PRICE_BELOW", "PRICE_DROP_PERCENT"), F.lit(False)) | F.coalesce(threshold > 0, F.lit(False))
+
+
 def triggers(rules: DataFrame, events: DataFrame) -> DataFrame:
-    """Rules of property_id met by its events, one per rule and change key."""
-    met = events.join(rules.filter("is_active"), "property_id").filter(rule_fires(F.col("rule_type"), F.col("threshold"), F.col("old_price"), F.col("new_price")))
-    change = F.concat_ws(":", "event_id", "rule_type", F.col("threshold").cast("string"))
+    """Rules of property_id met by its events (of PRICE_CHANGED if they have no event_type), one per rule and
+    change key."""
+    events = events if "event_type" in events.columns else events.withColumn("event_type", F.lit("PRICE_CHANGED"))
+    met = events.join(rules.filter("is_active"), "property_id").filter(rule_matches(F.col("rule_type"), F.col("threshold"), F.col("event_type"), F.col("old_price"), F.col("new_price")))
+    change = F.concat_ws(":", "event_id", F.coalesce("rule_type", F.lit("DEFAULT")), F.coalesce(F.col("threshold").cast("string"), F.lit("default")))
     return met.withColumn("change_key", change).dropDuplicates(["rule_id", "change_key"])
 
 
+def action_rank(act: Column) -> Column:
+    """How urgent an action is; -1 for none."""
+    return reduce(lambda o, k: F.when(act == ACTIONS[k], k).otherwise(o), range(len(ACTIONS)), F.lit(-1))
+
+
+def what_changed(event_type: Column, rule_type: Column, threshold: Column, old: Column, new: Column, before: Column, after: Column) -> Column:
+    """What a trigger tells: the change in words, the actions before and after it, and whether they are an upgrade."""
+    told = lambda x: F.coalesce(x.cast("string"), F.lit("None"))
+    words = (
+        F.when(event_type == "PRICE_CHANGED", F.concat(F.lit("Price changed from "), told(old), F.lit(" to "), told(new)))
+        .when(event_type == "DESCRIPTION_CHANGED", "Description changed").when(event_type == "SELLER_CHANGED", "Seller changed").otherwise(event_type)
+    )
+    drop = F.when((event_type == "PRICE_CHANGED") & (old > 0) & (new < old), F.round(((old - new) / old * 100).cast("decimal(20,8)"), 4))
+    return F.struct(
+        event_type.alias("event_type"), F.coalesce(rule_type, F.lit("DEFAULT")).alias("trigger_type"), threshold.cast("string").alias("threshold"), words.alias("summary_text"), drop.alias("price_drop_pct"),
+        before.alias("previous_action"), after.alias("new_action"), (action_rank(after) > action_rank(before)).alias("action_upgraded"),
+    )
+
+
 def active_rules(rules: DataFrame) -> DataFrame:
     """The latest rule of a property, if it is active."""
     turn = F.row_number().over(Window.partitionBy("property_id").orderBy(F.desc("created_at"), F.desc("rule_id")))

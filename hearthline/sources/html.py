@@ -139,3 +139,49 @@ def details(pages: DataFrame, key: str, external_id: str = r"(?i)/([0-9a-f]{24})
         text_at(c("flat"), "numberOfRooms").alias("rooms_raw"), first_text(floor).alias("floor_raw"), seller.alias("seller_raw"), F.when(has_type(c("seller"), "Organization"), seller).alias("agency_raw"),
         image_urls(F.try_variant_get(c("flat"), "$['image']", "variant")).alias("image_urls"), F.coalesce(text_at(c("listing"), "datePosted"), text_at(c("listing"), "datePublished")).alias("published_raw"),
     ).filter("external_id <> ''")
+
+
+def first_tag(html: Column, name: str) -> Column:
+    """The attribute text of a page's first such tag."""
+    return F.regexp_extract(html, rf"(?is)<{name}\b([^>]*)>", 1)
+
+
+def any_attributes(tag: Column) -> Column:
+    """Attributes in single or double quotes, trimmed; the last of equal names wins."""
+    pairs = F.regexp_extract_all(tag, F.lit(r"""(?s)([a-zA-Z_:][-a-zA-Z0-9_:.]*\s*=\s*(?:"[^"]*"|'[^']*'))"""), F.lit(1))
+    entry = lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.trim(unescape(F.regexp_extract(p, r"""(?s)=\s*["'](.*)["']$""", 1))).alias("v"))
+    told = F.transform(pairs, entry)
+    last = F.filter(F.transform(told, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), (~F.exists(F.slice(told, i + 2, F.size(told) + 1), lambda y: y["k"] == x["k"])).alias("last"))), lambda x: x["last"])
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
+
+
+def article_cards(pages: DataFrame, key: str) -> DataFrame:
+    """(key, external_id, url and raw fields) of <article data-*> cards, one per external id. The url is the
+    card's own, else its first link's, else made from the id."""
+    c = F.col
+    each = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)(<article\b[^>]*>.*?</article>)"), F.lit(1))).alias("at", "card"))
+    told = each.withColumn("attrs", any_attributes(first_tag(c("card"), "article"))).withColumn("link", F.try_element_at(any_attributes(first_tag(c("card"), "a")), F.lit("href")))
+    at = lambda n: first_text(F.try_element_at(c("attrs"), F.lit(n)))
+    ident = at("data-listing-id")
+    url = F.coalesce(at("data-url"), c("link"), F.concat(F.lit("/oglas/"), ident))
+    found = F.coalesce(ident, F.nullif(F.regexp_extract(url, r"(?i)\b(NKRS-\d+)", 1), F.lit("")))
+    raw = {f"{n}_raw": at(f"data-{n}") for n in ("title", "price", "location", "size", "rooms", "floor")} | {"currency_raw": F.coalesce(at("data-currency"), at("data-price")), "published_raw": at("data-published-at")}
+    cards = told.select(key, "at", F.upper(found).alias("external_id"), canonical_url(url).alias("url"), *(x.alias(n) for n, x in raw.items())).filter("external_id is not null")
+    return latest_row(cards, [key, "external_id"], [F.asc("at")]).drop("at")
+
+
+def plain_details(pages: DataFrame, key: str) -> DataFrame:
+    """Detail records of pages (key, url, html) without JSON-LD: from the attributes of <main> and meta tags."""
+    c = F.col
+    told = pages.withColumns({"attrs": any_attributes(first_tag(c("html"), "main")), "meta": meta(c("html"))})
+    at = lambda n: first_text(F.try_element_at(c("attrs"), F.lit(n)))
+    named = lambda n: first_text(F.try_element_at(c("meta"), F.lit(n)))
+    url = canonical_url(F.coalesce(named("og:url"), named("canonical"), at("data-url"), c("url")))
+    ident = F.coalesce(at("data-listing-id"), F.nullif(F.regexp_extract(url, r"(?i)\b(NKRS-\d+)", 1), F.lit("")))
+    images = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1)), lambda t: F.try_element_at(any_attributes(t), F.lit("src"))), lambda u: u.isNotNull())
+    raw = {f"{n}_raw": at(f"data-{n}") for n in ("price", "size", "location", "rooms", "floor", "seller", "agency")}
+    return told.select(
+        key, F.upper(ident).alias("external_id"), url.alias("url"), F.coalesce(at("data-title"), named("og:title"), named("title")).alias("title_raw"),
+        F.coalesce(at("data-description"), named("description")).alias("description_raw"), F.coalesce(at("data-currency"), at("data-price")).alias("currency_raw"), *(x.alias(n) for n, x in raw.items()),
+        images.alias("image_urls"), at("data-published-at").alias("published_raw"),
+    ).filter("external_id is not null")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import text
-from hearthline.operators import changes, extraction, liquidity, matching, opportunity, rows, sellers, valuation, workflow
+from hearthline.operators import changes, extraction, features, liquidity, matching, opportunity, rows, sellers, valuation, workflow
 from hearthline.sources import html
 
 NOW = dt.datetime(2024, 6, 1)
@@ -313,3 +313,35 @@ def test_detail_record(spark):
         "size_raw": "50,5", "location_raw": "Glavna 5, Zemun", "rooms_raw": "2", "floor_raw": "na 5. spratu", "seller_raw": "Agent", "agency_raw": "Agent", "image_urls": ["a.jpg", "b.jpg", "c.jpg"], "published_raw": "2024-01-01",
     }
     assert pages.select(html.meta(F.col("html")).alias("m")).first().m == {"og:title": "Stan & lift", "description": "last"}
+
+
+def test_article_cards_and_plain_details(spark):
+    page = """<main data-listing-id='nkrs-7' data-price="150.000 EUR" data-title=" Stan &amp; lift "><meta name="description" content="opis"><img src='a.jpg'><img alt="x">
+    <article class="c" data-listing-id="nkrs-1" data-price='99 EUR' data-size="50"><a href="/oglas/one">x</a></article><article data-url="/oglas/NKRS-2/?q=1"></article><article data-listing-id="NKRS-1"></article><article></article></main>"""
+    pages = spark.createDataFrame([(1, "https://n.rs/oglas/x?y", page), (2, "https://n.rs/none", "<p>")], "page_id long, url string, html string")
+    got = {r.external_id: (r.url, r.price_raw, r.currency_raw, r.size_raw) for r in html.article_cards(pages, "page_id").collect()}
+    assert got == {"NKRS-1": ("/oglas/one", "99 EUR", "99 EUR", "50"), "NKRS-2": ("/oglas/NKRS-2", None, None, None)}
+    (d,) = html.plain_details(pages, "page_id").collect()
+    assert (d.external_id, d.url, d.title_raw, d.description_raw, d.price_raw, d.currency_raw, d.image_urls) == ("NKRS-7", "https://n.rs/oglas/x", "Stan & lift", "opis", "150.000 EUR", "150.000 EUR", ["a.jpg"])
+
+
+def test_watch_rules_of_all_kinds(spark):
+    rules = [(1, None, None), (2, "ANY_PRICE_CHANGE", None), (3, "PRICE_BELOW", 90.0), (4, "PRICE_DROP_PERCENT", 0.1), (5, "DESCRIPTION_CHANGE", None), (6, "SELLER_CHANGE", None)]
+    rf = spark.createDataFrame([("P", *r, True) for r in rules], "property_id string, rule_id long, rule_type string, threshold double, is_active boolean")
+    ev = spark.createDataFrame([("P", 1, "PRICE_CHANGED", 100.0, 90.0), ("P", 2, "DESCRIPTION_CHANGED", None, None), ("P", 3, "SELLER_CHANGED", None, None), ("P", 4, "REAPPEARED", None, None), ("P", 5, "PRICE_CHANGED", 90.0, 95.0)], "property_id string, event_id long, event_type string, old_price double, new_price double")
+    got = {(r.rule_id, r.event_id): r.change_key for r in workflow.triggers(rf, ev).collect()}
+    assert set(got) == {(1, 1), (1, 2), (1, 3), (1, 5), (2, 1), (2, 5), (3, 1), (4, 1), (5, 2), (6, 3)} and got[1, 2] == "2:DEFAULT:default" and got[3, 1] == "1:PRICE_BELOW:90.0"
+    told = one(spark, workflow.what_changed(F.lit("PRICE_CHANGED"), F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(100), F.lit(90), F.lit("WATCH"), F.lit("CALL")))
+    assert (told.summary_text, float(told.price_drop_pct), told.action_upgraded, told.trigger_type) == ("Price changed from 100 to 90", 10.0, True, "DEFAULT")
+    assert not one(spark, workflow.valid_rule(F.lit("PRICE_BELOW"), F.lit(None).cast("int"))) and one(spark, workflow.valid_rule(F.lit(None).cast("string"), F.lit(None).cast("int")))
+
+
+def test_market_features(spark):
+    ls = spark.createDataFrame([("P", "ACTIVE", 90.0, days(5), "OWNER", 45.0), ("P", "REMOVED", 200.0, days(50), "AGENCY", 45.0)], "property_id string, status string, price double, first_seen timestamp, seller string, size double")
+    ev = spark.createDataFrame([("P", days(10), 1, 100.0, 90.0)], "property_id string, at timestamp, event_id long, old_price double, new_price double")
+    got = features.market_features(ls, ev, F.lit(NOW)).first()
+    assert (got.price_per_m2, got.listing_age_days, got.market_age_days, got.known_count, got.cut_count, got.pct_7d, got.pct_30d, got.days_since_cut, got.owner_present) == (2.0, 5, 50, 2, 1, 0, 10, 10, True)
+    assert len(got) == 17
+    old = spark.createDataFrame([(1, "v1", 5), (1, "v2", 6), (2, "v1", 7)], "id long, version string, x long")
+    new = spark.createDataFrame([(1, "v2", 60), (3, "v2", 8)], "id long, version string, x long")
+    assert {tuple(r) for r in features.versioned(old, new, ["id", "version"]).collect()} == {(1, "v1", 5), (2, "v1", 7), (1, "v2", 60), (3, "v2", 8)}
