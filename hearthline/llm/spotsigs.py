@@ -27,7 +27,6 @@ ANCHORS = (
     "der die das und ist den dem ein eine zu mit von nicht auf im für auch sich "
     "el los las y del se por una con su para es lo no como más o al"
 ).split()
-MARK = "\u0001"
 FIRST_KEY = -(1 << 63)
 DOCS_PER_BUCKET = 2048
 MOST_BUCKETS = 1 << 16
@@ -38,13 +37,23 @@ def normalised(text: Column) -> Column:
 
 
 def signatures(text: Column, chain: int = 2) -> Column:
-    """Sorted distinct signature hashes of a text; never empty."""
+    """Sorted distinct signature hashes of a text; never empty.
+
+    The text is split once. Of the words before a place those that are anchors are as many as the anchor's
+    number, so the content words that follow it start at its place less its number."""
     plain = normalised(text)
-    marked = F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), f" (?=(?:{'|'.join(sorted(set(ANCHORS)))}) )", f" {MARK}")
-    spot = rf"{MARK}(?=([^ ]++(?:(?: {MARK}[^ ]++)*+ [^ {MARK}][^ ]*+){{1,{chain}}}))"
-    found = F.regexp_extract_all(marked, F.lit(spot), F.lit(1))
-    hashed = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.xxhash64(F.regexp_replace(x, f" {MARK}[^ ]+", "")))))
-    return F.when(F.size(hashed) > 0, hashed).otherwise(F.array(F.xxhash64(plain)))
+    words = F.split(plain, " ")
+    anchor = lambda w: w.isin(*sorted(set(ANCHORS)))
+    parted = F.struct(words.alias("w"), F.filter(words, lambda w: ~anchor(w)).alias("c"))
+
+    def hashed(p: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(p["w"]) - 1), lambda i: anchor(F.get(p["w"], i)))
+        found = F.transform(places, lambda i, j: F.when(i - j < F.size(p["c"]), F.xxhash64(F.concat_ws(" ", F.get(p["w"], i), *(F.get(p["c"], i - j + k) for k in range(chain))))))
+        return F.array_sort(F.array_distinct(F.array_compact(found)))
+
+    # Bound to one value first: an expression that is used twice would be split twice.
+    some = F.element_at(F.transform(F.array(parted), hashed), 1)
+    return F.element_at(F.transform(F.array(some), lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(F.xxhash64(plain)))), 1)
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
