@@ -19,9 +19,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.llm.common import materialise
+
 UNDETERMINED = "und"
 #: Characters that the dictionaries of all languages have together, at most: 64 K each for up to 512 languages.
 TOTAL = 1 << 25
+#: Sampled ids are broadcast up to this number, else joined by shuffle; either way the same texts are read.
+MOST_SENT = 1 << 17
 BLOCK_BYTES = 1 << 14
 
 
@@ -34,11 +38,13 @@ def sample_texts(labelled: DataFrame, per_language: int, size: int, buckets: int
     dealt = known.select("doc_id", "lang", order.alias("h"), F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(buckets)).alias("b"))
     turn = F.row_number().over(Window.partitionBy("lang", "b").orderBy("h", "doc_id"))
     chosen = dealt.withColumn("turn", turn).filter(F.col("turn") <= max(1, per_language // buckets)).select("doc_id", "lang").distinct()
+    chosen = materialise(chosen)
     number = chosen.groupBy("lang").agg(F.count("*").alias("number"))
     languages = number.agg(F.count("*")).first()[0]
     share = F.greatest(F.lit(1), F.floor(F.lit(min(size, TOTAL // max(1, languages))) / F.col("number"))).cast("int").alias("share")
-    # At most per_language rows of two short columns for each language.
-    wanted = F.broadcast(chosen.join(F.broadcast(number), "lang").select("doc_id", "lang", share))
+    wanted = chosen.join(number, "lang").select("doc_id", "lang", share)
+    # per_language rows of three short columns for each of so many languages at most are sent to all tasks.
+    wanted = F.broadcast(wanted) if languages * per_language <= MOST_SENT else wanted
     start = F.pmod(order, F.greatest(F.lit(1), F.length("text") - F.col("share"))).cast("int") + 1
     texts = known.join(wanted, ["doc_id", "lang"]).select("doc_id", "lang", F.substr(F.col("text"), start, F.col("share")).alias("text"))
     out: dict[str, list[str]] = {}
