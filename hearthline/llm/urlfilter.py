@@ -20,6 +20,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.llm.common import materialise
+
 ALLOW, BLOCK = "allow", "block"
 LABEL = "label="
 #: Mined rules are broadcast up to this number; more are joined by shuffle.
@@ -99,7 +101,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], min_support: floa
     # Equal token sets have equal best rules: they are judged once, however many pages share them. Pages that a
     # hand-written rule decides, or that have no tokens, need none.
     open_ = F.col("hand").isNull() & (F.size("tokens") > 0)
-    best = match(cut.filter(open_).select("tokens").distinct(), mined, frequency)
+    # Written out, so that the join deals it anew and can split the pages of a common set over tasks.
+    best = materialise(match(cut.filter(open_).select("tokens").distinct(), mined, frequency))
     sought = cut.filter(open_).join(best, "tokens", "left").select("page_id", "host", "path", "hand", "mined", "confidence", "mined_rule")
     settled = cut.filter(~open_).select("page_id", "host", "path", "hand", F.lit(None).cast("string").alias("mined"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("mined_rule"))
     verdict = F.coalesce("hand.verdict", "mined", F.lit(common))
