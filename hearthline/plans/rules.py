@@ -100,7 +100,9 @@ def similar_parts(spark: SparkSession, d: str) -> DataFrame:
     a = part.select(F.col("p_partkey").alias("id"), "p_brand", "p_type", "p_size", cents("p_retailprice").alias("pc"))
     b = a.select(F.col("id").alias("other"), "p_brand", F.col("p_type").alias("type2"), F.col("p_size").alias("size2"), F.col("pc").alias("pc2"))
     off = F.abs(F.col("size2") - F.col("p_size"))
-    pairs = rows.band_pairs(a, b, "p_size", "size2", 13, (F.col("id") != F.col("other")) & (4 * off <= F.col("p_size")), ["p_brand"])
+    # Sizes that fit are few whole numbers: each is a key, so that only fitting pairs are made.
+    fitting = a.withColumn("size2", F.explode(F.expr("sequence(p_size - p_size div 4, p_size + p_size div 4)")))
+    pairs = fitting.join(b, ["p_brand", "size2"]).filter(F.col("id") != F.col("other"))
     size = F.when(100 * off <= 5 * F.col("p_size"), 100).when(100 * off <= 15 * F.col("p_size"), 75).otherwise(30)
     price = numbers.bands(F.abs(F.col("pc") - F.col("pc2")), [(1000, 100), (5000, 70)], 20)
     return pairs.select("id", "other", (size * 20 + F.when(F.col("p_type") == F.col("type2"), 100).otherwise(40) * 10 + price * 15).alias("score"))
