@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -37,7 +38,7 @@ def spread(low: Column) -> Column:
     """Letters that decompose into several ASCII characters (ligatures, fractions, dots) spelt out, the others
     that have a decomposition replaced; texts without any of the former are not taken apart."""
     singles, left, several = decomposed()
-    spelt = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    spelt = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     letters = F.transform(F.split(low, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.try_element_at(spelt, x), x)))
     return F.translate(F.when(low.rlike(f"[{''.join(several)}]"), F.array_join(letters, "")).otherwise(low), singles, left)
 
