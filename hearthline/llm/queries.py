@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import decontaminate, langid, licenses, simhash, spotsigs, substring_dedup, suffix_dedup, urlfilter
+from hearthline.llm import conversations, decontaminate, langid, licenses, simhash, spotsigs, substring_dedup, suffix_dedup, urlfilter
 from hearthline.llm.common import table
 from hearthline.llm.packing import pack_documents
 from hearthline.llm.tokens import count_tokens
@@ -67,6 +67,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(conversations.prefix_trie(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -110,5 +115,19 @@ h AS (SELECT r, k, n, item_id FROM g JOIN i USING (n, g)), c AS (SELECT r, count
 f AS (SELECT r, list_sort(list(DISTINCT item_id) FILTER (item_id IS NOT NULL)) AS items FROM h GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, c.r IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (r) LEFT JOIN f USING (r)"""
 
+# A node is the list of its turns' digests. CRC-32 runs over the bits of each digit of the id.
+OP13_SQL = """WITH o AS (SELECT conv_id AS c, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS g, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list({'g': g, 'w': w} ORDER BY p) AS ts FROM o GROUP BY c),
+h AS (SELECT c, ts, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: [CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 4 AS h FROM l),
+r AS (SELECT h.c, list_concat(coalesce(s.ts, [])[1:CAST(h.h AS BIGINT)], h.ts[CAST(h.h AS BIGINT) + 1:]) AS ts FROM h LEFT JOIN l AS s ON s.c = h.c - h.c % 20),
+m AS (SELECT c, d, list_transform(ts[1:d], lambda x: x.g) AS k, coalesce(ts[d].w, 0) AS w, d = len(ts) AS ends FROM r, unnest(range(CAST(len(ts) + 1 AS BIGINT))) AS u(d)),
+n AS (SELECT k, d, min(c) AS c, count(*) AS n, max(w) AS w, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS e FROM m GROUP BY k, d),
+f AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+x AS (SELECT n.*, coalesce(f.n_children, 0) AS n_children FROM n LEFT JOIN f USING (k)),
+t AS (SELECT k[1:a] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n - 1) * w) AS saved FROM x, unnest(range(CAST(d + 1 AS BIGINT))) AS u(a) GROUP BY 1)
+SELECT x.c AS conv_id, x.d AS depth, q.c AS parent_conv_id, x.n AS n_convs, x.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(x.e) AS ends_sha256 FROM x JOIN t USING (k) LEFT JOIN n AS q ON x.d > 0 AND q.k = x.k[1:x.d - 1]"""
+
 #: The other operators hash, compress, mine or tokenise, which SQL cannot express.
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op10_decontamination": OP10_SQL, "op13_prefix_trie": OP13_SQL}
