@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import conversations, decontaminate, langid, licenses, simhash, spotsigs, substring_dedup, suffix_dedup, urlfilter, whitening
+from hearthline.llm import conversations, decontaminate, langid, licenses, neighbours, simhash, spotsigs, substring_dedup, suffix_dedup, urlfilter, whitening
 from hearthline.llm.common import table
 from hearthline.llm.packing import pack_documents
 from hearthline.llm.tokens import count_tokens
@@ -71,6 +71,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(conversations.prefix_trie(table(spark, sf_dir, "conversations")))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
     "op11_whitening": op11_whitening,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
