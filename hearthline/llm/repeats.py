@@ -209,9 +209,9 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (doc_id, th and one more column: text or row) with its own spans as arrays starts and ends, null
-    where there are none."""
-    own = spans.groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    own = own.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), "starts", "ends")
+    where there are none. Repeated rows send the same spans, once each; a set keeps one of them."""
+    own = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("own"))
+    own = own.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), F.col("own.start").alias("starts"), F.col("own.end").alias("ends"))
     return docs.join(own, (docs["th"] == own["own_th"]) & docs["doc_id"].eqNullSafe(own["own_id"]), "left").drop("own_id", "own_th")
 
 
