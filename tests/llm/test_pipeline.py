@@ -120,6 +120,69 @@ def test_near_copies_go(spark):
     assert {r.doc_id for r in kept} == {c for i, c in got.items()}
 
 
+def test_near_copies_of_stock_paragraphs(spark):
+    """Forms and boilerplate: texts of ten of 24 paragraphs, half of them with an edited copy alike to 0.8 or more."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("etaoinshrdlu", k=rnd.randint(2, 9)))
+    stock = [[word() for _ in range(40)] for _ in range(24)]
+    texts, wanted = [], []
+    for _ in range(300):
+        base = [w for p in rnd.sample(stock, 10) for w in p]
+        copy = list(base)
+        for _ in range(rnd.randint(1, 6)):
+            copy[rnd.randrange(len(copy))] = word()
+        wanted.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [shingles(t) for t in texts]
+    alike = lambda i, j: (c := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - c)
+    wanted = [(i, j) for i, j in wanted if alike(i, j)]
+    got = {r.doc_id: r.component_id for r in similar.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert len(wanted) > 200 and sum(got[i] == got[j] for i, j in wanted) >= 0.98 * len(wanted)
+    true = components(texts)
+    assert all(true[i] == true[got[i]] for i in got)
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    """Buckets beyond the crowd are parted and stream through in pieces; copies of one text stay together."""
+    monkeypatch.setattr(similar, "CROWD", 8)
+    monkeypatch.setattr(similar, "GATHERED", 4)
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(9999)}" for _ in range(400)]
+    texts = []
+    for k in range(160):
+        copy = list(base) if k % 2 else [f"v{k % 7}-{x}" for x in range(400)]
+        copy[rnd.randrange(400)] = f"n{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    got = {r.doc_id: r.component_id for r in similar.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert got == dict(enumerate(components(texts)))
+
+
+def test_a_family_around_the_threshold(spark):
+    """Eighty copies edited in three places each: most pairs are a little less alike than 0.8, the others are links."""
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(9999)}" for _ in range(200)]
+    texts = []
+    for _ in range(80):
+        copy = list(base)
+        for _ in range(3):
+            copy[rnd.randrange(200)] = f"n{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if (c := len(a & b)) >= 0.8 * (len(a) + len(b) - c)]
+    got = {r.doc_id: r.component_id for r in similar.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert len(pairs) > 50 and sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs)
+
+
+def test_bands_meet_as_computed():
+    rnd = random.Random(7)
+    met = 0
+    for _ in range(300):
+        common = [rnd.getrandbits(63) for _ in range(160)]
+        a, b = (np.array(common + [rnd.getrandbits(63) for _ in range(20)], np.uint64) for _ in range(2))
+        met += bool(set(similar.band_keys(similar.minima(a)).tolist()) & set(similar.band_keys(similar.minima(b)).tolist()))
+    assert similar.recall(0.8) > 0.998 and met >= 297
+
+
 def test_passages_of_over_fifty_words_go(spark):
     """Planted passages of 51 to 80 words are cut out of every document that holds one; clean texts stay as they are."""
     rnd = random.Random(3)
