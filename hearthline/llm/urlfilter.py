@@ -1,8 +1,11 @@
 """URL filtering by hand-written rules and by association rules that FP-growth mines from labelled URLs.
 
 A URL's tokens are its host labels, path segments (numbers become one token), suffix, query keys and
-scheme. Each labelled URL is one transaction of its tokens and its label. Rules `tokens -> label` are
-kept by support and confidence; a rule is pruned if one with fewer of its tokens says the same at no
+scheme. Each labelled URL is one transaction of its tokens and its label. Tokens that occur in the very same
+labelled URLs are one item, named by the first of them (a URL that many pages share, of whatever length, is an item or
+few): a rule of several such tokens says no more than one of any of them, so that no rule is lost, and a page has an
+item if it has any of its tokens. Rules `items -> label` are taken from the frequent itemsets with and without
+a label, and kept by support and confidence; a rule is pruned if one with fewer of its items says the same at no
 less confidence. Rules are matched through an inverted index: each is posted under its rarest token,
 so that a URL meets only rules whose posting token it has, and each meeting is verified in full.
 
@@ -55,12 +58,35 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(every)))
 
 
+def same_items(labelled: DataFrame) -> DataFrame:
+    """(token, item): tokens that occur in just the labelled URLs that another, the item, occurs in. URLs are told
+    apart by two 64-bit hashes of their tokens, whose sums over a token's URLs tell its set of them."""
+    each = labelled.filter(F.col("label").isNotNull()).select("tokens", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
+    total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
+    sets = each.select(F.explode("tokens").alias("token"), "a", "b").groupBy("token").agg(F.count("*").alias("n"), total("a"), total("b"))
+    firsts = sets.groupBy("n", "a", "b").agg(F.min("token").alias("item"), F.count("*").alias("members")).filter("members > 1")
+    return sets.join(firsts, ["n", "a", "b"]).filter("token <> item").select("token", "item")
+
+
+def as_items(sets: DataFrame, same: DataFrame) -> DataFrame:
+    """(tokens, items) of distinct token sets: each token replaced by its item, in order of text."""
+    distinct = sets.select("tokens").distinct()
+    changed = distinct.select("tokens", F.explode("tokens").alias("token")).join(same, "token", "left")
+    items = changed.groupBy("tokens").agg(F.array_sort(F.collect_set(F.coalesce("item", "token"))).alias("items"))
+    return items.union(distinct.filter(F.size("tokens") == 0).select("tokens", F.col("tokens").alias("items")))
+
+
 def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
     """(rule_id, tokens, label, confidence, support): pruned rules from rows of (tokens, label)."""
-    baskets = labelled.filter(F.col("label").isNotNull()).select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    mined = model.associationRules.filter(F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)))
-    rules = mined.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1000).alias("label"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"))
+    known = labelled.filter(F.col("label").isNotNull())
+    baskets = known.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
+    # Itemsets alone: rules from items to items, which Spark's association rules list too, grow much faster.
+    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
+    sets = materialise(sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(LABEL))).alias("tokens"), F.filter("items", lambda x: x.startswith(LABEL)).alias("labels"), "freq"))
+    plain = sets.filter((F.size("labels") == 0) & (F.size("tokens") > 0)).select("tokens", F.col("freq").alias("of"))
+    told = sets.filter(F.size("labels") == 1).join(plain, "tokens").withColumn("confidence", F.col("freq") / F.col("of")).filter(F.col("confidence") >= min_confidence)
+    n = baskets.count()
+    rules = told.select("tokens", F.substring(F.col("labels")[0], len(LABEL) + 1, 1000).alias("label"), F.round("confidence", 9).alias("confidence"), F.round(F.col("freq") / max(1, n), 9).alias("support"))
     # Redundant rules: posted under each of their tokens, a shorter rule is met at any token it has.
     short = rules.select(F.explode("tokens").alias("token"), F.col("tokens").alias("fewer"), F.col("label").alias("same"), F.col("confidence").alias("other"))
     longer = rules.select("tokens", "label", "confidence", F.explode("tokens").alias("token"))
@@ -96,13 +122,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], min_support: floa
     counts = {r["label"]: r["n"] for r in labelled.filter("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
     common = min(counts, key=lambda k: (-counts[k], k), default=ALLOW)
     # No rule can be borne out by more pages than there are.
-    mined = mine(labelled, min(1.0, max(min_support, least_pages / max(1, sum(counts.values())))), min_confidence)
-    frequency = cut.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # Every token set once, with its items: pages join it, so that a common set's rows can be split over tasks.
+    items = materialise(as_items(cut.filter(F.size("tokens") > 0), same_items(labelled)))
+    known = labelled.filter("label is not null").join(items, "tokens").select(F.col("items").alias("tokens"), "label")
+    mined = mine(known, min(1.0, max(min_support, least_pages / max(1, sum(counts.values())))), min_confidence)
+    frequency = items.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     # Equal token sets have equal best rules: they are judged once, however many pages share them. Pages that a
     # hand-written rule decides, or that have no tokens, need none.
     open_ = F.col("hand").isNull() & (F.size("tokens") > 0)
     # Written out, so that the join deals it anew and can split the pages of a common set over tasks.
-    best = materialise(match(cut.filter(open_).select("tokens").distinct(), mined, frequency))
+    asked = items.join(cut.filter(open_).select("tokens").distinct(), "tokens", "left_semi")
+    told = match(asked.select(F.col("items").alias("tokens")).distinct(), mined, frequency).withColumnRenamed("tokens", "items")
+    best = materialise(asked.join(told, "items").drop("items"))
     sought = cut.filter(open_).join(best, "tokens", "left").select("page_id", "host", "path", "hand", "mined", "confidence", "mined_rule")
     settled = cut.filter(~open_).select("page_id", "host", "path", "hand", F.lit(None).cast("string").alias("mined"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("mined_rule"))
     verdict = F.coalesce("hand.verdict", "mined", F.lit(common))

@@ -484,6 +484,46 @@ def test_mined_rules_against_counting(spark):
         assert not any(set(q.tokens) < set(r.tokens) and q.label == r.label and q.confidence >= r.confidence for q in rules)
 
 
+def test_a_long_url_that_many_pages_share(spark):
+    """Forty segments of their own on a fiftieth of the pages are one item: as many itemsets as for one segment, and
+    the verdict for a page that has some of them."""
+    long = "/".join(f"seg{k}x" for k in range(40))
+    urls = [f"http://shop.com/de/{long}/{k % 3}" for k in range(20)] + [f"http://h{k % 40}.org/page/{k}" for k in range(600)] + [f"http://m{k % 30}.com/fr/{k}" for k in range(380)]
+    urls += ["http://else.net/seg7x/seg9x/", "http://else.net/nothing/", "http://other.net/" + "/".join(f"seg{k}x" for k in range(0, 40, 3))]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.judge(frame, RULES).collect()}
+    assert [got[1000 + k].verdict for k in range(3)] == ["block", "allow", "block"]
+    assert got[1000].mined_rule == got[1002].mined_rule == '["h:shop"]'  # the first of what these URLs alone have
+    labelled = urlfilter.tokenised(frame, RULES).selectExpr("tokens", "hand.verdict label")
+    same = {r.token: r.item for r in urlfilter.same_items(labelled).collect()}
+    assert {same.get(f"p:seg{k}x") for k in range(40)} == {"h:shop"}
+
+
+def test_items_lose_no_rule(spark):
+    """Judged by items, sets get the verdict and confidence of the best rule over all subsets of tokens."""
+    names = [*"abcdefg"]
+    twin = {"a": "ab", "c": "cdx"}
+    sets = [sorted({y for x in rnd.sample(names, 3) for y in twin.get(x, x)}) for _ in range(90)]
+    rows = [(s, rnd.choice(["allow", "block", "block"])) for s in sets]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, label string")
+    same = urlfilter.same_items(labelled)
+    every = [sorted(rnd.sample([*names, "x", "y"], rnd.randint(1, 5))) for _ in range(60)]
+    asked = urlfilter.as_items(spark.createDataFrame([(t,) for t in {tuple(t) for t in every + sets}], "tokens array<string>"), same)
+    mined = urlfilter.mine(labelled.join(asked, "tokens").selectExpr("items tokens", "label"), 0.06, 0.6)
+    frequency = spark.createDataFrame([(n, 1) for n in names], "token string, n long")
+    told = urlfilter.match(asked.selectExpr("items tokens").distinct(), mined, frequency).withColumnRenamed("tokens", "items")
+    got = {tuple(r.tokens): r.confidence for r in asked.join(told, "items").collect()}
+    for t in map(tuple, every):
+        best = None
+        for bits in range(1, 1 << len(t)):
+            need = {x for k, x in enumerate(t) if bits >> k & 1}
+            have = [label for s, label in rows if need <= set(s)]
+            for label in ("allow", "block"):
+                if have.count(label) >= 0.06 * 90 and have.count(label) >= 0.6 * len(have):
+                    best = max(best or 0, round(have.count(label) / len(have), 9))
+        assert got.get(t) == best, t
+
+
 def test_url_match_against_all_rules(spark):
     """The inverted index finds the best of all rules, also with spaces in tokens, ties and repeated sets."""
     names = ["a", "b c", "b", "c", "d e", "é"]
