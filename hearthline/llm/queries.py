@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hearthline.llm import conversations, decontaminate, langid, licenses, neighbours, simhash, spotsigs, substring_dedup, suffix_dedup, urlfilter, whitening
 from hearthline.llm.common import table
@@ -60,7 +61,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("templates", F.array_join(F.col("templates").cast("array<string>"), ","))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

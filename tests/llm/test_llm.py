@@ -372,7 +372,7 @@ def test_licenses(docs, rows, none):
 def test_licenses_against_plain_search(spark):
     """Every column over all documents of the smallest table, and over texts that wrap, repeat and mix statements."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text") if Path("/root/testdata/sf0.001").exists() else spark.createDataFrame([], "doc_id long, text string")
-    made = [f"{words(5)}. {t.replace(' ', rnd.choice([' ', chr(10), ', ']), 3).title()}.\n\n{words(4)}" for _, t in licenses.TEMPLATES] + ["mit license MIT LICENSE, cc by cc by", None, ""]
+    made = [f"{words(5)}. {t.replace(' ', rnd.choice([' ', chr(10), ', ']), 3).title()}.\n\n{words(4)}" for _, t, _ in licenses.TEMPLATES] + ["mit license MIT LICENSE, cc by cc by", None, ""]
     docs = docs.unionAll(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(made)], "doc_id long, text string"))
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
@@ -381,23 +381,42 @@ def test_licenses_against_plain_search(spark):
         for phrase, label in licenses.PHRASES.items():
             p = phrase.split()
             places += [(k, label) for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
-        found, best = set(), 1.0 if places else 0.0
+        found, best, numbers = set(), 1.0 if places else 0.0, set()
         sentences = [s for part in re.split(r"\n[\t-\r ]*\n", text) for s in re.split(r"(?<=[.!?])[\t-\r ]+", part)]
         for block in sentences + [line for s in sentences for line in re.split(r"\n+", s)]:
-            have = set(norm(block))
-            held = [(label, set(t.split()) & have, len(set(t.split()))) for label, t in licenses.TEMPLATES]
-            held = [x for x in held if len(x[1]) >= 0.8 * x[2] - 1e-9]
-            for label, both, n in held:
-                if not any(both < other for _, other, _ in held):
+            have, line = set(norm(block)), f" {' '.join(norm(block))} "
+            held = [(k, label, set(t.split()) & have, len(set(t.split())), telling) for k, (label, t, telling) in enumerate(licenses.TEMPLATES)]
+            held = [x for x in held if len(x[2]) >= 0.8 * x[3] - 1e-9]
+            numbers |= {x[0] for x in held}
+            held = [x for x in held if all(any(f" {way} " in line for way in phrase.split("|")) for phrase in x[4])]
+            for _, label, both, n, _ in held:
+                if not any(both < other or both == other and m < n for _, _, other, m, _ in held):
                     found.add(label)
                     best = max(best, len(both) / n)
         base = {label for _, label in places}
         at = [k for k, _ in places]
-        want = (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)))
+        want = (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), sorted(numbers))
         r = got[doc]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == want, text
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.templates) == want, text
         assert r.score == pytest.approx(best)
-    assert all(label in got[10_000 + k].labels.split(",") for k, (label, _) in enumerate(licenses.TEMPLATES))
+    for k, (label, text, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[10_000 + k].labels.split(",") and k in got[10_000 + k].templates, text
+
+
+def test_licenses_by_hand(spark):
+    """Statements labelled by reading them: what names a licence gives its label, what does not gives none."""
+    texts = {
+        "released under the BSD license": "bsd", "released under the GPL license": "gpl", "licensed under the GNU General Public License": "gpl", "licensed under CC BY 4.0": "cc-by,cc-by-4.0",
+        "This work is licensed under the Creative Commons Attribution 4.0 International License.": "cc-by-4.0", "Apache License version 1.0": "apache", "Licensed under the Apache License, version 1.0": "apache",
+        "Licensed under the Apache License, Version 2.0 (the License)": "apache,apache-2.0", "released under the MIT license": "mit", "released under the XYZ license": "", "released under the license": "",
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0", "licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa-4.0",
+        "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0", "licensed under CC BY-NC-ND 4.0": "cc-by,cc-by-nc-nd-4.0", "licensed under the GNU Lesser General Public License": "lgpl",
+        "licensed under the GNU Affero General Public License version 3": "agpl-3.0", "permission is hereby granted to any person obtaining a ticket": "", "This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+        "You may redistribute this program under the terms below.": "", "He was released under the act and licensed under the rule.": "",
+    }
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(frame).collect()}
+    assert {t: got[k] for k, t in enumerate(texts)} == texts
 
 
 def test_licenses_in_one_block_and_over_lines(spark):
@@ -417,7 +436,7 @@ def test_template_index_finds_all_matches():
     index = licenses.TemplateIndex(templates, {w.encode(): rnd.randrange(50) for w in VOCAB}, 0.6)
     for _ in range(400):
         block = [w.encode() for w in rnd.choices(VOCAB, k=rnd.randint(0, 14))]
-        want = sorted((k, len(s & set(block)) / len(s)) for k, t in templates if (s := set(t.encode().split())) and len(s & set(block)) >= 0.6 * len(s) - 1e-9)
+        want = sorted((k, len(s & set(block)) / len(s)) for k, (_, t) in enumerate(templates) if (s := set(t.encode().split())) and len(s & set(block)) >= 0.6 * len(s) - 1e-9)
         assert sorted(index.block(block)) == want
 
 
