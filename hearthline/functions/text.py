@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -34,13 +35,25 @@ def decomposed() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), more
 
 
+def ranges(letters: Iterable[str], gap: int = 8) -> str:
+    """A pattern of a letter among these or within a small gap between two: few ranges, since a pattern tries each."""
+    runs: list[list[int]] = []
+    for k in sorted(map(ord, letters)):
+        if runs and k <= runs[-1][1] + gap:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    return f"[{''.join(f'\\x{{{a:x}}}-\\x{{{b:x}}}' for a, b in runs)}]"
+
+
 def spread(low: Column) -> Column:
     """Letters that decompose into several ASCII characters (ligatures, fractions, dots) spelt out, the others
-    that have a decomposition replaced; texts without any of the former are not taken apart."""
+    that have a decomposition replaced; texts without any of the former are not taken apart, and ASCII ones are left."""
     singles, left, several = decomposed()
     spelt = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     letters = F.transform(F.split(low, ""), lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.try_element_at(spelt, x), x)))
-    return F.translate(F.when(low.rlike(f"[{''.join(several)}]"), F.array_join(letters, "")).otherwise(low), singles, left)
+    whole = F.translate(F.when(low.rlike(ranges(several)), F.array_join(letters, "")).otherwise(low), singles, left)
+    return F.when(F.length(low) == F.octet_length(low), low).otherwise(whole)
 
 
 def ascii_fold(c: Column) -> Column:

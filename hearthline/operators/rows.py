@@ -115,12 +115,12 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, condition:
 
     column = lambda lon, n: F.pmod(F.floor((F.col(lon) + 180) / 360 * n), n)
     a = left.withColumn("_row", lat_row("lat")).withColumn("_col", column("lon", cells(F.col("_row"))))
-    posts = []
-    for i in (-1, 0, 1):
-        row = lat_row("lat2") + i
-        n = cells(row)
-        posts += [F.struct(row.alias("_row"), F.pmod(column("lon2", n) + j, n).alias("_col")) for j in (-1, 0, 1)]
-    b = right.withColumn("_post", F.explode(F.array_distinct(F.array(*posts)))).select("*", "_post._row", "_post._col").drop("_post")
+    # Each row's cell count once; rows of fewer than three cells are posted in each of them once.
+    at = right.withColumn("_at", lat_row("lat2")).withColumns({f"_n{i}": cells(F.col("_at") + i) for i in (-1, 0, 1)})
+    at = at.withColumns({f"_c{i}": column("lon2", F.col(f"_n{i}")) for i in (-1, 0, 1)})
+    post = lambda i, j: F.struct((F.col("_at") + i).alias("_row"), F.pmod(F.col(f"_c{i}") + j, F.col(f"_n{i}")).alias("_col"))
+    posts = [post(i, j) if j == 0 else F.when(F.col(f"_n{i}") > (1 if j == 1 else 2), post(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    b = at.withColumn("_post", F.explode(F.array(*posts))).filter("_post is not null").select(*right.columns, "_post._row", "_post._col")
     near = a.join(b, ["_row", "_col"]).drop("_row", "_col").withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
     near = near.filter(F.col("distance_m") <= radius_m)
     return near if condition is None else near.filter(condition)
