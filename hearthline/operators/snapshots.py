@@ -37,4 +37,4 @@ def outcomes(deals: DataFrame, known: DataFrame, as_of: Column) -> DataFrame:
 
 def is_positive(outcome: Column, sale_price: Column, max_buy: Column) -> Column:
     """Whether an outcome shows that the call was worth it; null where it tells nothing."""
-    return F.when(outcome == "BOUGHT_BY_USER", True).when(outcome.isin("LOST_TO_OTHER_BUYER", "CANCELLED"), False).when(outcome.isin("CONFIRMED_SOLD", "LIKELY_SOLD"), sale_price <= max_buy)
+    return F.when(outcome == "BOUGHT_BY_USER", True).when(outcome.isin("LOST_TO_OTHER_BUYER", "SALE_CANCELLED"), False).when(outcome.isin("CONFIRMED_SOLD", "LIKELY_SOLD"), sale_price <= max_buy)
