@@ -37,7 +37,8 @@ def price_changes(events: DataFrame, key: str, at: str, ident: str, value: str,
 
     The state is the last value and its time. Rows of a batch are taken in order of time; one that is older
     than what an earlier batch has seen comes out with late set and without values, for a table of its own.
-    What is older than the watermark Spark drops, and counts (numRowsDroppedByWatermark); late_side() keeps it."""
+    What is older than the watermark Spark drops, and counts (numRowsDroppedByWatermark); CurrentListings in current.py
+    keeps them in a table."""
     schema = f"{key} long, {ident} long, {at} timestamp, old_value long, new_value long, late boolean"
 
     def diff(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -84,8 +85,9 @@ def distinct_records(records: DataFrame, at: str, content: Column, delay: str =
 
 
 def cooled_alerts(events: DataFrame, key: str, at: str, ident: str, seconds: int = 21600, delay: str = "1 day") -> DataFrame:
-    """(key, ident, at) of events at least `seconds` after the key's last alert; the state is its time, and goes
-    when the cooldown is over beyond the watermark."""
+    """(key, ident, at, late) of events at least `seconds` after the key's last alert; the state is its time and that of
+    the newest event, and goes when the cooldown is over beyond the watermark. Events older than what an earlier batch
+    has seen come out marked late, for a table of their own, and raise no alert."""
 
     def cool(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -93,42 +95,54 @@ def cooled_alerts(events: DataFrame, key: str, at: str, ident: str, seconds: int
             return
         rows = pd.concat(list(batches)).sort_values([at, ident])
         micros = rows[at].astype("datetime64[us]").astype("int64").to_numpy()
-        last, told = state.get[0] if state.exists else None, []
+        last, seen = state.get if state.exists else (None, None)
+        late = micros < seen if seen is not None else np.zeros(len(rows), bool)
+        if late.any():
+            yield pd.DataFrame({key: group[0], ident: rows[ident][late].array, at: rows[at][late].array, "late": True})
+        rows, micros, told = rows[~late], micros[~late], []
+        if not len(rows):
+            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
+            return
         k = 0 if last is None else int(np.searchsorted(micros, last + seconds * 1_000_000))
         while k < len(micros):
             told.append(k)
             last = int(micros[k])
             k = int(np.searchsorted(micros, last + seconds * 1_000_000))
-        state.update((last,))
+        state.update((last, int(micros[-1])))
         state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
-        yield pd.DataFrame({key: group[0], ident: rows[ident].iloc[told].array, at: rows[at].iloc[told].array})
+        yield pd.DataFrame({key: group[0], ident: rows[ident].iloc[told].array, at: rows[at].iloc[told].array, "late": False})
 
     timed = events.withWatermark(at, delay)
-    return timed.groupBy(key).applyInPandasWithState(cool, f"{key} long, {ident} long, {at} timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy(key).applyInPandasWithState(cool, f"{key} long, {ident} long, {at} timestamp, late boolean", "last long, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def miss_counts(scans: DataFrame, key: str, at: str, delay: str = "1 day", keep_days: int = 400) -> DataFrame:
     """(key, scan_id, misses, status): consecutive misses after each scan (scan_id, key, seen, at); one miss is
-    NOT_SEEN, a sighting resets."""
+    NOT_SEEN, a sighting resets. A scan no later than one that an earlier batch has counted comes out as LATE, without
+    misses, and changes nothing."""
 
     def count(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values("scan_id")
-        before = state.get[0] if state.exists else 0
+        before, last = state.get if state.exists else (0, None)
+        newest = int(rows[at].astype("datetime64[us]").astype("int64").max())
+        late = (rows["scan_id"] <= last).to_numpy() if last is not None else np.zeros(len(rows), bool)
+        if late.any():
+            yield pd.DataFrame({key: group[0], "scan_id": rows["scan_id"][late].array, "misses": pd.array([pd.NA] * int(late.sum()), "Int64"), "status": "LATE"})
+        rows = rows[~late]
+        if not len(rows):
+            _expires(state, newest, keep_days)
+            return
         seen = rows["seen"].to_numpy(bool)
         place = np.arange(1, len(seen) + 1)
         sighted = np.maximum.accumulate(np.where(seen, place, 0))
         misses = place - sighted + np.where(sighted == 0, before, 0)
-        state.update((int(misses[-1]),))
-        _expires(state, int(rows[at].astype("datetime64[us]").astype("int64").max()), keep_days)
+        state.update((int(misses[-1]), int(rows["scan_id"].iloc[-1])))
+        _expires(state, newest, keep_days)
         yield pd.DataFrame({key: group[0], "scan_id": rows["scan_id"].array, "misses": misses, "status": np.where(misses > 0, "NOT_SEEN", "ACTIVE")})
 
     timed = scans.withWatermark(at, delay)
-    return timed.groupBy(key).applyInPandasWithState(count, f"{key} long, scan_id long, misses long, status string", "misses long", "append", GroupStateTimeout.EventTimeTimeout)
-
+    return timed.groupBy(key).applyInPandasWithState(count, f"{key} long, scan_id long, misses long, status string", "misses long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
-def late_side(events: DataFrame, at: str, cutoff: Column) -> tuple[DataFrame, DataFrame]:
-    """On-time and late events against a cutoff; the late ones go to a table of their own."""
-    return events.filter(F.col(at) >= cutoff), events.filter(F.col(at) < cutoff)
