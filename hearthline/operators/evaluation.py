@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.functions.numbers import nearest
 from hearthline.operators.snapshots import is_positive
 from hearthline.operators.workflow import classified
 
@@ -83,11 +84,6 @@ def evaluation_items(cutoffs: list[tuple], opportunities: DataFrame, deals: Data
     return out.withColumn("called", called).withColumn("classification", classified(is_positive(c("outcome_type"), c("sale_price"), c("max_buy")), called))
 
 
-def half_up(over: Column, under: Column) -> Column:
-    """The nearest whole number to over / under of whole numbers; null where under is 0."""
-    return F.floor(F.try_divide(2 * over + under, 2 * under)).cast("long")
-
-
 def evaluation_metrics(items: DataFrame) -> DataFrame:
     """Counts and rates per cutoff: precision and call-worthy rate in ten thousandths, money as in the items."""
     c = F.col
@@ -99,6 +95,6 @@ def evaluation_metrics(items: DataFrame) -> DataFrame:
         F.sum(F.abs(c("fair_value") - c("sale_price"))).alias("_error"), F.count(c("fair_value") - c("sale_price")).alias("_errors"), F.sum(c("sale_price") - c("cost_basis")).alias("simulated_profitability_total"),
     )
     return counts.withColumns({
-        "alert_precision_e4": half_up(10_000 * c("true_positive"), c("true_positive") + c("false_positive")),
-        "call_worthy_rate_e4": half_up(10_000 * c("alertable_recommendations"), c("total_items")), "valuation_mae": half_up(c("_error"), c("_errors")),
+        "alert_precision_e4": nearest(10_000 * c("true_positive"), c("true_positive") + c("false_positive")),
+        "call_worthy_rate_e4": nearest(10_000 * c("alertable_recommendations"), c("total_items")), "valuation_mae": nearest(c("_error"), c("_errors")),
     }).drop("_error", "_errors")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.functions.numbers import nearest
 from hearthline.functions.text import contains_any
 
 # Points of severities; wording, severity, effect and confidence of legal flags; code sets.
@@ -173,3 +174,68 @@ def gate(flags: Column) -> tuple[Column, Column, Column]:
     only_unknown = (F.size(flags) > 0) & F.forall(flags, lambda x: x["code"] == UNDOCUMENTED)
     score = F.when(only_unknown, None).when(status == "BLOCK", F.greatest(worst, F.lit(90))).otherwise(worst)
     return status, score, F.coalesce(F.array_max(F.transform(flags, lambda x: x["confidence"])), F.lit(45))
+
+
+#: Scores and confidences of an assessment are in hundredths.
+MOST = 10_000
+
+
+def said_level(level_column: str, confidence: str, name: str) -> list[Column]:
+    """Aggregates (name_score, name_sure) of a level over a property's extracted answers: the confidence-weighted mean of
+    the levels' scores, their plain mean where all confidences are 0, and the mean confidence."""
+    counts = F.col(level_column).isin("LOW", "MEDIUM", "HIGH") & F.col(confidence).isNotNull()
+    s, c = level_score(F.col(level_column)) * 100, F.round(F.col(confidence) * 100).cast("long")
+    total = lambda x: F.sum(F.when(counts, x))
+    weighed, plain = nearest(total(s * c), total(c)), nearest(total(s), F.count_if(counts))
+    clamp = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(MOST))
+    return [clamp(F.when(total(c) > 0, weighed).otherwise(plain)).alias(f"{name}_score"), clamp(nearest(total(c), F.count_if(counts))).alias(f"{name}_sure")]
+
+
+def composed(parts: list[tuple[int, Column, Column]]) -> tuple[Column, Column]:
+    """Score and confidence of components (weight, score, confidence), in hundredths, of those whose score is known: the
+    weighted means, the confidence scaled by how much of a weight of 100 is there."""
+    known = lambda x, s: F.when(s.isNotNull(), x).otherwise(0)
+    weight = sum((known(F.lit(w), s) for w, s, _ in parts), F.lit(0))
+    score = nearest(sum((known(s * w, s) for w, s, _ in parts), F.lit(0)), weight)
+    sure = nearest(sum((known(c * w, s) for w, s, c in parts), F.lit(0)) * (7_000 + 30 * F.least(weight, F.lit(100))), weight * 10_000)
+    return score, F.coalesce(sure, F.lit(0).cast("long"))
+
+
+def assessed(facts: DataFrame, answers: DataFrame, calls: DataFrame, as_of: Column) -> DataFrame:
+    """One row per property of facts: motivation and negotiability (level, score, confidence), whether cash is preferred
+    and how sure that is, the reason for sale, and what manual answers settled. Scores are in hundredths.
+
+    facts: property_id, cut_count, total_pct, market_age_days, relist_count, seller_changes, owner_present, agency_count,
+    lowest_price. answers, of successful extractions: property_id, answer_id, completed_at, and for motivation,
+    negotiability, cash and reason the value and its <name>_confidence. calls: as of latest_call(). A manual answer of
+    confidence 70 or more goes before what was extracted or derived; UNKNOWN never does."""
+    c = F.col
+    order = lambda x: F.struct(F.col(x), F.col("completed_at"), F.col("answer_id"))
+    told = lambda v, u, ok: F.max_by(F.struct(c(v).alias("value"), c(u).alias("sure")), F.when(ok & c(u).isNotNull(), order(u)))
+    said = answers.groupBy("property_id").agg(
+        *said_level("motivation", "motivation_confidence", "m"), *said_level("negotiability", "negotiability_confidence", "n"),
+        told("cash", "cash_confidence", c("cash").isNotNull()).alias("cash_said"), told("reason", "reason_confidence", c("reason").isNotNull() & (c("reason") != "UNKNOWN")).alias("reason_said"),
+    )
+    both = facts.join(said, "property_id", "left").join(latest_call(calls, as_of), "property_id", "left")
+    e2 = lambda pair: (pair[0] * 100, pair[1] * 100)
+    cuts, age = e2(price_history(c("cut_count"), F.coalesce("total_pct", F.lit(0)))), e2(market_age(c("market_age_days")))
+    again = e2(relisting(F.coalesce("relist_count", F.lit(0)), F.coalesce("seller_changes", F.lit(0))))
+    kind = e2(seller_type(F.when(c("owner_present"), "OWNER").when(c("agency_count") > 0, "AGENCY").otherwise("OTHER")))
+    floor = e2(manual_floor(F.when(c("lowest_price") > 0, c("lowest_indicated_price") / c("lowest_price"))))
+    by_hand = F.when(c("seller_motivation").isin("LOW", "MEDIUM", "HIGH"), c("seller_motivation"))
+    hand = (F.when(by_hand.isNotNull(), level_score(by_hand) * 100), c("seller_motivation_confidence") * 100)
+    motivation, motivation_sure = composed([(35, c("m_score"), c("m_sure")), (30, *cuts), (15, *age), (10, *again), (10, *hand)])
+    negotiability, negotiability_sure = composed([(35, c("n_score"), c("n_sure")), (35, *cuts), (15, *age), (15, *kind), (20, *floor)])
+    first = by_hand.isNotNull() & (c("seller_motivation_confidence") >= LEAST_MANUAL)
+    cash_first = c("cash_preferred").isNotNull() & (c("cash_preferred_confidence") >= LEAST_MANUAL)
+    reason_first = c("reason_for_sale").isNotNull() & (c("reason_for_sale") != "UNKNOWN") & (c("reason_for_sale_confidence") >= LEAST_MANUAL)
+    first, cash_first, reason_first = (F.coalesce(x, F.lit(False)) for x in (first, cash_first, reason_first))
+    grade = lambda score: level(score / 100)
+    settled = F.array_compact(F.array(F.when(first, "seller_motivation"), F.when(cash_first, "cash_preference"), F.when(reason_first, "reason_for_sale")))
+    return both.select(
+        "property_id", F.when(first, by_hand).otherwise(grade(motivation)).alias("motivation_level"), F.when(first, hand[0]).otherwise(motivation).cast("long").alias("motivation_score"),
+        F.when(first, hand[1]).otherwise(motivation_sure).cast("long").alias("motivation_confidence"), grade(negotiability).alias("negotiability_level"), negotiability.alias("negotiability_score"),
+        negotiability_sure.alias("negotiability_confidence"), F.when(cash_first, c("cash_preferred")).otherwise(c("cash_said.value")).alias("cash_preferred"),
+        F.when(cash_first, c("cash_preferred_confidence") * 100).otherwise(F.round(c("cash_said.sure") * 100)).cast("long").alias("cash_confidence"),
+        F.when(reason_first, c("reason_for_sale")).otherwise(F.coalesce("reason_said.value", F.lit("UNKNOWN"))).alias("reason_for_sale"), settled.alias("manual_precedence"),
+    )

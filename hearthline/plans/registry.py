@@ -38,5 +38,5 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-for _part in ("relational", "rules", "resolution", "valuations", "decisions", "backtests", "read_models", "streams"):
+for _part in ("relational", "rules", "resolution", "valuations", "decisions", "backtests", "assessments", "read_models", "streams"):
     import_module(f"hearthline.plans.{_part}")
