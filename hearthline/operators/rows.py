@@ -86,15 +86,18 @@ def band_pairs(left: DataFrame, right: DataFrame, x: str, y: str, width: float,
     return a.join(b, ["_band", *(on or [])]).filter((F.abs(F.col(x) - F.col(y)) <= width) & condition).drop("_band")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], most: int = 2000) -> DataFrame:
-    """left and right joined on columns of the same names. A key that has more than `most` rows on the right is split
-    by a hash of the columns `spread` of them, and its left rows go to each part, so that no task gets a whole hot key.
-    Only hot keys are sent to all tasks: one for every `most` rows of the right at the most."""
-    hot = right.groupBy(*on).agg(F.ceil(F.count("*") / most).alias("_parts")).filter("_parts > 1")
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], most: int = 200_000) -> DataFrame:
+    """left and right joined on columns of the same names. A key that makes more than `most` pairs is split: a hash of
+    the columns `spread` deals its right rows over parts, and its left rows go to each, so that no task makes all
+    pairs of a hot key. Only hot keys are sent to all tasks: one for every `most` pairs at the most. Both sides are
+    dealt over a fixed number of tasks, since what is small before the join need not be so after it."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = left.groupBy(*on).agg(F.count("*").alias("_a")).join(right.groupBy(*on).agg(F.count("*").alias("_b")), on)
+    hot = sizes.select(*on, F.least(F.col("_b"), F.ceil(F.col("_a") * F.col("_b") / most)).alias("_parts")).filter("_parts > 1")
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
     a = left.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
     b = right.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts)).drop("_parts")
-    return a.join(b, [*on, "_part"]).drop("_part")
+    return a.repartition(n, *on, "_part").join(b.repartition(n, *on, "_part"), [*on, "_part"]).drop("_part")
 
 
 def band_totals(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str, width: float, totals: dict[str, Column], out: list[str]) -> DataFrame:
