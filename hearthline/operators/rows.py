@@ -100,6 +100,31 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     return a.repartition(n, *on, "_part").join(b.repartition(n, *on, "_part"), [*on, "_part"]).drop("_part")
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left joined with right on keys, of which nulls are equal; left's keys stay."""
+    other = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return left.join(other, reduce(lambda a, b: a & b, (left[k].eqNullSafe(other[f"_k_{k}"]) for k in keys)), how).drop(*(f"_k_{k}" for k in keys))
+
+
+def running_totals(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], rows_a_chunk: int = 65_536) -> DataFrame:
+    """df with an inclusive running sum along order within keys, for each (name, column) of sums; nulls count as zero.
+    Rows that order cannot tell apart get theirs in any turn.
+
+    A key's rows are cut into chunks of about rows_a_chunk along the order, each summed by itself, and what lies in the
+    chunks before is added: no task sorts a hot key as a whole. Cuts are the rows whose hash says so, one in
+    rows_a_chunk, so that they are the same whenever a lost task is run again, and keys of few rows have none."""
+    here = F.struct(*order)
+    cuts = df.filter(F.pmod(F.xxhash64(*order), F.lit(rows_a_chunk)) == 0).groupBy(*keys).agg(F.array_sort(F.collect_set(here)).alias("_cuts"))
+    cut = same_keys(df, cuts, keys).withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda x: x <= here)), F.lit(0)))
+    split = cut.filter("_cuts is not null").groupBy(*keys, "_chunk").agg(*(F.sum(c).alias(f"_b_{n}") for n, c in sums.items()))
+    so_far = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = split.withColumns({f"_b_{n}": F.sum(f"_b_{n}").over(so_far) for n in sums})
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    along = cut.drop("_cuts").withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    both = same_keys(along, before, [*keys, "_chunk"])
+    return both.withColumns({n: F.col(n) + F.coalesce(f"_b_{n}", F.lit(0)) for n in sums}).drop("_chunk", *(f"_b_{n}" for n in sums))
+
+
 def band_totals(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str, width: float, totals: dict[str, Column], out: list[str]) -> DataFrame:
     """Distinct (on, x, out) of left with each total over right's rows of the same `on` with |x - y| <= width.
 
@@ -109,9 +134,8 @@ def band_totals(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str
     asked = left.select(*on, x, *out).distinct().withColumn("_ends", F.explode(F.array(F.struct(F.lit(0).alias("_kind"), F.lit(-1).alias("_sign")), F.struct(F.lit(2).alias("_kind"), F.lit(1).alias("_sign")))))
     ends = asked.select(*on, x, *out, "_ends.*").withColumn("_at", F.col(x) + F.col("_sign") * width)
     line = points.unionByName(ends, allowMissingColumns=True)
-    run = Window.partitionBy(*on).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    along = line.withColumns({n: F.sum(n).over(run) for n in totals}).filter("_sign <> 0")
-    return along.groupBy(*on, x, *out).agg(*(F.coalesce(F.sum(F.col("_sign") * F.coalesce(n, F.lit(0))), F.lit(0)).alias(n) for n in totals))
+    along = running_totals(line, on, ["_at", "_kind", *out], {f"_run_{n}": n for n in totals}).filter("_sign <> 0")
+    return along.groupBy(*on, x, *out).agg(*(F.sum(F.col("_sign") * F.col(f"_run_{n}")).alias(n) for n in totals))
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, condition: Column | None = None) -> DataFrame:
@@ -143,17 +167,28 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, condition:
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, out: str = "median") -> DataFrame:
     """Per key the least value at which the running weight reaches half of the total.
 
-    Equal values are summed first, before the shuffle, so that a hot key brings one row per value."""
+    Equal values are summed first, before the shuffle, so that a hot key brings one row per value, and these are cut
+    into chunks (running_totals)."""
     sums = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    run = Window.partitionBy(*keys).orderBy(value)
-    both = sums.withColumn("_run", F.sum("_w").over(run)).withColumn("_all", F.sum("_w").over(Window.partitionBy(*keys)))
+    both = same_keys(running_totals(sums, keys, [value], {"_run": "_w"}), sums.groupBy(*keys).agg(F.sum("_w").alias("_all")), keys)
     return both.filter(2 * F.col("_run") >= F.col("_all")).groupBy(*keys).agg(F.min(value).alias(out))
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Linearly interpolated quartiles and median per key."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
-    return df.groupBy(*keys).agg(q).select(*keys, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"))
+    """Linearly interpolated quartiles and median per key; null where a key has no values.
+
+    Equal values are counted first, and the counts run along the values in chunks (running_totals), so that no task
+    holds all values of a hot key."""
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_all"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    run = same_keys(running_totals(counts, keys, [value], {"_run": "_n"}), sizes, keys)
+    place = {q: (F.col("_all") - 1) * F.lit(q) for q in (0.25, 0.5, 0.75)}
+    at = lambda where: F.min(F.when(F.col("_run") > where, F.col(value)))
+    ends = run.groupBy(*keys, "_all").agg(*(at(f(p)).cast("double").alias(f"_{n}{q}") for q, p in place.items() for n, f in (("lo", F.floor), ("hi", F.ceil))))
+    lo, hi = (lambda q: F.col(f"`_lo{q}`")), (lambda q: F.col(f"`_hi{q}`"))
+    between = lambda q, p: F.when(lo(q) == hi(q), lo(q)).otherwise((F.ceil(p) - p) * lo(q) + (p - F.floor(p)) * hi(q))
+    found = ends.select(*keys, *(between(q, p).alias(f"q{round(100 * q)}") for q, p in place.items()))
+    return same_keys(sizes.select(*keys), found, keys)
 
 
 def iqr_marked(df: DataFrame, keys: list[str], value: str, least_rows: int = 5, reach: float = 1.5) -> DataFrame:

@@ -6,6 +6,8 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hearthline.operators import changes, deals, features, matching, opportunity, rows, valuation, workflow
@@ -175,3 +177,37 @@ def test_resolve_new(spark):
     same = (["bulevar", "10"], ["bulevar"], 72.0, 3.0, 2)
     ls = spark.createDataFrame([(1, *same), (2, *same), (3, ["bulevar", "10"], ["x"], 95.0, 4.0, 8)], "listing_id long, tokens array<string>, words array<string>, size double, rooms double, floor int")
     assert {r.node: r.owner for r in matching.resolve_new(ls).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_running_totals_over_chunks(spark):
+    """A hot key, a null key and small ones; chunks of three rows give what one sorted pass gives."""
+    rnd = random.Random(8)
+    data = [(key, at, rnd.choice([None, *range(9)])) for key, n in (("hot", 400), (None, 90), ("a", 3), ("b", 1)) for at in rnd.sample(range(1000), n)]
+    frame = spark.createDataFrame(data, "k string, at long, w long")
+    for most in (3, 65_536):
+        got = {(r.k, r.at): r.run for r in rows.running_totals(frame, ["k"], ["at"], {"run": "w"}, most).collect()}
+        want, run = {}, {}
+        for k, at, w in sorted(data, key=lambda r: r[1]):
+            run[k] = want[(k, at)] = run.get(k, 0) + (w or 0)
+        assert got == want
+
+
+def test_order_statistics_of_a_hot_key(spark, monkeypatch):
+    """Medians, quartiles and band totals of a key of many values, cut into small chunks, against plain versions."""
+    plain = rows.running_totals
+    monkeypatch.setattr(rows, "running_totals", lambda *a: plain(*a, rows_a_chunk=5))
+    rnd = random.Random(9)
+    data = [("hot", rnd.randrange(500), rnd.randint(1, 5)) for _ in range(700)] + [(None, 4, 1), (None, 9, 3), ("a", 7, 2), ("none", None, 1)]
+    frame = spark.createDataFrame(data, "k string, v long, w long")
+    mid = {r.k: r.median for r in rows.weighted_median(frame.filter("v is not null"), ["k"], "v", "w").collect()}
+    q = {r.k: (r.q25, r.q50, r.q75) for r in rows.quartiles(frame, ["k"], "v").collect()}
+    assert q.pop("none") == (None, None, None)
+    for key in ("hot", None, "a"):
+        values = sorted(v for k, v, _ in data if k == key)
+        each = sorted(v for k, v, w in data if k == key for _ in range(w))
+        assert mid[key] == each[(len(each) + 1) // 2 - 1]
+        assert q[key] == pytest.approx(tuple(float(x) for x in np.percentile(values, [25, 50, 75])))
+    left, right = [("hot", rnd.randrange(500), k % 7) for k in range(300)], [("hot", rnd.randrange(500), k) for k in range(400)]
+    a, b = spark.createDataFrame(left, "k string, x long, o long"), spark.createDataFrame(right, "k string, y long, z long")
+    got = {(r.k, r.x, r.o): (r.n, r.s) for r in rows.band_totals(a, b, ["k"], "x", "y", 20, {"n": F.count("*"), "s": F.sum("z")}, ["o"]).collect()}
+    assert got == {(k, x, o): (sum(abs(x - y) <= 20 for _, y, _ in right), sum(z for _, y, z in right if abs(x - y) <= 20)) for k, x, o in left}
