@@ -106,23 +106,30 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.join(other, reduce(lambda a, b: a & b, (left[k].eqNullSafe(other[f"_k_{k}"]) for k in keys)), how).drop(*(f"_k_{k}" for k in keys))
 
 
-def running_totals(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], rows_a_chunk: int = 65_536) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], rows_a_chunk: int = 1 << 20, whole: bool = False) -> DataFrame:
     """df with an inclusive running sum along order within keys, for each (name, column) of sums; nulls count as zero.
-    Rows that order cannot tell apart get theirs in any turn.
+    With whole, the key's total too, as name_all. Rows that order cannot tell apart get theirs in any turn.
 
     A key's rows are cut into chunks of about rows_a_chunk along the order, each summed by itself, and what lies in the
     chunks before is added: no task sorts a hot key as a whole. Cuts are the rows whose hash says so, one in
-    rows_a_chunk, so that they are the same whenever a lost task is run again, and keys of few rows have none."""
+    rows_a_chunk, so that they are the same whenever a lost task is run again, and keys of few rows have none. Cuts and
+    chunk totals are sent to all tasks: one row of the order for every rows_a_chunk rows, some 30 MB for 10^12 rows."""
     here = F.struct(*order)
     cuts = df.filter(F.pmod(F.xxhash64(*order), F.lit(rows_a_chunk)) == 0).groupBy(*keys).agg(F.array_sort(F.collect_set(here)).alias("_cuts"))
-    cut = same_keys(df, cuts, keys).withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda x: x <= here)), F.lit(0)))
-    split = cut.filter("_cuts is not null").groupBy(*keys, "_chunk").agg(*(F.sum(c).alias(f"_b_{n}") for n, c in sums.items()))
-    so_far = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = split.withColumns({f"_b_{n}": F.sum(f"_b_{n}").over(so_far) for n in sums})
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = same_keys(df, F.broadcast(cuts), keys).withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda x: x <= here)), F.lit(0)))
+    split = cut.filter("_cuts is not null").groupBy(*keys, "_chunk").agg(*(F.sum(c).alias(f"_c_{n}") for n, c in sums.items()))
+    each = Window.partitionBy(*keys)
+    so_far = each.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = split.select(*keys, "_chunk", *(F.coalesce(F.sum(f"_c_{n}").over(so_far), F.lit(0)).alias(f"_b_{n}") for n in sums), *(F.sum(f"_c_{n}").over(each).alias(f"_t_{n}") for n in sums))
+    chunk = Window.partitionBy(*keys, "_chunk")
+    inside = chunk.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     along = cut.drop("_cuts").withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
-    both = same_keys(along, before, [*keys, "_chunk"])
-    return both.withColumns({n: F.col(n) + F.coalesce(f"_b_{n}", F.lit(0)) for n in sums}).drop("_chunk", *(f"_b_{n}" for n in sums))
+    if whole:
+        along = along.withColumns({f"{n}_all": F.sum(c).over(chunk) for n, c in sums.items()})
+    both = same_keys(along, F.broadcast(before), [*keys, "_chunk"]).withColumns({n: F.col(n) + F.coalesce(f"_b_{n}", F.lit(0)) for n in sums})
+    if whole:
+        both = both.withColumns({f"{n}_all": F.coalesce(f"_t_{n}", f"{n}_all", F.lit(0)) for n in sums})
+    return both.drop("_chunk", *(f"_{x}_{n}" for x in "bt" for n in sums))
 
 
 def band_totals(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str, width: float, totals: dict[str, Column], out: list[str]) -> DataFrame:
@@ -170,8 +177,8 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, out
     Equal values are summed first, before the shuffle, so that a hot key brings one row per value, and these are cut
     into chunks (running_totals)."""
     sums = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    both = same_keys(running_totals(sums, keys, [value], {"_run": "_w"}), sums.groupBy(*keys).agg(F.sum("_w").alias("_all")), keys)
-    return both.filter(2 * F.col("_run") >= F.col("_all")).groupBy(*keys).agg(F.min(value).alias(out))
+    both = running_totals(sums, keys, [value], {"_run": "_w"}, whole=True)
+    return both.filter(2 * F.col("_run") >= F.col("_run_all")).groupBy(*keys).agg(F.min(value).alias(out))
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -179,16 +186,15 @@ def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     Equal values are counted first, and the counts run along the values in chunks (running_totals), so that no task
     holds all values of a hot key."""
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("_all"))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    run = same_keys(running_totals(counts, keys, [value], {"_run": "_n"}), sizes, keys)
-    place = {q: (F.col("_all") - 1) * F.lit(q) for q in (0.25, 0.5, 0.75)}
+    run = running_totals(counts, keys, [value], {"_run": "_n"}, whole=True)
+    place = {q: (F.col("_run_all") - 1) * F.lit(q) for q in (0.25, 0.5, 0.75)}
     at = lambda where: F.min(F.when(F.col("_run") > where, F.col(value)))
-    ends = run.groupBy(*keys, "_all").agg(*(at(f(p)).cast("double").alias(f"_{n}{q}") for q, p in place.items() for n, f in (("lo", F.floor), ("hi", F.ceil))))
+    ends = run.groupBy(*keys, "_run_all").agg(*(at(f(p)).cast("double").alias(f"_{n}{q}") for q, p in place.items() for n, f in (("lo", F.floor), ("hi", F.ceil))))
     lo, hi = (lambda q: F.col(f"`_lo{q}`")), (lambda q: F.col(f"`_hi{q}`"))
     between = lambda q, p: F.when(lo(q) == hi(q), lo(q)).otherwise((F.ceil(p) - p) * lo(q) + (p - F.floor(p)) * hi(q))
     found = ends.select(*keys, *(between(q, p).alias(f"q{round(100 * q)}") for q, p in place.items()))
-    return same_keys(sizes.select(*keys), found, keys)
+    return same_keys(df.select(*keys).distinct(), found, keys)
 
 
 def iqr_marked(df: DataFrame, keys: list[str], value: str, least_rows: int = 5, reach: float = 1.5) -> DataFrame:

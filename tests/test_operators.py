@@ -195,7 +195,7 @@ def test_running_totals_over_chunks(spark):
 def test_order_statistics_of_a_hot_key(spark, monkeypatch):
     """Medians, quartiles and band totals of a key of many values, cut into small chunks, against plain versions."""
     plain = rows.running_totals
-    monkeypatch.setattr(rows, "running_totals", lambda *a: plain(*a, rows_a_chunk=5))
+    monkeypatch.setattr(rows, "running_totals", lambda *a, **k: plain(*a, rows_a_chunk=5, **k))
     rnd = random.Random(9)
     data = [("hot", rnd.randrange(500), rnd.randint(1, 5)) for _ in range(700)] + [(None, 4, 1), (None, 9, 3), ("a", 7, 2), ("none", None, 1)]
     frame = spark.createDataFrame(data, "k string, v long, w long")
