@@ -74,12 +74,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Common members over the smaller set; null where nothing is common."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when(common > 0, common / F.least(F.size(a), F.size(b)))
-
-
 def nearest(over: Column, under: Column) -> Column:
     """The whole number nearest to over / under of whole numbers, halves up; null where under is 0."""
     return F.floor(F.try_divide(2 * over + under, 2 * under)).cast("long")

@@ -64,6 +64,15 @@ def test_profiles_and_rejected_pairs(spark):
     assert actions[0] == ("AUTO_MATCH", 0) and actions[1] == ("AUTO_MATCH", 25)
 
 
+def test_candidates_of_null_ids_null_tokens_and_empty_tables(spark):
+    """Rows without an id have no candidates; null and repeated tokens count once or not at all."""
+    ls = spark.createDataFrame([(1, ["blok", "blok", None], ["blok"], 50.0, 2.0, 3), (2, None, None, 50.0, None, None), (None, ["blok"], ["blok"], 50.0, 2.0, 3)], LISTING)
+    ps = spark.createDataFrame([(7, ["blok"], 50.0, 2.0, 3), (8, [None], 50.5, 2.0, None), (None, ["blok"], 50.0, 2.0, 3)], PROPERTY)
+    got = {(r.listing_id, r.property_id): (r.s_location, r.s_text, r.similarity) for r in matching.candidates(ls, ps).collect()}
+    assert set(got) == {(1, 7), (1, 8), (2, 7), (2, 8)} and got[(1, 7)] == (1.0, 1.0, 1.0) and got[(1, 8)][:2] == got[(2, 7)][:2] == (None, 0.0)
+    assert matching.candidates(ls, ps.limit(0)).isEmpty() and matching.candidates(ls.limit(0), ps).isEmpty()
+
+
 def test_components_over_many_tasks(spark):
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1300)] + [(5000, k) for k in range(5001, 5200)]
     parent = {}
