@@ -7,14 +7,16 @@ their min-hashes. BANDS bands of ROWS min-hashes each let a pair of likeness s m
 1 - (1 - s^ROWS)^BANDS: 0.998 at 0.8, 0.9998 at 0.85 (recall()). Texts of stock paragraphs, forms or boilerplate meet in
 few bands, since all of a band must agree.
 
-Within a band's bucket the texts' min-hash signatures are compared where they lie, and what is sent on are the edges of
-a spanning forest of highest estimates, of those alike enough to be linked within the estimate's error, and each
-text's PARTNERS best among those that the forest's sure edges do not link to it: a few edges a text, whatever the
-bucket's size. Buckets of over CROWD texts are parted by
-further min-hashes, which makes their bands longer by one for every 64-fold (a pair of likeness 0.8 then meets with
-probability 0.992, 0.977), and each text is also paired with the bucket's first. All pairs are verified by exact Jaccard
-likeness of all shingles, the texts of a pair's busier end gathered there. Groups are the connected components of
-verified pairs.
+Texts that share a band, or a fingerprint, are a bucket. All links within buckets count, whatever a bucket's size, and no
+pair is sent anywhere but those of forests, in two passes. The first is quick and decides nothing by itself: min-hash
+signatures are compared where they lie, in pieces of at most CROWD texts (buckets of more are parted by further
+min-hashes), and the edges of a spanning forest of highest estimates are verified by exact Jaccard likeness of all
+shingles, the texts of a pair's busier end gathered there. Verified pairs make classes. The second is exact: buckets that
+hold more than one class are cut into blocks, each block sees all texts of the bucket's smaller classes, and a block
+counts the shingles that each of these shares with every text of the block (one inverted index a block, no estimates,
+no limit of partners). What it returns is a spanning forest of linked classes. Two texts of a bucket that are of
+different classes have one in a smaller class, so that each such pair is compared in some block. Groups are the connected
+components of both passes' links.
 
 Words are lower-cased (A-Z) and parted at white space; a text of fewer words is one shingle, texts without words
 (null, empty) are alike. Equal texts are one node, however many rows share one.
@@ -38,10 +40,11 @@ from hearthline.llm.simhash import BITS, BLOCK, links
 
 BANDS, ROWS = 16, 5
 SALTS = np.random.default_rng(8).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-#: Texts whose share of equal min-hashes is this far below the sought likeness (over three deviations) are not verified.
+#: Texts whose share of equal min-hashes is this far below the sought likeness are left to the exact pass.
 MARGIN = 0.15
+#: So many texts of a bucket are compared at a time, in the exact pass also of so many shingles in all.
 CROWD = 2048
-PARTNERS = 16
+HELD = 1 << 20
 #: So many members of a busy text are verified in one group of rows.
 GATHERED = 256
 PAIRED = "u binary, v binary"
@@ -75,9 +78,9 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def recall(likeness: float, longer: int = 0) -> float:
-    """The probability that a pair of that likeness shares a band; longer: further min-hashes of crowded buckets."""
-    return 1 - (1 - likeness ** (ROWS + longer)) ** BANDS
+def recall(likeness: float) -> float:
+    """The probability that a pair of that likeness shares a band."""
+    return 1 - (1 - likeness**ROWS) ** BANDS
 
 
 def node_of(text: str) -> bytes:
@@ -104,8 +107,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def likely_edges(sigs: np.ndarray, sizes: np.ndarray, least: float) -> set[tuple[int, int]]:
-    """Edges (i < j) among a bucket's texts: a spanning forest of highest estimates, and the best partners of each text
-    among those that it is not linked to beyond doubt."""
+    """Edges (i < j) of a spanning forest of highest estimates among a bucket's texts."""
     n, enough = len(sigs), (least - MARGIN) * sigs.shape[1]
     equal = np.zeros((n, n), np.uint8)
     for k in range(0, n, 128):
@@ -115,49 +117,35 @@ def likely_edges(sigs: np.ndarray, sizes: np.ndarray, least: float) -> set[tuple
     np.fill_diagonal(equal, 0)
     edges: set[tuple[int, int]] = set()
     part = np.arange(n)
-
-    def span(table: np.ndarray) -> None:
-        """Each part's best edge to another, until there are none."""
-        while True:
-            outside = np.where(part[:, None] != part[None, :], table, 0)
-            to = outside.argmax(axis=1)
-            value = outside[np.arange(n), to]
-            if not value.any():
-                return
-            order = np.lexsort((-value.astype(np.int16), part))
-            first = order[np.flatnonzero(np.diff(part[order], prepend=-1))]
-            for i in first[value[first] > 0].tolist():
-                j = int(to[i])
-                edges.add((min(i, j), max(i, j)))
-                if part[i] != part[j]:
-                    part[part == max(part[i], part[j])] = min(part[i], part[j])
-
-    span(np.where(equal >= (least + MARGIN) * sigs.shape[1], equal, 0))
-    open_ = np.where(part[:, None] != part[None, :], equal, 0)
-    some = np.flatnonzero(open_.any(axis=1))
-    if len(some):
-        k = min(PARTNERS, n)
-        best = np.argpartition(-open_[some].astype(np.int16), k - 1, axis=1)[:, :k]
-        for i, j in zip(np.repeat(some, k).tolist(), best.ravel().tolist(), strict=True):
-            if open_[i, j]:
+    while True:  # each part's best edge to another, until there are none
+        outside = np.where(part[:, None] != part[None, :], equal, 0)
+        to = outside.argmax(axis=1)
+        value = outside[np.arange(n), to]
+        if not value.any():
+            return edges
+        order = np.lexsort((-value.astype(np.int16), part))
+        first = order[np.flatnonzero(np.diff(part[order], prepend=-1))]
+        for i in first[value[first] > 0].tolist():
+            j = int(to[i])
+            if part[i] != part[j]:
                 edges.add((min(i, j), max(i, j)))
-    span(equal)
-    return edges
+                part[part == max(part[i], part[j])] = min(part[i], part[j])
 
 
 def met_in_buckets(least: float):
-    """Rows (key, sub, node, size, sig) come sorted by key and sub."""
+    """Rows (key, sub, node, size, sig) come sorted by key and sub. Pieces after the first also try the first text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first, held = None, None, []
 
         def pairs() -> list[tuple[bytes, bytes]]:
             nodes, sizes, sigs = zip(*held, strict=True)
-            sizes = np.array(sizes)
             table = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(held), -1)
-            out = [(nodes[i], nodes[j]) for i, j in likely_edges(table, sizes, least)] if len(held) > 1 else []
+            out = [(nodes[i], nodes[j]) for i, j in likely_edges(table, np.array(sizes), least)] if len(held) > 1 else []
+            if nodes[0] == first[0]:
+                return out
             near = (table == np.frombuffer(first[2], np.uint8)).mean(axis=1) >= least - MARGIN
-            return out + [(first[0], nodes[i]) for i in np.flatnonzero(near & (nodes[0] != first[0])).tolist()]
+            return out + [(first[0], nodes[i]) for i in np.flatnonzero(near).tolist()]
 
         def told(found: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*found, strict=True) if found else ([], []))], ["u", "v"])
@@ -178,31 +166,34 @@ def met_in_buckets(least: float):
     return run
 
 
-def candidate_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """Distinct (u, v) of nodes to compare; nodes: node, fp, size, bands, sig."""
+def members(nodes: DataFrame) -> DataFrame:
+    """key, band, node, size, sig, n and head (the bucket's texts and the least of them) of texts that share a bucket."""
+    keys = F.concat("bands", F.array(F.xxhash64("fp", F.lit(BANDS))))
+    each = nodes.select("node", F.posexplode(keys).alias("band", "key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
+    return each.join(shared, "key").join(nodes.select("node", "size", "sig"), "node").select("key", "band", "node", "size", "sig", "n", "head")
+
+
+def candidate_pairs(nodes: DataFrame, met: DataFrame, least: float) -> DataFrame:
+    """Distinct (u, v) of nodes to verify first; nodes: node, fp; met: members()."""
     of_print = nodes.groupBy("fp").agg(F.min("node").alias("v"))
-    same = nodes.join(of_print, "fp").select(F.col("node").alias("u"), "v")
     ends = links(of_print.select("fp"))
     at = lambda end, node: of_print.select(F.col("fp").alias(end), F.col("v").alias(node))
     near = ends.join(at("u", "a"), "u").join(at("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    each = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
-    members = each.join(shared, "key").join(nodes.select("node", "size", "sig"), "node")
     # A crowded bucket is parted by the min-hashes after its band, one more for every 64-fold; its first text meets all.
     further = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / CROWD) / F.log(F.lit(64.0)))).cast("int")
     turned = F.concat(F.substring(F.col("sig"), 1, 1 << 30), F.col("sig"))
     sub = F.hex(turned.substr(F.col("band") * ROWS + ROWS + 1, further))
-    dealt = members.withColumn("sub", F.when(F.col("n") > CROWD, sub).otherwise("")).select("key", "sub", "node", "size", "sig")
+    dealt = met.withColumn("sub", F.when(F.col("n") > CROWD, sub).otherwise("")).select("key", "sub", "node", "size", "sig")
     bucketed = dealt.repartition("key", "sub").sortWithinPartitions("key", "sub", "size", "node").mapInArrow(met_in_buckets(least), PAIRED)
-    heads = members.filter(F.col("n") > CROWD).select(F.col("node").alias("u"), F.col("head").alias("v"))
-    every = same.union(near).union(bucketed).union(heads).filter("u <> v")
+    heads = met.filter(F.col("n") > CROWD).select(F.col("node").alias("u"), F.col("head").alias("v"))
+    every = near.union(bucketed).union(heads).filter("u <> v")
     return every.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs whose texts' shingle sets are that alike. Only texts of some pair are read again. Each pair sends the
-    shingles of its less busy end to the other, which sends its own once for so many of them."""
+def shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node and shingles of the nodes of wanted (and of texts of equal th). Only their texts are read again."""
 
     def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,6 +201,15 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, l
             sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in texts], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
+    hashes = rows.select("node", "th").distinct().join(wanted.select("node"), "node", "left_semi").select("th").distinct()
+    texts = keyed(docs).select("th", "text").join(hashes, "th", "left_semi").groupBy("th", F.xxhash64(F.lit(1), "text").alias("also")).agg(F.first("text").alias("text"))
+    return texts.select("text").mapInArrow(sets_of, "node binary, shingles array<long>")
+
+
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs whose texts' shingle sets are that alike. Each pair sends the shingles of its less busy end to the
+    other, which sends its own once for so many of them."""
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by head, salt and kind: the head's own shingles first."""
         mine = np.zeros(0, np.int64)
@@ -233,23 +233,91 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, l
     salts = 1 + F.floor(F.col("met") / GATHERED)
     asked = asked.select("head", "node", F.pmod(F.xxhash64("node"), salts).alias("salt"), F.lit(1).alias("kind"))
     own = asked.select("head", F.col("head").alias("node"), "salt", F.lit(0).alias("kind")).distinct()
-    needs = asked.union(own)
-    hashes = rows.select("node", "th").distinct().join(ends.select("node"), "node", "left_semi").select("th").distinct()
-    texts = keyed(docs).select("th", "text").join(hashes, "th", "left_semi").groupBy("th", F.xxhash64(F.lit(1), "text").alias("also")).agg(F.first("text").alias("text"))
-    sent = needs.join(texts.select("text").mapInArrow(sets_of, "node binary, shingles array<long>"), "node")
+    sent = asked.union(own).join(shingle_sets(docs, rows, ends, shingle), "node")
     return sent.repartition("head", "salt").sortWithinPartitions("head", "salt", "kind").select("kind", "head", "node", "shingles").mapInArrow(compare, PAIRED)
 
 
+def in_blocks(met: DataFrame, root: DataFrame) -> DataFrame:
+    """key, block, kind, node and root of texts in buckets of more than one class: each in its own block (kind 0), and
+    those that are not of the bucket's largest class in every block (kind 1)."""
+    each = met.join(root.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    by_class = each.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    total = by_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    split = total.filter("classes > 1").select("key", "main", F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("shingles") / HELD)).alias("blocks"))
+    several = each.join(split, "key")
+    own = several.select("key", F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.lit(0).alias("kind"), "node", "root")
+    lesser = several.filter("root <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "node", "root")
+    return own.union(lesser)
+
+
+class Block:
+    """Which classes of a block's texts a text is linked to."""
+
+    def __init__(self, held: list[tuple[bytes, np.ndarray]], least: float):
+        self.least, self.root = least, {r: r for r, _ in held}
+        self.roots = list(self.root)
+        number = {r: k for k, r in enumerate(self.roots)}
+        self.of = np.array([number[r] for r, _ in held], np.int64)
+        self.sizes = np.array([len(s) for _, s in held])
+        shingles, owner = np.concatenate([s for _, s in held]), np.repeat(np.arange(len(held)), self.sizes)
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.owner = shingles[order], owner[order]
+
+    def find(self, r: bytes) -> bytes:
+        while (up := self.root.setdefault(r, r)) != r:
+            self.root[r] = r = self.root[up]
+        return r
+
+    def links(self, root: bytes, theirs: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """(root, root of a linked text), for classes that were not linked before."""
+        start = np.searchsorted(self.shingles, theirs)
+        n = np.searchsorted(self.shingles, theirs, side="right") - start
+        places = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(self.owner[places], minlength=len(self.sizes))
+        for k in np.unique(self.of[common >= self.least * (self.sizes + len(theirs) - common)]).tolist():
+            a, b = self.find(root), self.find(self.roots[k])
+            if a != b:
+                self.root[a] = b
+                yield root, self.roots[k]
+
+
+def linked_classes(docs: DataFrame, rows: DataFrame, blocks: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(u, v) roots of classes that some pair of a bucket links; blocks: in_blocks()."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key, block and kind: a block's own texts first."""
+        at, held, block = None, [], None
+        for batch in batches:
+            out = []
+            for key, part, kind, root, shingles in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "kind", "root")), batch.column("shingles"), strict=True):
+                if (key, part) != at:
+                    at, held, block = (key, part), [], None
+                theirs = np.array(shingles.values.to_numpy(zero_copy_only=False))
+                if kind == 0:
+                    held.append((root, theirs))
+                elif held:
+                    block = block or Block(held, least)
+                    out += block.links(root, theirs)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*out, strict=True) if out else ([], []))], ["u", "v"])
+
+    sent = blocks.join(shingle_sets(docs, rows, blocks, shingle), "node").select("key", "block", "kind", "root", "shingles")
+    return sent.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(compare, PAIRED)
+
+
 def near_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, th and component_id (the least doc_id that pairs reach) of every row."""
     rows, rows_at = stored(described(docs, shingle))
     nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), *(F.first(c).alias(c) for c in ("bands", "sig")))
-    pairs, pairs_at = stored(candidate_pairs(nodes, least))
-    root = connected_components(verified(docs, rows, pairs, shingle, least)).withColumnRenamed("u", "node")
-    label = rows.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met, met_at = stored(members(nodes))
+    pairs, pairs_at = stored(candidate_pairs(nodes, met, least))
+    root = connected_components(verified(docs, rows, pairs, shingle, least))
+    blocks, blocks_at = stored(in_blocks(met, root))
+    top = connected_components(linked_classes(docs, rows, blocks, shingle, least)).select(F.col("u").alias("root"), F.col("root").alias("top"))
+    label = rows.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    label = label.join(top, "root", "left").select("node", "first_id", F.coalesce("top", "root").alias("root"))
     found = label.groupBy("root").agg(F.min("first_id").alias("component_id"))
     out, _ = stored(rows.select("doc_id", "th", "node").join(label.join(found, "root").select("node", "component_id"), "node").drop("node"))
-    for path in (rows_at, pairs_at):
+    for path in (rows_at, met_at, pairs_at, blocks_at):
         discard(docs.sparkSession, path)
     return out
 

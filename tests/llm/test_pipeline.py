@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -173,6 +174,45 @@ def test_a_family_around_the_threshold(spark):
     assert len(pairs) > 50 and sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs)
 
 
+def edited_family(n: int, words: int, edits: int, seed: int) -> list[str]:
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(9999)}" for _ in range(words)]
+    texts = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(edits):
+            copy[rnd.randrange(words)] = f"n{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("crowd, held", [(2048, 1 << 20), (8, 1 << 20), (2048, 1000)])
+def test_no_link_of_a_bucket_is_lost(spark, monkeypatch, crowd, held):
+    """Copies of which most pairs are a little less alike than 0.8: groups are just those of all links between texts
+    that share a band, also where buckets are cut into pieces and blocks."""
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "HELD", held, raising=False)
+    texts = edited_family(240, 220, 4, 8) + edited_family(60, 170, 3, 9)
+    sets = [shingles(t) for t in texts]
+    bands = [set(similar.band_keys(similar.minima(np.unique(similar.shingle_hashes(t, 5)))).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if bands[i] & bands[j] and (c := len(a & b)) >= 0.8 * (len(a) + len(b) - c):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = {r.doc_id: r.component_id for r in similar.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert 20 < len(set(root)) <= len(texts) - 20
+    assert got == dict(enumerate(root))
+
+
+def test_a_bucket_sends_fewer_edges_than_it_has_texts():
+    texts = edited_family(300, 200, 3, 6)
+    sets = [np.unique(similar.shingle_hashes(t, 5)) for t in texts]
+    columns = [[7] * len(texts), [""] * len(texts), [similar.node_of(t) for t in texts], [len(s) for s in sets], [similar.minima(s).astype(np.uint8).tobytes() for s in sets]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "sub", "node", "size", "sig"])
+    assert 0 < sum(b.num_rows for b in similar.met_in_buckets(0.8)([batch])) < len(texts)
+
+
 def test_bands_meet_as_computed():
     rnd = random.Random(7)
     met = 0
