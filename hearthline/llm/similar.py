@@ -45,7 +45,7 @@ MARGIN = 0.15
 #: So many texts of a bucket are compared at a time, in the exact pass also of so many shingles in all.
 CROWD = 2048
 HELD = 1 << 20
-#: So many members of a busy text are verified in one group of rows.
+#: So many members of a busy text are verified in one group of rows, and so many texts' shingles go on at a time.
 GATHERED = 256
 PAIRED = "u binary, v binary"
 
@@ -197,17 +197,18 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: i
 
     def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in texts], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            for k in range(0, batch.num_rows, GATHERED):
+                texts = batch.column("text").slice(k, GATHERED).to_pylist()
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in texts], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     hashes = rows.select("node", "th").distinct().join(wanted.select("node"), "node", "left_semi").select("th").distinct()
     texts = keyed(docs).select("th", "text").join(hashes, "th", "left_semi").groupBy("th", F.xxhash64(F.lit(1), "text").alias("also")).agg(F.first("text").alias("text"))
     return texts.select("text").mapInArrow(sets_of, "node binary, shingles array<long>")
 
 
-def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs whose texts' shingle sets are that alike. Each pair sends the shingles of its less busy end to the
+def verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose texts' shingle sets are that alike; sets: shingle_sets(). Each pair sends the shingles of its less busy end to the
     other, which sends its own once for so many of them."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +234,7 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, l
     salts = 1 + F.floor(F.col("met") / GATHERED)
     asked = asked.select("head", "node", F.pmod(F.xxhash64("node"), salts).alias("salt"), F.lit(1).alias("kind"))
     own = asked.select("head", F.col("head").alias("node"), "salt", F.lit(0).alias("kind")).distinct()
-    sent = asked.union(own).join(shingle_sets(docs, rows, ends, shingle), "node")
+    sent = asked.union(own).join(sets, "node")
     return sent.repartition("head", "salt").sortWithinPartitions("head", "salt", "kind").select("kind", "head", "node", "shingles").mapInArrow(compare, PAIRED)
 
 
@@ -281,8 +282,8 @@ class Block:
                 yield root, self.roots[k]
 
 
-def linked_classes(docs: DataFrame, rows: DataFrame, blocks: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(u, v) roots of classes that some pair of a bucket links; blocks: in_blocks()."""
+def linked_classes(sets: DataFrame, blocks: DataFrame, least: float) -> DataFrame:
+    """(u, v) roots of classes that some pair of a bucket links; sets: shingle_sets(), blocks: in_blocks()."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key, block and kind: a block's own texts first."""
@@ -300,7 +301,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, blocks: DataFrame, shingle:
                     out += block.links(root, theirs)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*out, strict=True) if out else ([], []))], ["u", "v"])
 
-    sent = blocks.join(shingle_sets(docs, rows, blocks, shingle), "node").select("key", "block", "kind", "root", "shingles")
+    sent = blocks.join(sets, "node").select("key", "block", "kind", "root", "shingles")
     return sent.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(compare, PAIRED)
 
 
@@ -310,14 +311,16 @@ def near_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFra
     nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), *(F.first(c).alias(c) for c in ("bands", "sig")))
     met, met_at = stored(members(nodes))
     pairs, pairs_at = stored(candidate_pairs(nodes, met, least))
-    root = connected_components(verified(docs, rows, pairs, shingle, least))
+    wanted = met.select("node").union(pairs.select("u")).union(pairs.select("v"))
+    sets, sets_at = stored(shingle_sets(docs, rows, wanted, shingle))
+    root = connected_components(verified(sets, pairs, least))
     blocks, blocks_at = stored(in_blocks(met, root))
-    top = connected_components(linked_classes(docs, rows, blocks, shingle, least)).select(F.col("u").alias("root"), F.col("root").alias("top"))
+    top = connected_components(linked_classes(sets, blocks, least)).select(F.col("u").alias("root"), F.col("root").alias("top"))
     label = rows.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     label = label.join(top, "root", "left").select("node", "first_id", F.coalesce("top", "root").alias("root"))
     found = label.groupBy("root").agg(F.min("first_id").alias("component_id"))
     out, _ = stored(rows.select("doc_id", "th", "node").join(label.join(found, "root").select("node", "component_id"), "node").drop("node"))
-    for path in (rows_at, met_at, pairs_at, blocks_at):
+    for path in (rows_at, met_at, pairs_at, sets_at, blocks_at):
         discard(docs.sparkSession, path)
     return out
 
