@@ -47,6 +47,9 @@ CROWD = 2048
 HELD = 1 << 20
 #: So many members of a busy text are verified in one group of rows, and so many texts' shingles go on at a time.
 GATHERED = 256
+#: So many rows of a piece's table of pairs are filled, and so many shingles met, at a time: a pair takes a few bytes.
+ACROSS = 16
+PLACES = 1 << 17
 PAIRED = "u binary, v binary"
 
 
@@ -65,8 +68,8 @@ def fingerprint(hashes: np.ndarray) -> int:
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least of the hashes under each of the salted orders."""
     least = np.full(len(SALTS), ~np.uint64(0))
-    for k in range(0, len(hashes), 1 << 13):
-        np.minimum(least, mixed(hashes[None, k : k + (1 << 13)] ^ SALTS[:, None]).min(axis=1), out=least)
+    for k in range(0, len(hashes), 1 << 10):
+        np.minimum(least, mixed(hashes[None, k : k + (1 << 10)] ^ SALTS[:, None]).min(axis=1), out=least)
     return least
 
 
@@ -110,10 +113,10 @@ def likely_edges(sigs: np.ndarray, sizes: np.ndarray, least: float) -> set[tuple
     """Edges (i < j) of a spanning forest of highest estimates among a bucket's texts."""
     n, enough = len(sigs), (least - MARGIN) * sigs.shape[1]
     equal = np.zeros((n, n), np.uint8)
-    for k in range(0, n, 128):
-        equal[k : k + 128] = (sigs[k : k + 128, None, :] == sigs[None, :, :]).sum(axis=2, dtype=np.uint8)
-    low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-    equal[(equal < enough) | (low < least * high)] = 0
+    for k in range(0, n, ACROSS):
+        rows, own = equal[k : k + ACROSS], sizes[k : k + ACROSS, None]
+        rows[:] = (sigs[k : k + ACROSS, None, :] == sigs[None, :, :]).sum(axis=2, dtype=np.uint8)
+        rows[(rows < enough) | (np.minimum(own, sizes) < least * np.maximum(own, sizes))] = 0
     np.fill_diagonal(equal, 0)
     edges: set[tuple[int, int]] = set()
     part = np.arange(n)
@@ -260,7 +263,7 @@ class Block:
         number = {r: k for k, r in enumerate(self.roots)}
         self.of = np.array([number[r] for r, _ in held], np.int64)
         self.sizes = np.array([len(s) for _, s in held])
-        shingles, owner = np.concatenate([s for _, s in held]), np.repeat(np.arange(len(held)), self.sizes)
+        shingles, owner = np.concatenate([s for _, s in held]), np.repeat(np.arange(len(held), dtype=np.int32), self.sizes)
         order = np.argsort(shingles, kind="stable")
         self.shingles, self.owner = shingles[order], owner[order]
 
@@ -273,8 +276,10 @@ class Block:
         """(root, root of a linked text), for classes that were not linked before."""
         start = np.searchsorted(self.shingles, theirs)
         n = np.searchsorted(self.shingles, theirs, side="right") - start
-        places = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-        common = np.bincount(self.owner[places], minlength=len(self.sizes))
+        common, parts = np.zeros(len(self.sizes), np.int64), 1 + int(n.sum()) // PLACES
+        for s, m in zip(np.array_split(start, parts), np.array_split(n, parts), strict=True):
+            places = np.repeat(s - np.cumsum(m) + m, m) + np.arange(m.sum())
+            common += np.bincount(self.owner[places], minlength=len(self.sizes))
         for k in np.unique(self.of[common >= self.least * (self.sizes + len(theirs) - common)]).tolist():
             a, b = self.find(root), self.find(self.roots[k])
             if a != b:
@@ -296,8 +301,8 @@ def linked_classes(sets: DataFrame, blocks: DataFrame, least: float) -> DataFram
                 theirs = np.array(shingles.values.to_numpy(zero_copy_only=False))
                 if kind == 0:
                     held.append((root, theirs))
-                elif held:
-                    block = block or Block(held, least)
+                elif held or block:
+                    block, held = block or Block(held, least), []
                     out += block.links(root, theirs)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*out, strict=True) if out else ([], []))], ["u", "v"])
 

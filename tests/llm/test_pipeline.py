@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -213,6 +214,49 @@ def test_a_bucket_sends_fewer_edges_than_it_has_texts():
     assert 0 < sum(b.num_rows for b in similar.met_in_buckets(0.8)([batch])) < len(texts)
 
 
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_crowd_of_near_copies_takes_little_memory():
+    """A piece of CROWD texts that are all alike joins up, within a few bytes for each of its pairs (27 before)."""
+    rng = np.random.default_rng(1)
+    sigs = np.repeat(rng.integers(0, 256, (1, 80), dtype=np.uint8), similar.CROWD, axis=0)
+    sigs[:, :6] = rng.integers(0, 256, (similar.CROWD, 6))
+    edges, mb = peak_mb(lambda: similar.likely_edges(sigs, rng.integers(280, 320, similar.CROWD), 0.8))
+    assert len(edges) == similar.CROWD - 1 and mb < 8 * similar.CROWD**2 / 1e6
+
+
+def test_a_block_meets_its_shingles_in_pieces():
+    """A text that shares its shingles with all of a block's: links are those of sets, in little memory."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 480)
+    held = [(b"%d" % k, np.unique(np.append(base[rng.random(480) < 0.93], rng.integers(0, 1 << 62, 25)))) for k in range(2000)]
+    block = similar.Block(held, 0.8)
+    found, mb = peak_mb(lambda: list(block.links(*held[0])))
+    mine = set(held[0][1].tolist())
+    alike = {r for r, s in held[1:] if (c := len(mine.intersection(s.tolist()))) >= 0.8 * (len(mine) + len(s) - c)}
+    assert 20 < len(alike) < 1980 and {v for _, v in found} == alike and mb < 6
+
+
+def test_stages_get_few_rows_at_a_time(spark):
+    """Whatever the session's limit was, unless it is lower; a limit of zero is none."""
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([(k, f"text {k}", "en", "s", 6) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    was = spark.conf.get(key)
+    try:
+        for limit, held in (("10000", 1000), ("0", 1000), ("-1", 1000), ("70", 70)):
+            for _, stage in corpus_pipeline.STAGES[3:]:
+                spark.conf.set(key, limit)
+                stage(spark, docs, str(DATA))
+                assert int(spark.conf.get(key)) == held
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_bands_meet_as_computed():
     rnd = random.Random(7)
     met = 0
