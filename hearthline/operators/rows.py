@@ -100,6 +100,20 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     return a.repartition(n, *on, "_part").join(b.repartition(n, *on, "_part"), [*on, "_part"]).drop("_part")
 
 
+def dealt(left: DataFrame, right: DataFrame, on: list[str], spread: tuple[Column, Column], most_pairs: int, most_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides' rows of the keys that both have, for a cogroup on `on`, _pa and _pb: a key of more than most_pairs
+    pairs, or of about more than most_rows rows on a side, is cut into parts by hashes of `spread`, and each part of left meets
+    each part of right once, so that no task holds a hot key."""
+    sizes = left.groupBy(*on).agg(F.count("*").alias("_a")).join(right.groupBy(*on).agg(F.count("*").alias("_b")), on)
+    by_a, by_b = F.ceil(F.col("_a") / most_rows), F.ceil(F.col("_b") / most_rows)
+    parts = sizes.select(*on, by_a.alias("_na"), F.greatest(by_b, F.least("_b", F.ceil(F.col("_a") * F.col("_b") / by_a / most_pairs))).alias("_nb"))
+    own = lambda x, n: F.pmod(F.xxhash64(x), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = left.join(parts, on).withColumn("_pa", own(spread[0], "_na")).withColumn("_pb", all_of("_nb"))
+    b = right.join(parts, on).withColumn("_pb", own(spread[1], "_nb")).withColumn("_pa", all_of("_na"))
+    return a.drop("_na", "_nb"), b.drop("_na", "_nb")
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """left joined with right on keys, of which nulls are equal; left's keys stay."""
     other = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
@@ -145,29 +159,40 @@ def band_totals(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str
     return along.groupBy(*on, x, *out).agg(*(F.sum(F.col("_sign") * F.col(f"_run_{n}")).alias(n) for n in totals))
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, condition: Column | None = None) -> DataFrame:
-    """Pairs of (lat, lon) and (lat2, lon2) at most radius_m apart, with distance_m: right rows are posted in
-    their grid cell and its neighbours. Cells are as high as the radius; in each row of cells they are as wide
-    as it takes there, and wrap at 180 degrees, so that poles and the date line are no borders."""
+def cell_of(df: DataFrame, lat: str, lon: str, radius_m: float) -> DataFrame:
+    """df with the grid cell (_row, _col) of each row's place. Cells are as high as the radius; in each row of cells they
+    are as wide as it takes there, and wrap at 180 degrees, so that poles and the date line are no borders."""
     high = radius_m / 110_000
-    lat_row = lambda lat: F.floor(F.col(lat) / high)
+    return df.withColumn("_row", F.floor(F.col(lat) / high)).withColumn("_col", _cell_column(F.col(lon), _cells(F.col("_row"), high)))
+
+
+def _cells(row: Column, high: float) -> Column:
+    """How many cells a row has around the globe: as wide as the radius where the row is narrowest, two rows further
+    out, since neighbours count columns by their own row."""
+    edge = F.least(F.lit(90.0), (F.greatest(F.abs(row), F.abs(row + 1)) + 2) * high)
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / (high * 1.01))).cast("long")
 
-    def cells(row: Column) -> Column:
-        """How many cells a row has around the globe: as wide as the radius where the row is narrowest, two
-        rows further out, since neighbours count columns by their own row."""
-        edge = F.least(F.lit(90.0), (F.greatest(F.abs(row), F.abs(row + 1)) + 2) * high)
-        return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / (high * 1.01))).cast("long")
 
-    column = lambda lon, n: F.pmod(F.floor((F.col(lon) + 180) / 360 * n), n)
-    a = left.withColumn("_row", lat_row("lat")).withColumn("_col", column("lon", cells(F.col("_row"))))
+def _cell_column(lon: Column, n: Column) -> Column:
+    return F.pmod(F.floor((lon + 180) / 360 * n), n)
+
+
+def cells_near(df: DataFrame, lat: str, lon: str, radius_m: float) -> DataFrame:
+    """df in each cell (_row, _col) where a row of cell_of() may lie within the radius: its own and its neighbours."""
+    high = radius_m / 110_000
     # Each row's cell count once; rows of fewer than three cells are posted in each of them once.
-    at = right.withColumn("_at", lat_row("lat2")).withColumns({f"_n{i}": cells(F.col("_at") + i) for i in (-1, 0, 1)})
-    at = at.withColumns({f"_c{i}": column("lon2", F.col(f"_n{i}")) for i in (-1, 0, 1)})
+    at = df.withColumn("_at", F.floor(F.col(lat) / high)).withColumns({f"_n{i}": _cells(F.col("_at") + i, high) for i in (-1, 0, 1)})
+    at = at.withColumns({f"_c{i}": _cell_column(F.col(lon), F.col(f"_n{i}")) for i in (-1, 0, 1)})
     post = lambda i, j: F.struct((F.col("_at") + i).alias("_row"), F.pmod(F.col(f"_c{i}") + j, F.col(f"_n{i}")).alias("_col"))
     posts = [post(i, j) if j == 0 else F.when(F.col(f"_n{i}") > (1 if j == 1 else 2), post(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    b = at.withColumn("_post", F.explode(F.array(*posts))).filter("_post is not null").select(*right.columns, "_post._row", "_post._col")
-    near = a.join(b, ["_row", "_col"]).drop("_row", "_col").withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    near = near.filter(F.col("distance_m") <= radius_m)
+    return at.withColumn("_post", F.explode(F.array(*posts))).filter("_post is not null").select(*df.columns, "_post._row", "_post._col")
+
+
+def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, condition: Column | None = None) -> DataFrame:
+    """Pairs of (lat, lon) and (lat2, lon2) at most radius_m apart, with distance_m: right rows are posted in
+    their grid cell and its neighbours."""
+    near = cell_of(left, "lat", "lon", radius_m).join(cells_near(right, "lat2", "lon2", radius_m), ["_row", "_col"]).drop("_row", "_col")
+    near = near.withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("distance_m") <= radius_m)
     return near if condition is None else near.filter(condition)
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import random
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import text
+from hearthline.functions.numbers import haversine_m
 from hearthline.operators import changes, extraction, features, liquidity, matching, opportunity, rows, sellers, valuation, workflow
 from hearthline.sources import html
 
@@ -116,6 +118,35 @@ def test_comparables_match_the_city_by_property_or_text(spark, city, raw, n):
     assert got.candidate_count == n and got.status == ("SUCCESS" if n else "INSUFFICIENT_DATA")
 
 
+@pytest.mark.parametrize(("most_pairs", "most_rows"), [(50_000_000, 200_000), (40, 7)])
+def test_best_pairs_hold_what_all_pairs_rank(spark, most_pairs, most_rows):
+    """The comparables of all pairs, made by a cross join, are those of the pairs that blocks keep, also where they are cut."""
+    rnd = random.Random(7)
+    one = lambda *xs: rnd.choice([None, *xs])
+    facts = lambda: [one(1.0, 1.5, 2.5, 4.0), one(0, 1, 3, 8), one(True, False), one(True, False), one("good", "Renovated", "lux", "ruin"), one("new", " New", "old", " "), one(1970, 1985, 2010), one("gas", "GAS ", "wood"), one("Blok 45", "Kej"), one("North", "south "), one("M1", "m1")]
+    place = lambda: rnd.choice([(None, None), (44.8 + rnd.randrange(12) / 1000, 20.4 + rnd.randrange(12) / 1000)])
+    targets = [(f"P{k}", rnd.choice([40.0, 50.0]), *facts(), one("Beograd", "Nis", ""), *place()) for k in range(40)]
+    comps = [(k, one(*(f"P{j}" for j in range(30))), 5_000_000 + rnd.randrange(9) * 100_000, one(5, 5, 100, 200, 400), one("u beogradu", "NIS"), one("Nis centar"), *place(), rnd.choice([38.0, 41.5, 50.0, 60.0, 80.0]), *facts(), one("Beograd", "Nis")) for k in range(400)]
+    names = "rooms double, floor int, elevator boolean, parking boolean, condition string, building string, year int, heating string, micro string, neighborhood string, municipality string, city string"
+    ts = spark.createDataFrame(targets, f"property_id string, size double, {names}, lat double, lon double")
+    cs = spark.createDataFrame(comps, f"listing_id long, property_id string, price_cents long, age_days int, city_raw string, location_raw string, lat double, lon double, size double, {names}")
+    c = F.col
+    pairs = ts.crossJoin(valuation._renamed(cs)).filter("c_property_id <> property_id and c_size between size * 0.75 and size * 1.25")
+    pairs = pairs.filter("city is null or city = '' or c_city = city or lower(coalesce(city_raw, '')) like '%' || lower(city) || '%' or lower(coalesce(location_raw, '')) like '%' || lower(city) || '%'")
+    metres = haversine_m(c("lat"), c("lon"), c("lat2"), c("lon2"))
+    pairs = pairs.withColumn("distance_m", F.when(c("lat").isNotNull(), F.round(metres, 2))).filter("lat is null or distance_m <= 1200").localCheckpoint()
+
+    def shown(pairs):
+        pairs = valuation.compared(pairs)
+        near = valuation.adaptive_radius(pairs.filter("distance_m is not null"), "property_id")
+        far = pairs.filter("distance_m is null").withColumn("radius_m", F.lit(None).cast("int"))
+        return sorted((r.property_id, r.rank, r.listing_id, r.radius_m, r.similarity, r.weight, r.exclusion) for r in valuation.ranked(near.unionByName(far), "property_id", "listing_id").collect())
+
+    rows.ensure_checkpoint_dir(spark)
+    got, want = shown(valuation.best_pairs(ts, cs, most_pairs, most_rows)), shown(pairs)
+    assert got == want and len({r[3] for r in want}) > 2 and len(want) > 300
+
+
 def test_valuation_gate(spark):
     cases = {"H": ("HOUSE", 50.0, "Beograd"), "S": ("APARTMENT", None, "Beograd"), "L": ("APARTMENT", 50.0, None), "N": ("APARTMENT", 50.0, "Nis")}
     made = [(k, kind, size, *FLAT[1:9], *([None] * 3), city, "CITY", None, None, 50) for k, (kind, size, city) in cases.items()]
