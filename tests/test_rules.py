@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthline.functions import numbers, text
 from hearthline.operators import liquidity, matching, sellers, valuation, workflow
+from hearthline.plans import rules
 
 
 def value(spark, column, **row):
@@ -96,3 +97,18 @@ def test_legal_gate(spark, raw, gate, score):
 def test_watch_rules(spark, kind, threshold, old, new, hit):
     fires = workflow.rule_fires(F.col("k"), F.col("t"), F.col("o"), F.col("n"))
     assert value(spark, fires, k=kind, t=threshold, o=old, n=new) is hit
+
+
+def test_similar_parts_of_equal_facts(spark):
+    """Forty equal parts are one profile: each takes the least ids of others, and no pair of two of them is made."""
+    equal = [(k, "B", "T", 20, 9.0) for k in range(40)]
+    others = [(50, "B", "T", 20, 20.0), (51, "B", "U", 20, 9.0), (52, "B", None, 24, 9.0), (53, "C", "T", 20, 9.0), (54, None, "T", 20, 9.0), (55, "C", "T", 21, None)]
+    part = spark.createDataFrame(equal + others, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double")
+    got = {}
+    for r in rules.similar_parts(part).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.other, r.score))
+    assert {k: sorted(v) for k, v in got.items() if k in (0, 5, 39)} == {
+        k: [(n, x, 4500) for n, x in enumerate([x for x in range(13) if x != k][:12], 1)] for k in (0, 5, 39)
+    }
+    assert sorted(got[52]) == [(n, x, 600 + 400 + 1500) for n, x in enumerate(range(12), 1)]
+    assert sorted(got[53]) == [(1, 55, 2000 + 1000 + 300)] and sorted(got[55]) == [(1, 53, 3300)] and 54 not in got
