@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions.numbers import bands, clamp
@@ -178,21 +178,26 @@ def delivered(alerts: DataFrame, ok: Column) -> DataFrame:
 
 
 def cooled(events: DataFrame, keys: list[str], at: str, ident: str, seconds: int = 21600) -> DataFrame:
-    """Events that become alerts: a key's next alert is at least `seconds` after its last *alert*.
-
-    An event that long after the one before it is an alert whatever came earlier, so keys are cut into
-    sessions there; inside a session the times and ids alone are walked through, from alert to alert."""
-    w = Window.partitionBy(*keys).orderBy(at, ident)
-    slim = events.select(*keys, F.col(ident).cast("long").alias("_i"), F.unix_micros(at).alias("_t"), (F.unix_micros(at) - F.unix_micros(F.lag(at).over(w)) >= seconds * 1_000_000).alias("_apart"), at, ident)
-    sessions = slim.withColumn("_session", F.sum(F.when(F.coalesce("_apart", F.lit(True)), 1).otherwise(0)).over(w)).select(*keys, "_session", "_i", "_t")
-
-    def walk(session: pd.DataFrame) -> pd.DataFrame:
-        rows = session.sort_values(["_t", "_i"])
-        times, told, k = rows["_t"].to_numpy(), [], 0
-        while k < len(times):
-            told.append(k)
-            k = int(np.searchsorted(times, times[k] + seconds * 1_000_000))
-        return rows[["_i"]].iloc[told]
-
-    kept = sessions.groupBy(*keys, "_session").applyInPandas(walk, "_i long")
+    """Events that become alerts: a key's next alert is at least `seconds` after its last *alert*. Events without a time all are.
+
+    Times and ids alone are dealt by key, sorted by Spark, and passed over once: a task keeps the last alert of the key
+    that it is at, however many keys and events there are."""
+    slim = events.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.unix_micros(at).alias("_t"), F.col(ident).cast("long").alias("_i"))
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = slim.columns[: len(keys)]
+    dealt = slim.repartition(n, *names).sortWithinPartitions(*names, "_t", "_i")
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, free = None, None
+        for batch in batches:
+            told = []
+            for key, t, i in zip(zip(*(batch[k].to_pylist() for k in names), strict=True), batch["_t"].to_pylist(), batch["_i"].to_pylist(), strict=True):
+                if key != here:
+                    here, free = key, None
+                if t is None or free is None or t >= free:
+                    told.append(i)
+                    free = free if t is None else t + seconds * 1_000_000
+            yield pa.RecordBatch.from_pydict({"_i": pa.array(told, pa.int64())})
+
+    kept = dealt.mapInArrow(walk, "_i long")
     return events.join(kept.withColumnRenamed("_i", ident), ident, "left_semi")

@@ -140,6 +140,23 @@ def test_cooldown_counts_from_the_last_alert(spark):
     assert sorted(r.id for r in opportunity.cooled(ev, ["key"], "ts", "id").collect()) == [0, 3, 5]
 
 
+def test_cooldown_passes_over_many_keys_in_few_calls(spark):
+    """Keys of a task are one stream of batches, whatever their number: no group of their own for each session."""
+    events = spark.range(60_000).selectExpr("id", "id % 20000 AS key", "timestamp_seconds((id div 20000) * 5 * 3600) AS ts").union(spark.sql("SELECT 60001L, NULL, timestamp_seconds(0) UNION ALL SELECT 60002L, NULL, timestamp_seconds(3600) UNION ALL SELECT 60003L, 7L, NULL"))
+    frame = opportunity.cooled(events, ["key"], "ts", "id")
+    assert "FlatMapGroups" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in frame.collect()) == [*range(20_000), *range(40_000, 60_000), 60_001, 60_003]
+
+
+def test_radius_pairs_of_repeated_places(spark):
+    """A distance is told once for rows of one place, also where these are cut into parts."""
+    left = spark.range(2500).selectExpr("id AS a", "44.8 + id % 2 / 1000 AS lat", "20.4D AS lon").selectExpr("a", "CAST(lat AS double) AS lat", "lon")
+    right = spark.range(1500).selectExpr("id AS b", "CAST(IF(id % 3 = 0, NULL, 44.8 + id % 3 / 50) AS double) AS lat2", "20.4D AS lon2")
+    got = rows.radius_pairs(left, right, 2300.0)
+    assert {k: v for k, v in ((r["k"], r["n"]) for r in got.groupBy(F.expr("concat(a % 2, b % 3)").alias("k")).agg(F.count("*").alias("n")).collect())} == {"01": 625_000, "11": 625_000}
+    assert got.select("a", "b").distinct().count() == 1_250_000 and got.columns == ["a", "lat", "lon", "b", "lat2", "lon2", "distance_m"]
+
+
 def test_action_cascade(spark):
     def act(gate="PASS", missing=(), low=(), economic=(), neg=0.05, total=70, signals=0, strong=False):
         codes = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
