@@ -86,13 +86,14 @@ def band_pairs(left: DataFrame, right: DataFrame, x: str, y: str, width: float,
     return a.join(b, ["_band", *(on or [])]).filter((F.abs(F.col(x) - F.col(y)) <= width) & condition).drop("_band")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], most: int = 200_000) -> DataFrame:
-    """left and right joined on columns of the same names. A key that makes more than `most` pairs is split: a hash of
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], most: int = 200_000, weight: Column | None = None) -> DataFrame:
+    """left and right joined on columns of the same names; weight: how many rows a row of either side counts for. A key that makes more than `most` pairs is split: a hash of
     the columns `spread` deals its right rows over parts, and its left rows go to each, so that no task makes all
     pairs of a hot key. Only hot keys are sent to all tasks: one for every `most` pairs at the most. Both sides are
     dealt over a fixed number of tasks, since what is small before the join need not be so after it."""
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = left.groupBy(*on).agg(F.count("*").alias("_a")).join(right.groupBy(*on).agg(F.count("*").alias("_b")), on)
+    n_rows = F.count("*") if weight is None else F.sum(weight)
+    sizes = left.groupBy(*on).agg(n_rows.alias("_a")).join(right.groupBy(*on).agg(n_rows.alias("_b")), on)
     hot = sizes.select(*on, F.least(F.col("_b"), F.ceil(F.col("_a") * F.col("_b") / most)).alias("_parts")).filter("_parts > 1")
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
     a = left.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
@@ -188,11 +189,24 @@ def cells_near(df: DataFrame, lat: str, lon: str, radius_m: float) -> DataFrame:
     return at.withColumn("_post", F.explode(F.array(*posts))).filter("_post is not null").select(*df.columns, "_post._row", "_post._col")
 
 
+def packed(df: DataFrame, keys: list[str], out: str, most: int = 1000) -> DataFrame:
+    """keys, `_part2`, the rows of df of equal keys as an array, and _n, how many there are; a key of more than `most` rows has an array
+    for about every `most` of them, told apart by _part2. Rows with a null among keys are left out."""
+    known = df.dropna(subset=keys)
+    hot = known.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("_parts")).filter("_parts > 1")
+    part = F.pmod(F.xxhash64(*df.columns), F.coalesce("_parts", F.lit(1).cast("long"))).alias("_part2")
+    cut = known.join(F.broadcast(hot), keys, "left").select(*keys, part, F.struct(*df.columns).alias("_row"))
+    return cut.groupBy(*keys, "_part2").agg(F.collect_list("_row").alias(out), F.count("*").alias("_n"))
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, condition: Column | None = None) -> DataFrame:
     """Pairs of (lat, lon) and (lat2, lon2) at most radius_m apart, with distance_m: right rows are posted in
-    their grid cell and its neighbours."""
-    near = cell_of(left, "lat", "lon", radius_m).join(cells_near(right, "lat2", "lon2", radius_m), ["_row", "_col"]).drop("_row", "_col")
-    near = near.withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("distance_m") <= radius_m)
+    their grid cell and its neighbours. Rows of one place travel together, so that a distance is told once for all of them,
+    and pairs are made last, where they are, without a shuffle of theirs."""
+    a, b = packed(left, ["lat", "lon"], "_rows").drop("_part2"), packed(right, ["lat2", "lon2"], "_rows2")
+    met = salted_join(cell_of(a, "lat", "lon", radius_m), cells_near(b, "lat2", "lon2", radius_m), ["_row", "_col"], ["lat2", "lon2", "_part2"], 5_000_000, F.col("_n"))
+    near = met.withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("distance_m") <= radius_m)
+    near = near.select("distance_m", "_rows2", F.explode("_rows").alias("_l")).select("distance_m", "_l", F.explode("_rows2").alias("_r")).select("_l.*", "_r.*", "distance_m")
     return near if condition is None else near.filter(condition)
 
 
