@@ -1,7 +1,7 @@
 """Listing pages as rows: titles, links, attributes and JSON-LD items, by native expressions.
 
-JSON text is unescaped for the five named entities before it is parsed; blocks that do not parse are
-skipped. Cards are one per page and URL, the first one wins."""
+JSON text is unescaped for the five named entities before it is parsed, or, where it does not parse so, with
+quotes kept within its strings; blocks that do not parse either way are skipped. Cards are one per page and URL, the first one wins."""
 
 from __future__ import annotations
 
@@ -74,7 +74,10 @@ SELLER_ID, SELLER_TYPE = "#seller", "RealEstateAgent"
 def items(html: Column) -> Column:
     """All JSON-LD objects of a page as variants: members of graphs, of top-level lists, and single ones;
     blocks that do not parse are skipped."""
-    raw = F.transform(F.regexp_extract_all(html, F.lit(BLOCK), F.lit(1)), lambda b: F.try_parse_json(unescape(F.trim(b))))
+    # A block that is escaped as a whole parses unescaped; in one whose strings alone are, an unescaped quote would end a string.
+    quoted = lambda b: F.replace(b, F.lit("&quot;"), F.lit('\\"'))
+    parsed = lambda b: F.coalesce(F.try_parse_json(unescape(F.trim(b))), F.try_parse_json(unescape(quoted(F.trim(b)))))
+    raw = F.transform(F.regexp_extract_all(html, F.lit(BLOCK), F.lit(1)), parsed)
     spread = lambda v: F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array(v))
     return F.filter(F.flatten(F.transform(F.filter(raw, lambda v: v.isNotNull()), spread)), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
 

@@ -346,6 +346,16 @@ def test_detail_record(spark):
     assert pages.select(html.meta(F.col("html")).alias("m")).first().m == {"og:title": "Stan & lift", "description": "last"}
 
 
+def test_detail_record_of_quotes_escaped_in_a_string(spark):
+    """A block whose strings alone are escaped, and one escaped as a whole, both tell their item."""
+    url = "http://x/" + "0" * 24
+    inner = f'{{"@type":"RealEstateListing","name":"say &quot;hi&quot; &amp; go","url":"{url}"}}'
+    whole = f"{{&quot;@type&quot;:&quot;RealEstateListing&quot;,&quot;name&quot;:&quot;plain&quot;,&quot;url&quot;:&quot;{url}&quot;}}"
+    page = lambda b: f'<script type="application/ld+json">{b}</script>'
+    frame = spark.createDataFrame([(1, "http://y", page(inner)), (2, "http://y", page(whole)), (3, "http://y", page("{bad"))], "page_id long, url string, html string")
+    assert {r.page_id: (r.title_raw, r.url) for r in html.details(frame, "page_id").collect()} == {1: ('say "hi" & go', url), 2: ("plain", url)}
+
+
 def test_article_cards_and_plain_details(spark):
     page = """<main data-listing-id='nkrs-7' data-price="150.000 EUR" data-title=" Stan &amp; lift "><meta name="description" content="opis"><img src='a.jpg'><img alt="x">
     <article class="c" data-listing-id="nkrs-1" data-price='99 EUR' data-size="50"><a href="/oglas/one">x</a></article><article data-url="/oglas/NKRS-2/?q=1"></article><article data-listing-id="NKRS-1"></article><article></article></main>"""
