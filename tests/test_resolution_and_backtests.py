@@ -50,6 +50,26 @@ def test_blocking_loses_no_pair(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == _pairs(listings, properties)
 
 
+def test_pairs_above_lose_none_and_are_few(spark):
+    """Of all blocked pairs, those that reach what five others reach, and of the others few, whatever is unknown."""
+    some = lambda *xs: rnd.choice([None, *xs])
+    tokens = lambda: rnd.choice([["novi"], ["novi", f"blok{rnd.randrange(3)}", f"ulica{rnd.randrange(6)}"], [f"blok{rnd.randrange(3)}", f"ulica{rnd.randrange(6)}"], [f"ulica{rnd.randrange(6)}", *(f"x{k}" for k in range(9))]])
+    facts = lambda: (some(*(30 + k / 2 for k in range(120))), some(1.0, 1.5, 2.0, 3.0, 4.0), some(0, 1, 2, 5))
+    listings = [(k, t := tokens(), [*t, *rnd.choice([[], ["red"], ["blok1", "red"]])], *facts()) for k in range(150)]
+    ls = spark.createDataFrame(listings, LISTING).withColumnRenamed("listing_id", "l")
+    ps = spark.createDataFrame([(k, tokens(), *facts()) for k in range(600)], PROPERTY).withColumnRenamed("property_id", "p")
+    left, right = matching.prepared(ls, ps)
+    left = matching.with_least(left, right, 5).localCheckpoint()
+    least = {r.l: r.least for r in left.select("l", "least").collect()}
+    got = [(r.l, r.p, r.similarity) for r in matching.scored(matching.pairs_above(left, right)).select("l", "p", "similarity").collect()]
+    every = [(r.l, r.p, r.similarity) for r in matching.scored(matching.blocked_pairs(ls, ps)).select("l", "p", "similarity").collect()]
+    want = {x for x in every if x[2] >= least[x[0]]}
+    assert len(got) == len(set(got)) and want <= set(got) <= set(every) and 3 * len(got) < 2 * len(every)
+    assert sum(x > 0 for x in least.values()) > 50
+    for k in least:
+        assert least[k] < 0 or sum(x[0] == k and x[2] >= least[k] for x in every) >= 5
+
+
 def test_profiles_and_rejected_pairs(spark):
     """Forty properties of equal facts are one profile; a listing that turned down the first 25 still sees 15."""
     listing = (["blok 1"], ["blok 1"], 50.0, 2.0, 3)
